@@ -1,0 +1 @@
+"""lotwise.streaming."""
