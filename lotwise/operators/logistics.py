@@ -125,27 +125,22 @@ def flight_logistics_view(
     )
 
 
-def training_set(
-    flights, airlines, aircraft_types, airports, lot_services, lots, products, categories
+def service_features(
+    flights, airlines, aircraft_types, airports, lot_services, lots, products, categories, condition
 ) -> DataFrame:
-    """J1 + P1 + P4: 3 numeric + 10 categorical features and the target.
-
-    Only rows with recorded, positive consumption are used; the filter is on the
-    fact and runs before any join.
-    """
+    """Service lines matching ``condition`` with 3 numeric + 10 categorical features."""
     fd = flight_dims(flights, airlines, airports).join(
         aircraft_types.select("aircraft_type_id", "max_capacity"), "aircraft_type_id"
     )
     cat = product_catalog(products, categories)
-    fact = lot_services.where(F.col("consumed_qty") > 0).select(
-        "service_id", "flight_id", "lot_id", "consumed_qty"
-    )
+    fact = lot_services.where(condition).select("service_id", "flight_id", "lot_id", "consumed_qty")
     return (
         fact.join(fd, "flight_id")
         .join(lots.select("lot_id", "product_id"), "lot_id")
         .join(cat, "product_id")
         .select(
             "service_id",
+            "flight_id",
             "product_id",
             "product_name",
             *NUMERIC_FEATURES,
@@ -153,3 +148,26 @@ def training_set(
             "consumed_qty",
         )
     )
+
+
+def training_set(
+    flights, airlines, aircraft_types, airports, lot_services, lots, products, categories
+) -> DataFrame:
+    """J1 + P1 + P4: features and target of lines with recorded, positive consumption.
+
+    The filter is on the fact and runs before any join.
+    """
+    return service_features(
+        flights, airlines, aircraft_types, airports, lot_services, lots, products, categories,
+        F.col("consumed_qty") > 0,
+    ).drop("flight_id")
+
+
+def open_requests(
+    flights, airlines, aircraft_types, airports, lot_services, lots, products, categories
+) -> DataFrame:
+    """Forecast requests: planned lines whose consumption is not recorded yet."""
+    return service_features(
+        flights, airlines, aircraft_types, airports, lot_services, lots, products, categories,
+        F.col("consumed_qty").isNull(),
+    ).drop("consumed_qty")

@@ -40,7 +40,7 @@ BASE: list[tuple[str, str]] = [
     ),
     (
         "aircraft_types",
-        "SELECT CAST(1 AS BIGINT) AS aircraft_type_id, 'Generic-501' AS model, 501 AS max_capacity",
+        "SELECT CAST(1 AS BIGINT) AS aircraft_type_id, 'Generic-500' AS model, 500 AS max_capacity",
     ),
     (
         "products",

@@ -26,7 +26,7 @@ from lotwise.sources.schemas import WEATHERS
 
 AS_OF = _dt.date(2001, 8, 1)
 LOTS_PER_PART = 3
-MAX_CAPACITY = 501
+MAX_CAPACITY = 500
 
 
 @dataclass
@@ -170,7 +170,7 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
         F.lit(None).cast("decimal(10,6)").alias("longitude"),
     )
     aircraft_types = spark.createDataFrame(
-        [(1, "Generic-501", MAX_CAPACITY)],
+        [(1, "Generic-500", MAX_CAPACITY)],
         "aircraft_type_id long, model string, max_capacity int",
     )
 
