@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwise.plans import q_inventory, q_logistics, q_models  # noqa: F401  (registers queries)
+from lotwise.plans import q_inventory, q_logistics, q_models, q_rules  # noqa: F401  (registers queries)
 from lotwise.plans.registry import REGISTRY
 
 
