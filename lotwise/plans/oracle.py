@@ -20,12 +20,12 @@ WEEKDAY_LIST = "['Lunes', 'Martes', 'Miércoles', 'Jueves', 'Viernes', 'Sábado'
 BASE: list[tuple[str, str]] = [
     (
         "categories",
-        """SELECT CAST(dense_rank() OVER (ORDER BY p_type) AS BIGINT) AS category_id, p_type AS name
+        """SELECT ('0x' || substr(md5(p_type), 1, 8))::BIGINT AS category_id, p_type AS name
            FROM (SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL)""",
     ),
     (
         "airlines",
-        """SELECT CAST(dense_rank() OVER (ORDER BY c_mktsegment) AS BIGINT) AS airline_id,
+        """SELECT ('0x' || substr(md5(c_mktsegment), 1, 8))::BIGINT AS airline_id,
                   c_mktsegment AS name, substr(c_mktsegment, 1, 2) AS iata_code,
                   CAST(NULL AS VARCHAR) AS association_note
            FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)""",
@@ -40,13 +40,13 @@ BASE: list[tuple[str, str]] = [
     ),
     (
         "aircraft_types",
-        "SELECT CAST(1 AS BIGINT) AS aircraft_type_id, 'Generic-500' AS model, 500 AS max_capacity",
+        "SELECT CAST(id AS BIGINT) AS aircraft_type_id, model, max_capacity FROM (VALUES (1, 'Generic-500', 500), (2, 'Generic-400', 400), (3, 'Generic-300', 300)) t(id, model, max_capacity)",
     ),
     (
         "products",
-        """SELECT p.p_partkey AS product_id, c.category_id, p.p_name AS name,
-                  CASE WHEN p.p_size <= 10 THEN 'VIP' END AS special_type
-           FROM part p JOIN categories c ON c.name = p.p_type""",
+        """SELECT p_partkey AS product_id, ('0x' || substr(md5(p_type), 1, 8))::BIGINT AS category_id,
+                  p_name AS name, CASE WHEN p_size <= 10 THEN 'VIP' END AS special_type
+           FROM part""",
     ),
     (
         "lots",
@@ -68,7 +68,7 @@ BASE: list[tuple[str, str]] = [
     ),
     (
         "flights0",
-        f"""SELECT o.o_orderkey AS flight_id, a.airline_id, CAST(1 AS BIGINT) AS aircraft_type_id,
+        f"""SELECT o.o_orderkey AS flight_id, ('0x' || substr(md5(c.c_mktsegment), 1, 8))::BIGINT AS airline_id, CAST(1 + o.o_orderkey % 3 AS BIGINT) AS aircraft_type_id,
                    CAST(c.c_nationkey AS BIGINT) AS origin_airport_id,
                    CAST((c.c_nationkey * 7 + o.o_orderkey) % 25 AS BIGINT) AS dest_airport_id,
                    o.o_orderdate + to_hours(CAST(o.o_orderkey % 24 AS INTEGER))
@@ -77,8 +77,7 @@ BASE: list[tuple[str, str]] = [
                    CAST(1 + floor(o.o_totalprice / 1000) AS INTEGER) AS passengers,
                    ({WEATHER_LIST})[CAST(o.o_orderkey % 5 AS INTEGER) + 1] AS weather,
                    CAST(30 + o.o_orderkey % 61 AS INTEGER) AS buffer_min
-            FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-                          JOIN airlines a ON a.name = c.c_mktsegment""",
+            FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
     ),
     (
         "flights",

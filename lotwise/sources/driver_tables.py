@@ -9,8 +9,8 @@ Every derivation is a plain column expression that DuckDB can state the same way
     flights       <- orders JOIN customer
     airports      <- nation, airlines <- distinct c_mktsegment, categories <- distinct p_type
 
-Only vocabularies (categories, airlines) are ranked by a global window, after a
-``distinct`` that bounds them by the number of distinct strings.
+Vocabulary ids (categories, airlines) are the first 32 bits of the name's md5,
+so products and flights carry them without a join or a global ranking.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions import calendar as cal
@@ -26,7 +26,8 @@ from lotwise.sources.schemas import WEATHERS
 
 AS_OF = _dt.date(2001, 8, 1)
 LOTS_PER_PART = 3
-MAX_CAPACITY = 500
+# Aircraft types (id, model, capacity); flights use type 1 + o_orderkey % 3.
+AIRCRAFT = [(1, "Generic-500", 500), (2, "Generic-400", 400), (3, "Generic-300", 300)]
 
 
 @dataclass
@@ -61,10 +62,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def name_id(col: str):
+    """Stable id of a vocabulary string: first 32 bits of its md5 (no window, no join)."""
+    return F.conv(F.substring(F.md5(F.col(col)), 1, 8), 16, 10).cast("long")
+
+
 def _vocabulary(values: DataFrame, col: str, id_col: str) -> DataFrame:
-    """Dense ids for a string vocabulary (small after distinct)."""
     d = values.select(F.col(col).alias("name")).where(F.col("name").isNotNull()).distinct()
-    return d.withColumn(id_col, F.dense_rank().over(Window.orderBy("name")).cast("long"))
+    return d.withColumn(id_col, name_id("name"))
 
 
 def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) -> Tables:
@@ -82,11 +87,9 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
         F.lit(None).cast("string").alias("association_note"),
     )
 
-    products = part.join(
-        categories.withColumnRenamed("name", "p_type"), "p_type", "inner"
-    ).select(
+    products = part.select(
         F.col("p_partkey").alias("product_id"),
-        "category_id",
+        name_id("p_type").alias("category_id"),
         F.col("p_name").alias("name"),
         F.when(F.col("p_size") <= 10, F.lit("VIP")).alias("special_type"),
     )
@@ -128,11 +131,10 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
     distance = (F.lit(500) + (ok * 37) % 14501).cast("int")
     flights = (
         orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
-        .join(airlines.select("airline_id", F.col("name").alias("c_mktsegment")), "c_mktsegment")
         .select(
             ok.alias("flight_id"),
-            "airline_id",
-            F.lit(1).cast("long").alias("aircraft_type_id"),
+            name_id("c_mktsegment").alias("airline_id"),
+            (F.lit(1) + ok % 3).cast("long").alias("aircraft_type_id"),
             F.col("c_nationkey").cast("long").alias("origin_airport_id"),
             ((F.col("c_nationkey") * 7 + ok) % 25).cast("long").alias("dest_airport_id"),
             dep_ts.alias("dep_ts"),
@@ -170,7 +172,7 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
         F.lit(None).cast("decimal(10,6)").alias("longitude"),
     )
     aircraft_types = spark.createDataFrame(
-        [(1, "Generic-500", MAX_CAPACITY)],
+        AIRCRAFT,
         "aircraft_type_id long, model string, max_capacity int",
     )
 
