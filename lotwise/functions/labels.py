@@ -12,6 +12,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.sources.literals import literal_table
+
 DEFAULT_LANG = "es"
 
 # Data-bearing label templates, Spanish then English, as in the source.
@@ -93,7 +95,7 @@ RULE_KEYS = {
 
 def translations_df(spark: SparkSession) -> DataFrame:
     rows = [(lang, k, v) for lang, d in TRANSLATIONS.items() for k, v in d.items()]
-    return spark.createDataFrame(rows, "lang string, key string, template string")
+    return literal_table(spark, rows, "lang string, key string, template string")
 
 
 def _map(d: dict) -> Column:

@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from lotwise.operators.logistics import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from lotwise.operators.windows import rank_within
+from lotwise.sources.literals import literal_table
 
 CONST = ""  # the all-ones column (intercept)
 TARGET = "~y"  # the target, carried through the Gram as one more column
+CONST_ID = 0  # 64-bit ids of the two pseudo features
+TARGET_ID = -1
 TEST_FRACTION = 0.2
 SPLIT_SEED = 42
 MIN_ROWS = 10
@@ -63,6 +66,49 @@ def feature_array(
     return F.filter(F.array(*items), lambda s: s.isNotNull())
 
 
+def feature_id(column: str, value=None):
+    """64-bit id of a feature: xxhash64(column) for numerics, xxhash64(column, value)
+    for indicators. Ids keep group and join keys fixed-width; names are joined
+    back only onto small results (the vocabulary maps id -> name)."""
+    if value is None:
+        return F.xxhash64(F.lit(column))
+    return F.xxhash64(F.lit(column), value)
+
+
+def id_items(
+    numeric: list[str] = NUMERIC_FEATURES,
+    categorical: list[str] = CATEGORICAL_FEATURES,
+    with_const: bool = False,
+    target: str | None = None,
+) -> list:
+    """Struct<fid, x> expressions (NULL when the feature is absent)."""
+    items = []
+    if with_const:
+        items.append(F.struct(F.lit(CONST_ID).cast("long").alias("fid"), F.lit(1.0).alias("x")))
+    for c in numeric:
+        items.append(
+            F.when(F.col(c).isNotNull(), F.struct(feature_id(c).alias("fid"), F.col(c).cast("double").alias("x")))
+        )
+    for c in categorical:
+        v = F.col(c).cast("string")
+        items.append(F.when(F.col(c).isNotNull(), F.struct(feature_id(c, v).alias("fid"), F.lit(1.0).alias("x"))))
+    if target is not None:
+        items.append(
+            F.struct(F.lit(TARGET_ID).cast("long").alias("fid"), F.col(target).cast("double").alias("x"))
+        )
+    return items
+
+
+def id_names(vocabulary: DataFrame) -> DataFrame:
+    """fid -> feature name for the vocabulary plus the two pseudo features."""
+    spark = vocabulary.sparkSession
+    fid = F.when(F.col("value").isNull(), F.xxhash64(F.col("column_name"))).otherwise(
+        F.xxhash64(F.col("column_name"), F.col("value"))
+    )
+    pseudo = literal_table(spark, [(CONST_ID, CONST), (TARGET_ID, TARGET)], "fid long, feature string")
+    return vocabulary.select(fid.alias("fid"), "feature").unionByName(pseudo)
+
+
 def sparse_features(df: DataFrame, keep: list[str], with_const: bool = False) -> DataFrame:
     """M1 (long form): one row per (row, non-zero feature)."""
     return df.select(*keep, F.explode(feature_array(with_const=with_const)).alias("f")).select(
@@ -78,7 +124,8 @@ def feature_vocabulary(training: DataFrame) -> DataFrame:
     number of distinct category values, not by the data).
     """
     spark = training.sparkSession
-    numeric = spark.createDataFrame(
+    numeric = literal_table(
+        spark,
         [(i + 1, c, c, None) for i, c in enumerate(NUMERIC_FEATURES)],
         "ordinal int, feature string, column_name string, value string",
     )

@@ -124,6 +124,10 @@ def _coefs(spark, sf):
     return rg.solve_models(rg.ols_gram(_train_rows(spark, sf)))
 
 
+def _names(spark, sf):
+    return fe.id_names(fe.feature_vocabulary(_training(spark, sf)))
+
+
 @query(
     "feature_vocabulary",
     "SELECT ordinal, feature, column_name, value FROM vocab",
@@ -178,13 +182,13 @@ def train_test_split_counts(spark, sf):
     ids="M3",
 )
 def ols_gram(spark, sf):
-    g = rg.ols_gram(_train_rows(spark, sf))
+    g = rg.gram_named(rg.ols_gram(_train_rows(spark, sf)), _names(spark, sf))
     return g.select("key", "fa", "fb", F.round("s", 6).alias("s"))
 
 
 @query("product_models", None, ids="M3 S7")
 def product_models(spark, sf):
-    return _coefs(spark, sf)
+    return rg.name_coefficients(_coefs(spark, sf), _names(spark, sf))
 
 
 @query("product_model_r2", None, ids="M4")

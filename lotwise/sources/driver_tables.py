@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions import calendar as cal
+from lotwise.sources.literals import literal_table
 from lotwise.sources.schemas import WEATHERS
 
 AS_OF = _dt.date(2001, 8, 1)
@@ -171,10 +172,7 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
         F.lit(None).cast("decimal(10,6)").alias("latitude"),
         F.lit(None).cast("decimal(10,6)").alias("longitude"),
     )
-    aircraft_types = spark.createDataFrame(
-        AIRCRAFT,
-        "aircraft_type_id long, model string, max_capacity int",
-    )
+    aircraft_types = literal_table(spark, AIRCRAFT, "aircraft_type_id long, model string, max_capacity int")
 
     return Tables(
         airports=airports,
