@@ -1,0 +1,83 @@
+"""Golden values on the seed inventory (FIXTURES.md section 3)."""
+
+from pyspark.sql import functions as F
+
+from fixtures import LOTS, SEED_AS_OF, seed_tables
+from lotwise.operators import consumption as cons
+from lotwise.operators import inventory as inv
+from lotwise.operators import metrics as met
+from lotwise.operators import recommend as rec
+
+EXPECTED = {
+    608: (921, -10, "critical"),
+    612: (4896, 1, "warning"),
+    605: (1115, 2, "warning"),
+    610: (1961, 2, "warning"),
+    611: (6123, 3, "warning"),
+    609: (9421, 7, "attention"),
+    604: (6608, 11, "optimal"),
+    603: (3612, 19, "optimal"),
+    607: (43, 95, "optimal"),
+    601: (38255, 126, "optimal"),
+    606: (7031, 142, "optimal"),
+    602: (19360, 219, "optimal"),
+}
+
+
+def _inv(spark):
+    t = seed_tables(spark)
+    return t, inv.lot_inventory(t["lots"], t["products"], t["categories"], t["lot_services"], SEED_AS_OF)
+
+
+def test_lot_inventory_golden(spark):
+    _, i = _inv(spark)
+    got = {r.lot_id: (r.current_qty, r.days_remaining, r.status) for r in i.collect()}
+    assert got == EXPECTED
+    consumed = {r.lot_id: r.consumed_total for r in i.collect()}
+    assert consumed == {l: t for l, _p, _e, _i, t, _w in LOTS}
+
+
+def test_kpis_golden(spark):
+    _, i = _inv(spark)
+    k = met.inventory_kpis(i).first()
+    assert (k.total_items, k.active_lots, k.optimal_lots, k.at_risk_lots) == (99346, 12, 6, 6)
+    s = {r.status: r.lot_count for r in met.status_distribution(i).collect()}
+    assert s == {"critical": 1, "warning": 4, "attention": 1, "optimal": 6}
+
+
+def test_stock_by_category_golden(spark):
+    t, i = _inv(spark)
+    by = {r.category: r.stock_total for r in met.stock_by_category(i).collect()}
+    names = dict((cid, n) for cid, n in [(r.category_id, r.name) for r in t["categories"].collect()])
+    expected = {401: 4533, 402: 16029, 403: 1158, 404: 8084, 405: 57615, 406: 11927}
+    assert by == {names[c]: v for c, v in expected.items()}
+    order = [r.category for r in met.stock_by_category(i).collect()]
+    assert order[0] == names[405]
+
+
+def test_consumption_window_golden(spark):
+    t, _ = _inv(spark)
+    c = cons.product_consumption(t["lot_services"], t["flights"], t["lots"], t["products"], SEED_AS_OF)
+    got = {r.product_id: r.total_consumed for r in c.collect()}
+    assert got == {501: 214, 502: 199, 505: 197, 507: 184, 509: 582, 510: 598, 511: 185, 512: 197}
+    wk = c.where("product_id = 501").first().avg_weekly
+    assert abs(wk - 214 / 30 * 7) < 1e-9 and round(wk, 3) == 49.933
+
+
+def test_recommendations_golden(spark):
+    t, i = _inv(spark)
+    c = cons.product_consumption(t["lot_services"], t["flights"], t["lots"], t["products"], SEED_AS_OF)
+    rows = rec.recommendations(i, c).collect()
+    assert [(r.rule, r.lot_id, r.days_remaining) for r in rows] == [
+        ("expired", 608, -10),
+        ("waste_risk", 612, 1),
+        ("waste_risk", 605, 2),
+        ("waste_risk", 610, 2),
+        ("waste_risk", 611, 3),
+    ]
+    assert {r.priority for r in rows} == {"high"}
+    # Closest to a stock-out: product 505 with 43 units against half of 45.97 per week.
+    s = rec.stockout_risk(i, c)
+    assert s.count() == 0
+    near = rec.product_stock(i).where("product_id = 505").first().stock_total
+    assert near == 43
