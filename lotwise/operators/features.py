@@ -164,18 +164,17 @@ def split_flags(
     interchangeable for every output, so the choice among them does not matter.
     """
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{SPLIT_SEED}")))
-    counts = training.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     ranked = rank_within(
         training.withColumn("_h", h),
         by=[key],
         order=["_h", id_col, *tie_cols],
         out="_rk",
         chunk=F.substring("_h", 1, 3),
+        total="n",
     )
     n_test = F.ceil(F.col("n").cast("double") * F.lit(TEST_FRACTION)).cast("long")
     return (
-        ranked.join(counts, key)
-        .withColumn("n_test", n_test)
+        ranked.withColumn("n_test", n_test)
         .withColumn("is_test", F.col("_rk") <= F.col("n_test"))
         .drop("_h", "_rk")
     )

@@ -33,11 +33,15 @@ def running_sum(
     out: str,
     chunk: Column,
     inclusive: bool = True,
+    total: str | None = None,
 ) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same ``by`` key that come
     before (``inclusive=False``) or up to and including this row in ``order``.
 
-    ``chunk`` must be non-decreasing along ``order`` within a key.
+    ``chunk`` must be non-decreasing along ``order`` within a key. With
+    ``total``, the key's grand total is added too; it is computed on the chunk
+    totals and arrives with the offsets, so no extra join on the (possibly
+    hot) key is needed.
     """
     v = F.col(value) if isinstance(value, str) else value
     d = df.withColumn("_chunk", chunk).withColumn("_v", v)
@@ -45,8 +49,11 @@ def running_sum(
     w_chunks = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1
     )
+    extra = []
+    if total:
+        extra.append(F.sum("_ct").over(Window.partitionBy(*by)).alias(total))
     offsets = totals.select(
-        *by, "_chunk", F.coalesce(F.sum("_ct").over(w_chunks), F.lit(0)).alias("_off")
+        *by, "_chunk", F.coalesce(F.sum("_ct").over(w_chunks), F.lit(0)).alias("_off"), *extra
     )
     end = Window.currentRow if inclusive else -1
     w_local = Window.partitionBy(*by, "_chunk").orderBy(*_cols(order)).rowsBetween(
@@ -61,7 +68,8 @@ def running_sum(
 
 
 def rank_within(
-    df: DataFrame, by: list[str], order: list, out: str, chunk: Column
+    df: DataFrame, by: list[str], order: list, out: str, chunk: Column, total: str | None = None
 ) -> DataFrame:
-    """1-based row number per key in ``order`` (a running count)."""
-    return running_sum(df, by, order, F.lit(1).cast("long"), out, chunk, inclusive=True)
+    """1-based row number per key in ``order`` (a running count); ``total`` adds
+    the key's row count."""
+    return running_sum(df, by, order, F.lit(1).cast("long"), out, chunk, inclusive=True, total=total)
