@@ -30,6 +30,10 @@ def get_session(
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # one BLAS thread per Python worker: the workers already fill the cores
+        "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
+        "spark.executorEnv.MKL_NUM_THREADS": "1",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
