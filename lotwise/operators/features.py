@@ -109,6 +109,36 @@ def id_names(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select(fid.alias("fid"), "feature").unionByName(pseudo)
 
 
+def names_from_values(spark, values: dict[str, DataFrame]) -> DataFrame:
+    """fid -> feature name from the possible values of each categorical column.
+
+    ``values`` maps a categorical column to a one-column DataFrame of its
+    values (a dimension attribute or a literal domain); numerics and the two
+    pseudo features are added. A superset of the training vocabulary is fine:
+    it only names ids.
+    """
+    parts = [
+        df.select(F.col(df.columns[0]).cast("string").alias("value"))
+        .where(F.col("value").isNotNull())
+        .distinct()
+        .select(F.lit(col).alias("column_name"), "value")
+        for col, df in values.items()
+    ]
+    numeric = literal_table(
+        spark, [(c, None) for c in NUMERIC_FEATURES], "column_name string, value string"
+    )
+    vocab = numeric
+    for p in parts:
+        vocab = vocab.unionByName(p)
+    vocab = vocab.withColumn(
+        "feature",
+        F.when(F.col("value").isNull(), F.col("column_name")).otherwise(
+            F.concat(F.col("column_name"), F.lit("="), F.col("value"))
+        ),
+    )
+    return id_names(vocab)
+
+
 def sparse_features(df: DataFrame, keep: list[str], with_const: bool = False) -> DataFrame:
     """M1 (long form): one row per (row, non-zero feature)."""
     return df.select(*keep, F.explode(feature_array(with_const=with_const)).alias("f")).select(

@@ -13,6 +13,8 @@ from lotwise.plans.oracle import EXTRA
 from lotwise.plans.q_inventory import _inventory
 from lotwise.plans.registry import query
 from lotwise.sources.driver_tables import tables_for
+from lotwise.sources.literals import literal_table
+from lotwise.sources.schemas import DOMAINS
 
 _CATS = lg.CATEGORICAL_FEATURES
 _NUMS = lg.NUMERIC_FEATURES
@@ -125,7 +127,19 @@ def _coefs(spark, sf):
 
 
 def _names(spark, sf):
-    return fe.id_names(fe.feature_vocabulary(_training(spark, sf)))
+    """Feature names from the dimensions and closed domains (no fact scan)."""
+    t = _t(spark, sf)
+    loc = t.airports.select("locality")
+    values = {
+        "airline": t.airlines.select("name"),
+        "origin_locality": loc,
+        "dest_locality": loc,
+        "category": t.categories.select("name"),
+        "special_type": t.products.select("special_type"),
+    }
+    for col, dom in DOMAINS.items():
+        values[col] = literal_table(spark, [(v,) for v in dom], "value string")
+    return fe.names_from_values(spark, values)
 
 
 @query(
