@@ -75,13 +75,24 @@ def feature_id(column: str, value=None):
     return F.xxhash64(F.lit(column), value)
 
 
+KEY_CONSTANT = ("category", "special_type")  # product attributes: constant per product
+
+
 def id_items(
     numeric: list[str] = NUMERIC_FEATURES,
     categorical: list[str] = CATEGORICAL_FEATURES,
     with_const: bool = False,
     target: str | None = None,
+    exclude: tuple[str, ...] = (),
 ) -> list:
-    """Struct<fid, x> expressions (NULL when the feature is absent)."""
+    """Struct<fid, x> expressions (NULL when the feature is absent).
+
+    ``exclude`` drops columns that are constant within the model key: centred,
+    such a column is exactly zero, so its minimum-norm coefficient is 0 and
+    leaving it out changes no coefficient or prediction.
+    """
+    numeric = [c for c in numeric if c not in exclude]
+    categorical = [c for c in categorical if c not in exclude]
     items = []
     if with_const:
         items.append(F.struct(F.lit(CONST_ID).cast("long").alias("fid"), F.lit(1.0).alias("x")))

@@ -123,7 +123,8 @@ def _train_rows(spark, sf):
 
 
 def _coefs(spark, sf):
-    return rg.solve_models(rg.ols_gram(_train_rows(spark, sf)))
+    # Models are keyed by product: its attributes are constant per key and left out.
+    return rg.solve_models(rg.ols_gram(_train_rows(spark, sf), exclude=fe.KEY_CONSTANT))
 
 
 def _names(spark, sf):

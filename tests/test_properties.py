@@ -113,6 +113,10 @@ def test_gram_solve_matches_lstsq(spark):
     df = spark.createDataFrame(rows, schema)
     coefs = rg.solve_models(rg.ols_gram(df))
     pred = {r.service_id: r.raw_pred for r in rg.predict(df, coefs, ["service_id"]).collect()}
+    # leaving out key-constant columns (category here) gives the same predictions
+    coefs2 = rg.solve_models(rg.ols_gram(df, exclude=("category",)))
+    pred2 = {r.service_id: r.raw_pred for r in rg.predict(df, coefs2, ["service_id"]).collect()}
+    assert max(abs(pred[k] - pred2[k]) for k in pred) < 1e-6
     for k in sorted({r[0] for r in rows}):
         sub = [r for r in rows if r[0] == k]
         levels = sorted({(j, r[5 + j]) for r in sub for j in range(len(CATEGORICAL_FEATURES)) if r[5 + j] is not None})
