@@ -49,8 +49,10 @@ def get_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, taken from the session.
 
-    ``spark.checkpoint.dir`` names the shared folder on a cluster. Only when it is
-    unset (local tests) do we create a private scratch folder.
+    ``spark.checkpoint.dir`` names the shared folder on a cluster. Only a local
+    master (tests) may fall back to a private scratch folder; on a cluster an
+    unset folder is an error, because a machine-local folder would not survive
+    the loss of that machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +62,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) for checkpoints"
+            )
         configured = tempfile.mkdtemp(prefix="lotwise-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

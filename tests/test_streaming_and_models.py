@@ -56,3 +56,15 @@ def test_models_round_trip(spark):
 def test_missing_models_message(spark):
     with pytest.raises(FileNotFoundError, match="model_coefficients"):
         load_models(spark, "/nonexistent/lotwise-models")
+
+
+def test_checkpointed_models_equal(spark):
+    from lotwise.session import checkpoint_dir
+
+    assert checkpoint_dir(spark)
+    gram = rg.ols_gram(M._train_rows(spark, SF), exclude=("category", "special_type"))
+    a = rg.solve_models(gram)
+    b = rg.solve_models(gram, checkpoint=True)
+    ra = a.select("key", "fid", F.round("coef", 8).alias("c"))
+    rb = b.select("key", "fid", F.round("coef", 8).alias("c"))
+    assert ra.exceptAll(rb).count() == 0 and rb.exceptAll(ra).count() == 0
