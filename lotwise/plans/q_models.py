@@ -124,7 +124,8 @@ def _train_rows(spark, sf):
 
 def _coefs(spark, sf):
     # Models are keyed by product: its attributes are constant per key and left out.
-    return rg.solve_models(rg.ols_gram(_train_rows(spark, sf), exclude=fe.KEY_CONSTANT))
+    rows = _train_rows(spark, sf).withColumn("n_train", F.col("n") - F.col("n_test"))
+    return rg.fit_models(rows, "n_train", exclude=fe.KEY_CONSTANT)
 
 
 def _names(spark, sf):

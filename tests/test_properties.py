@@ -117,6 +117,12 @@ def test_gram_solve_matches_lstsq(spark):
     coefs2 = rg.solve_models(rg.ols_gram(df, exclude=("category",)))
     pred2 = {r.service_id: r.raw_pred for r in rg.predict(df, coefs2, ["service_id"]).collect()}
     assert max(abs(pred[k] - pred2[k]) for k in pred) < 1e-6
+    # both routes of fit_models (rows for small keys, Gram for large) agree
+    counted = df.join(df.groupBy("product_id").count().withColumnRenamed("count", "n_train"), "product_id")
+    for cut in (0, 1000):
+        c3 = rg.fit_models(counted, "n_train", row_path_max=cut)
+        p3 = {r.service_id: r.raw_pred for r in rg.predict(df, c3, ["service_id"]).collect()}
+        assert max(abs(pred[k] - p3[k]) for k in pred) < 1e-6, cut
     for k in sorted({r[0] for r in rows}):
         sub = [r for r in rows if r[0] == k]
         levels = sorted({(j, r[5 + j]) for r in sub for j in range(len(CATEGORICAL_FEATURES)) if r[5 + j] is not None})
