@@ -57,9 +57,46 @@ def flight_minutes(distance_km) -> Column:
     return F.floor(_c(distance_km).cast("double") / F.lit(800.0) * F.lit(60.0)).cast("int")
 
 
+def at_minute(date_col, minute_col) -> Column:
+    """Local timestamp ``minute_col`` minutes after midnight of ``date_col``.
+
+    Built from date + clock fields (date_add, make_timestamp_ntz), so the result
+    never depends on the session time zone: adding an interval to a timestamp
+    would skip or repeat wall-clock hours across daylight-saving changes.
+    """
+    m = _c(minute_col).cast("long")
+    days = F.floor(m / F.lit(1440))
+    rem = m - days * F.lit(1440)
+    d = F.date_add(_c(date_col), days.cast("int"))
+    return F.make_timestamp_ntz(
+        F.year(d), F.month(d), F.dayofmonth(d), F.floor(rem / F.lit(60)).cast("int"), (rem % 60).cast("int"), F.lit(0)
+    )
+
+
+def minute_of_day(ts) -> Column:
+    return F.hour(_c(ts)) * 60 + F.minute(_c(ts))
+
+
+def minutes_between(start, end) -> Column:
+    """Wall-clock minutes from ``start`` to ``end`` (local timestamps)."""
+    s, e = _c(start), _c(end)
+    return (F.datediff(F.to_date(e), F.to_date(s)) * 1440 + minute_of_day(e) - minute_of_day(s)).cast("long")
+
+
+def ts_text(ts) -> Column:
+    """'yyyy-MM-dd HH:mm:ss' of a local timestamp, without any time-zone step
+    (``date_format`` would pass through the session zone)."""
+    return F.substring(_c(ts).cast("timestamp_ntz").cast("string"), 1, 19)
+
+
+def clock_text(ts) -> Column:
+    """'HH:mm:ss' of a local timestamp, time-zone free."""
+    return F.substring(ts_text(ts), 12, 8)
+
+
 def arrival_ts(dep_ts, distance_km, buffer_minutes) -> Column:
-    minutes = flight_minutes(distance_km) + _c(buffer_minutes)
-    return _c(dep_ts) + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"), F.lit(0))
+    minutes = minute_of_day(dep_ts) + flight_minutes(distance_km) + _c(buffer_minutes)
+    return at_minute(F.to_date(_c(dep_ts)), minutes)
 
 
 def occupancy_bounds(season_col) -> tuple[Column, Column]:

@@ -209,6 +209,6 @@ def lot_audit_display(inventory: DataFrame, lang: str = DEFAULT_LANG) -> DataFra
         "product_name": F.col("product_name"),
         "lot_number": F.col("lot_number"),
         "current_qty": F.col("current_qty"),
-        "expiry_date": F.date_format("expiry_date", "yyyy-MM-dd"),
+        "expiry_date": F.col("expiry_date").cast("string"),
     }
     return inventory.select(*[c.alias(header(lang, AUDIT_HEADERS[k])) for k, c in cols.items()])

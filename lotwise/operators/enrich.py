@@ -39,14 +39,8 @@ def estimated_arrival(flights: DataFrame, buffer_minutes: int = 30) -> DataFrame
     return flights.select(
         "flight_id",
         cal.flight_minutes("distance_km").alias("flight_minutes"),
-        F.date_format(est, "yyyy-MM-dd HH:mm:ss").alias("est_arrival"),
-        (
-            (F.unix_micros(F.col("arr_ts").cast("timestamp")) - F.unix_micros(F.col("dep_ts").cast("timestamp")))
-            / F.lit(60_000_000)
-            - cal.flight_minutes("distance_km")
-        )
-        .cast("long")
-        .alias("buffer_minutes"),
+        cal.ts_text(est).alias("est_arrival"),
+        (cal.minutes_between("dep_ts", "arr_ts") - cal.flight_minutes("distance_km")).alias("buffer_minutes"),
     )
 
 

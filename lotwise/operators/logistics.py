@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions import calendar as cal
 from lotwise.operators.inventory import product_catalog
 
 VIEW_COLUMNS = [
@@ -105,9 +106,9 @@ def flight_logistics_view(
             "dest_iata",
             "dest_locality",
             F.to_date("dep_ts").alias("dep_date"),
-            F.date_format("dep_ts", "HH:mm:ss").alias("dep_time"),
+            cal.clock_text("dep_ts").alias("dep_time"),
             F.to_date("arr_ts").alias("arr_date"),
-            F.date_format("arr_ts", "HH:mm:ss").alias("arr_time"),
+            cal.clock_text("arr_ts").alias("arr_time"),
             "weekday",
             "season",
             "weather",

@@ -125,9 +125,7 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
     )
 
     ok = F.col("o_orderkey")
-    dep_ts = F.col("o_orderdate") + F.make_dt_interval(
-        F.lit(0), (ok % 24).cast("int"), ((ok % 4) * 15).cast("int"), F.lit(0)
-    )
+    dep_ts = cal.at_minute(F.to_date("o_orderdate"), (ok % 24) * 60 + (ok % 4) * 15)
     weather = F.element_at(F.array(*[F.lit(w) for w in WEATHERS]), (ok % 5).cast("int") + 1)
     distance = (F.lit(500) + (ok * 37) % 14501).cast("int")
     flights = (
