@@ -7,7 +7,8 @@ running sum of earlier lots, and
     taken = greatest(0, least(current_qty, need - stock_before))
 
 which equals the greedy take-until-covered walk. The running sum is the
-two-level chunked form of ``lotwise.operators.windows`` (chunk = expiry date),
+two-level chunked form of ``lotwise.operators.windows`` (chunk = expiry date and
+lot-id block),
 so a product with a very large number of lots is still spread over tasks.
 Only lots of products that are on the manifest enter the window (semi join).
 """
@@ -21,6 +22,7 @@ from lotwise.operators.inventory import loadable_inventory
 from lotwise.operators.windows import running_sum
 
 BUFFER_FRACTION = 0.05
+LOTS_PER_CHUNK = 1024  # lot-id block inside one expiry date for the chunked running sum
 
 
 def open_demand(lot_services: DataFrame, lots: DataFrame, products: DataFrame) -> DataFrame:
@@ -71,7 +73,8 @@ def fefo_allocate(
         order=["expiry_date", "lot_id"],
         value="current_qty",
         out="stock_before",
-        chunk=F.col("expiry_date"),
+        # monotone in (expiry_date, lot_id); splits a day with very many lots too
+        chunk=F.struct(F.col("expiry_date"), F.floor(F.col("lot_id") / F.lit(LOTS_PER_CHUNK)).alias("b")),
         inclusive=False,
     )
     taken = F.greatest(

@@ -46,6 +46,25 @@ def get_session(
     return spark
 
 
+def scale_conf(input_bytes: int, cores: int) -> dict[str, str]:
+    """Shuffle and split sizes for a given input volume and cluster size.
+
+    Initial shuffle partitions aim at ~256 MB of input per partition (at least
+    2 x cores), AQE then coalesces small ones to 128 MB and splits skewed ones
+    (> 5 x median and > 512 MB). File splits are 256 MB. Pass the result as
+    ``extra`` to ``get_session`` (or to spark-submit --conf).
+    """
+    parts = max(2 * cores, min(200_000, input_bytes // (256 << 20)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, taken from the session.
 

@@ -161,3 +161,23 @@ def test_empty_inputs(spark):
 
     empty = spark.createDataFrame([], "key long, ia long, ib long, s double")
     assert rg.solve_models(empty).count() == 0
+
+
+def test_fefo_many_lots_same_day(spark):
+    """A product whose lots all expire on one day: chunks split by lot-id block."""
+    n = 3000
+    rows = [(1, i, f"L{i}", D("2026-01-01"), "optimal", 1) for i in range(n)]
+    i = spark.createDataFrame(
+        rows, "product_id long, lot_id long, lot_number string, expiry_date date, status string, current_qty long"
+    )
+    lines = spark.createDataFrame([(1, 2500)], "product_id long, final_qty long")
+    got = al.fefo_allocate(lines, i).agg(F.count("*").alias("n"), F.max("lot_id").alias("m")).first()
+    assert (got.n, got.m) == (2500, 2499)
+
+
+def test_scale_conf():
+    from lotwise.session import scale_conf
+
+    c = scale_conf(100 * (1 << 40), cores=8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 200_000  # 409,600 capped
+    assert int(scale_conf(1 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16
