@@ -96,3 +96,30 @@ def test_menu_and_rates(spark):
     e = en.expected_consumption(planned, 0.95, [(["Soleado"], ["D"], 0.08)]).orderBy("service_id").collect()
     assert [round(r.rate, 6) for r in e] == [0.98, 0.95]  # clamped at 0.98
     assert [r.expected_qty for r in e] == [117, 99]
+
+
+def test_views_translations_nesting_and_ids(spark):
+    from lotwise.operators import allocate as al
+    from lotwise.operators.inventory import INVENTORY_COLUMNS
+    from lotwise.operators.logistics import VIEW_COLUMNS
+    from lotwise.sources.readers import drop_view, register_views, sparse_ids
+    import __spark_entry__ as E
+
+    sf = "/root/testdata/sf0.001"
+    assert E.queries()["flight_logistics_view"](spark, sf).columns == VIEW_COLUMNS
+    assert E.queries()["lot_inventory"](spark, sf).columns == INVENTORY_COLUMNS
+    tr = lb.translations_df(spark)
+    assert tr.where("lang = 'es' AND key = 'prio_high'").first().template == "Alta"
+    register_views({"tr_view": tr})
+    assert spark.sql("SELECT COUNT(*) AS n FROM tr_view").first().n == tr.count()
+    drop_view(spark, "tr_view")
+    assert not spark.catalog.tableExists("tr_view")
+    flat = spark.createDataFrame(
+        [(1, 10, 5, dt.date(2026, 1, 2), "L5", "optimal", 3), (1, 10, 4, dt.date(2026, 1, 1), "L4", "warning", 2),
+         (2, 7, None, None, None, None, None)],
+        "product_id long, final_qty long, lot_id long, expiry_date date, lot_number string, status string, taken_qty long",
+    )
+    nested = {r.product_id: r.lots for r in al.nest_assignments(flat).collect()}
+    assert [l.lot_id for l in nested[1]] == [4, 5] and nested[2] == []
+    ids = sparse_ids(tr, "rid").select("rid").distinct().count()
+    assert ids == tr.count()
