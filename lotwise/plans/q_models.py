@@ -198,7 +198,8 @@ def train_test_split_counts(spark, sf):
     ids="M3",
 )
 def ols_gram(spark, sf):
-    g = rg.gram_named(rg.ols_gram(_train_rows(spark, sf)), _names(spark, sf))
+    rows = _train_rows(spark, sf).withColumn("n_train", F.col("n") - F.col("n_test"))
+    g = rg.gram_named(rg.gram_routed(rows, "n_train"), _names(spark, sf))
     return g.select("key", "fa", "fb", F.round("s", 6).alias("s"))
 
 

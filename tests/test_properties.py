@@ -139,3 +139,18 @@ def test_units_truncate_and_clamp(spark):
     df = spark.createDataFrame([(2.99999999,), (2.7,), (-3.2,), (0.00001,)], "raw double")
     got = [r[0] for r in df.select(rg.units("raw")).collect()]
     assert got == [3, 2, 0, 0]
+
+
+def test_routed_gram_equals_exploded_gram(spark):
+    rng = random.Random(5)
+    rows = _random_training(rng, keys=4)
+    cols = ["product_id", "service_id", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES, "consumed_qty"]
+    schema = ", ".join(
+        f"{c} {'long' if c in ('product_id', 'service_id') else 'int' if c in NUMERIC_FEATURES else 'double' if c == 'consumed_qty' else 'string'}"
+        for c in cols
+    )
+    df = spark.createDataFrame(rows, schema)
+    counted = df.join(df.groupBy("product_id").count().withColumnRenamed("count", "n_train"), "product_id")
+    a = rg.ols_gram(df).select("key", "ia", "ib", F.round("s", 6).alias("s"))
+    b = rg.gram_routed(counted, "n_train", row_path_max=1000).select("key", "ia", "ib", F.round("s", 6).alias("s"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
