@@ -154,3 +154,31 @@ def test_routed_gram_equals_exploded_gram(spark):
     a = rg.ols_gram(df).select("key", "ia", "ib", F.round("s", 6).alias("s"))
     b = rg.gram_routed(counted, "n_train", row_path_max=1000).select("key", "ia", "ib", F.round("s", 6).alias("s"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_fit_models_mixed_routes_match_lstsq(spark):
+    """One hot key (600 rows, Gram route) next to small keys (row route)."""
+    rng = random.Random(17)
+    rows = _random_training(rng, keys=1, rows_per_key=(600, 600))
+    rows += [(k + 1,) + r[1:] for k, r in enumerate(_random_training(random.Random(2), keys=3, rows_per_key=(15, 30)))]
+    # renumber service ids to keep them unique
+    rows = [(r[0], i) + r[2:] for i, r in enumerate(rows)]
+    cols = ["product_id", "service_id", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES, "consumed_qty"]
+    schema = ", ".join(
+        f"{c} {'long' if c in ('product_id', 'service_id') else 'int' if c in NUMERIC_FEATURES else 'double' if c == 'consumed_qty' else 'string'}"
+        for c in cols
+    )
+    df = spark.createDataFrame(rows, schema)
+    counted = df.join(df.groupBy("product_id").count().withColumnRenamed("count", "n_train"), "product_id")
+    coefs = rg.fit_models(counted, "n_train", row_path_max=128)
+    pred = {r.service_id: r.raw_pred for r in rg.predict(df, coefs, ["service_id"]).collect()}
+    for k in sorted({r[0] for r in rows}):
+        sub = [r for r in rows if r[0] == k]
+        levels = sorted({(j, r[5 + j]) for r in sub for j in range(len(CATEGORICAL_FEATURES)) if r[5 + j] is not None})
+        X = np.array([[r[2], r[3], r[4]] + [1.0 if r[5 + j] == v else 0.0 for j, v in levels] for r in sub], float)
+        y = np.array([r[-1] for r in sub])
+        xm, ym = X.mean(0), y.mean()
+        beta = np.linalg.lstsq(X - xm, y - ym, rcond=None)[0]
+        ref = (X - xm) @ beta + ym
+        ours = np.array([pred[r[1]] for r in sub])
+        assert np.max(np.abs(ours - ref)) < 1e-4 * max(1.0, np.max(np.abs(ref))), k
