@@ -146,8 +146,7 @@ def flight_products(service_lines: DataFrame, menu: DataFrame) -> DataFrame:
 
 def service_lines(lot_services: DataFrame, flights: DataFrame, lots: DataFrame, catalog: DataFrame) -> DataFrame:
     """Service lines with the flight and product attributes the rules need."""
-    return (
-        lot_services.join(flights.select("flight_id", "passengers", "weather", "daypart"), "flight_id")
-        .join(lots.select("lot_id", "product_id"), "lot_id")
-        .join(catalog.select("product_id", "category"), "product_id")
+    lot_dim = lots.select("lot_id", "product_id").join(catalog.select("product_id", "category"), "product_id")
+    return lot_services.join(flights.select("flight_id", "passengers", "weather", "daypart"), "flight_id").join(
+        lot_dim, "lot_id"
     )

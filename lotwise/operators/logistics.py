@@ -92,11 +92,12 @@ def flight_logistics_view(
 ) -> DataFrame:
     """S5 + J2: one row per service line, 24 columns."""
     fd = flight_dims(flights, airlines, airports)
-    cat = product_catalog(products, categories)
+    # lots JOIN catalog first (dimension-sized), so the fact meets one lot-keyed
+    # dimension: one fact shuffle by lot_id instead of one by lot and one by product.
+    lot_dim = lots.join(product_catalog(products, categories), "product_id")
     return (
         lot_services.join(fd, "flight_id")
-        .join(lots, "lot_id")
-        .join(cat, "product_id")
+        .join(lot_dim, "lot_id")
         .select(
             "flight_id",
             "airline",
@@ -133,12 +134,11 @@ def service_features(
     fd = flight_dims(flights, airlines, airports).join(
         aircraft_types.select("aircraft_type_id", "max_capacity"), "aircraft_type_id"
     )
-    cat = product_catalog(products, categories)
+    lot_dim = lots.select("lot_id", "product_id").join(product_catalog(products, categories), "product_id")
     fact = lot_services.where(condition).select("service_id", "flight_id", "lot_id", "consumed_qty")
     return (
         fact.join(fd, "flight_id")
-        .join(lots.select("lot_id", "product_id"), "lot_id")
-        .join(cat, "product_id")
+        .join(lot_dim, "lot_id")
         .select(
             "service_id",
             "flight_id",
