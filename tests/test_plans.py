@@ -8,7 +8,7 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 BAD = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
-PYTHON_ALLOWED = {"product_models", "product_model_r2", "forecast_demand", "forecast_manifest"}
+PYTHON_ALLOWED = {"ols_gram", "product_models", "product_model_r2", "forecast_demand", "forecast_manifest"}
 
 
 def _plan(df):
