@@ -63,11 +63,13 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
     )
 
 
-def draw(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share_percent: int = SHARE_PERCENT) -> DataFrame:
-    """Every document with its draw: ``row`` (the document), size, source_size, target, copies."""
+def draw(
+    docs: DataFrame, columns: list[str] | None = None, seed: str = SEED, weights=WEIGHTS, share_percent: int = SHARE_PERCENT
+) -> DataFrame:
+    """Every document with its draw: ``row`` (its ``columns``), size, source_size, target, copies."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"),
         F.col("source").alias("source"),
         size.alias("size"),
         F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")).alias("h"),
@@ -111,7 +113,7 @@ def mix(docs: DataFrame, **kw) -> DataFrame:
 
 def report(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per document."""
-    d = draw(docs.select("doc_id", "text", "source"), **kw)
+    d = draw(docs, columns=["doc_id"], **kw)
     return d.select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
         (F.col("size") * F.col("copies")).cast("long").alias("taken"),

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
-from lotwise.llm import licenses, mixing
+import public_tokenizers
+
+from lotwise.llm import langid, licenses, mixing, quality, token_counts, toxicity
 from lotwise.llm.common import table
 
 
+def op3_quality_rules(spark, sf_dir):
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_mix_sources(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def queries():
     return {
+        "op3_quality_rules": op3_quality_rules,
+        "op4_language_id": op4_language_id,
+        "op6_token_counts": op6_token_counts,
         "op7_mix_sources": op7_mix_sources,
+        "op8_toxicity": op8_toxicity,
         "op10_license_scan": op10_license_scan,
     }
 
