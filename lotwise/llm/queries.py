@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lotwise.llm import langid, licenses, mixing, quality, token_counts, toxicity
+from lotwise.llm import langid, licenses, mixing, quality, superminhash, token_counts, toxicity
 from lotwise.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op4_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark, sf_dir):
+    return superminhash.group_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,6 +40,7 @@ def queries():
     return {
         "op3_quality_rules": op3_quality_rules,
         "op4_language_id": op4_language_id,
+        "op5_near_duplicates": op5_near_duplicates,
         "op6_token_counts": op6_token_counts,
         "op7_mix_sources": op7_mix_sources,
         "op8_toxicity": op8_toxicity,
