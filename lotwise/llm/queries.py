@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lotwise.llm import langid, licenses, mixing, quality, superminhash, token_counts, toxicity
+from lotwise.llm import langid, licenses, lines, mixing, pq, quality, superminhash, token_counts, toxicity
 from lotwise.llm.common import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+def op2_vector_duplicates(spark, sf_dir):
+    return pq.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +46,8 @@ def op10_license_scan(spark, sf_dir):
 
 def queries():
     return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_vector_duplicates": op2_vector_duplicates,
         "op3_quality_rules": op3_quality_rules,
         "op4_language_id": op4_language_id,
         "op5_near_duplicates": op5_near_duplicates,
