@@ -182,7 +182,7 @@ def _index_one(classes: DataFrame, size: int, total: int) -> DataFrame:
             return pd.DataFrame({"u": [], "v": [], "n": []})
         counts, links = compare(restored(), int(pdf["cell"].iloc[0]), q, e)
         out = [(u, None, n) for u, n in counts.items()] + [(u, v, None) for u, v in links]
-        return pd.DataFrame(out, columns=["u", "v", "n"]).astype("Int64")
+        return pd.DataFrame({c: pd.array(x, dtype="Int64") for c, x in zip("uvn", zip(*out))} if out else {"u": [], "v": [], "n": []})
 
     return queries.unionByName(entries).groupBy("cell", "qb", "eb").applyInPandas(run, "u long, v long, n long")
 

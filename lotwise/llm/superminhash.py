@@ -126,11 +126,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                     rows.append((len(s), digest - (1 << 64) if digest >> 63 else digest, fingerprint(signature(s))))
                 else:
                     rows.append((0, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "id", "sig"])
-            out["id"] = out["id"].astype(pd.Int64Dtype()) if rows else out["id"]
-            out.insert(0, "doc_id", pdf["doc_id"])
-            out.insert(1, "text_key", pdf["text_key"])
-            yield out
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_shingles": [r[0] for r in rows],
+                    "id": pd.array([r[1] for r in rows], dtype="Int64"), "sig": [r[2] for r in rows],
+                }
+            )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(
