@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import crc_mod
+from lotwise.llm.common import crc_mod, map_text
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -181,10 +181,9 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> Hierarchy | None:
 def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per document."""
 
-    def run(batches):
-        for pdf in batches:
-            lang, score = [UNDETERMINED] * len(pdf), np.zeros(len(pdf))
-            texts = pdf["text"].tolist()
+    def worker():
+        def work(texts):
+            lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             for start in range(0, len(texts), 500):
                 made = [(i, features(texts[i])) for i in range(start, min(start + 500, len(texts))) if texts[i] is not None]
                 made = [(i, v) for i, v in made if v is not None]
@@ -192,12 +191,12 @@ def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
                     got, sure = model.predict(np.array([v for _, v in made]))
                     for (i, _), c, p in zip(made, got, sure):
                         lang[i], score[i] = c, p
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": lang, "score": score})
+            return lang, score
+
+        return work
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", "text", held_out).mapInPandas(
-        run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    return map_text(docs.select("doc_id", "text", held_out), "text", "lang_pred string, score double", worker)
 
 
 def identify(docs: DataFrame) -> DataFrame:

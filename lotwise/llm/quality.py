@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm.bpe_words import slices
-from lotwise.llm.common import staged
+from lotwise.llm.common import map_text, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -148,16 +148,14 @@ def expected_length(n: int) -> float:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, the rule statistics and the feature array of each document."""
 
-    def run(batches):
-        for pdf in batches:
-            stats, feats = statistics(["" if t is None else t for t in pdf["text"].tolist()])
-            out = pd.DataFrame(stats, columns=[c.split()[0] for c in STATS.split(", ")])
-            out.insert(0, "doc_id", pdf["doc_id"])
-            out["features"] = list(feats)
-            yield out
+    def worker():
+        def work(texts):
+            stats, feats = statistics(["" if t is None else t for t in texts])
+            return [*stats.T, list(feats)]
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, {STATS}, features array<double>")
+        return work
+
+    return map_text(docs.select("doc_id", "text"), "text", f"{STATS}, features array<double>", worker)
 
 
 def base_failed():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lotwise.llm import langid, licenses, lines, mixing, pq, quality, superminhash, token_counts, toxicity
+from lotwise.llm import bpe, langid, licenses, lines, mixing, pq, quality, superminhash, token_counts, toxicity
 from lotwise.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def queries():
         "op6_token_counts": op6_token_counts,
         "op7_mix_sources": op7_mix_sources,
         "op8_toxicity": op8_toxicity,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_license_scan": op10_license_scan,
     }
 

@@ -21,12 +21,11 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import staged
+from lotwise.llm.common import map_text, staged
 from lotwise.llm.components import connected_components
 from lotwise.llm.neardup import candidate_groups, mix64, verified_links
 
@@ -111,13 +110,14 @@ def fingerprint(sig: np.ndarray) -> bytes:
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_shingles, id (set digest, null if empty), sig: one row per document."""
 
-    def run(batches):
+    def worker():
         import xxhash
 
         known: dict = {}
-        for pdf in batches:
+
+        def work(texts):
             rows = []
-            for text in pdf["text"].tolist():
+            for text in texts:
                 if len(known) > 500_000:
                     known.clear()
                 s = shingles(text, known)
@@ -126,16 +126,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                     rows.append((len(s), digest - (1 << 64) if digest >> 63 else digest, fingerprint(signature(s))))
                 else:
                     rows.append((0, None, None))
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_shingles": [r[0] for r in rows],
-                    "id": pd.array([r[1] for r in rows], dtype="Int64"), "sig": [r[2] for r in rows],
-                }
-            )
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(
-        run, f"doc_id {id_type}, text_key long, n_shingles long, id long, sig binary")
+            return zip(*rows)
+
+        return work
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return map_text(keyed, "text", "n_shingles long, id long, sig binary", worker)
 
 
 def group_documents(docs: DataFrame) -> DataFrame:

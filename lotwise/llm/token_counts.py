@@ -21,12 +21,12 @@ import os
 import sys
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm.bpe_words import slices, units
+from lotwise.llm.common import map_text
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -225,19 +225,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     arrays = {"merger": {**vars(c.merger)}, "special": c.special, "whole": c.whole}
     shared = docs.sparkSession.sparkContext.broadcast(arrays)  # fixed size, see above
 
-    def run(batches):
+    def worker():
         state = shared.value  # kept by the worker between tasks, and the memory with it
         count = Counter.restored(state, state.setdefault("memory", {})).count
-        for pdf in batches:
-            texts = ["" if t is None else t for t in pdf["text"].tolist()]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "n_bytes": [len(t.encode("utf-8")) for t in texts],
-                    "n_tokens": [n for some in slices(texts) for n in count(some)],
-                }
-            )
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, n_bytes long, n_tokens long")
+
+        def work(texts):
+            texts = ["" if t is None else t for t in texts]
+            return [len(t.encode("utf-8")) for t in texts], [n for some in slices(texts) for n in count(some)]
+
+        return work
+
+    out = map_text(docs.select("doc_id", "text"), "text", "n_bytes long, n_tokens long", worker)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -25,12 +25,11 @@ import sys
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import crc_mod
+from lotwise.llm.common import crc_mod, map_text
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -199,20 +198,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids and cosines): one row per document."""
 
-    def run(batches):
-        for pdf in batches:
-            got = [model.score(t) if model is not None else (0.0, [], []) for t in pdf["text"].tolist()]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": [g[0] for g in got],
-                    "evidence_ids": [g[1] for g in got], "evidence_cosines": [g[2] for g in got],
-                }
-            )
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    def worker():
+        def work(texts):
+            return zip(*[model.score(t) if model is not None else (0.0, [], []) for t in texts])
+
+        return work
+
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
-    out = docs.select("doc_id", "text", held_out).mapInPandas(
-        run, f"doc_id {id_type}, held_out boolean, score double, evidence_ids array<long>, evidence_cosines array<double>")
+    made = "score double, evidence_ids array<long>, evidence_cosines array<double>"
+    out = map_text(docs.select("doc_id", "text", held_out), "text", made, worker)
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
