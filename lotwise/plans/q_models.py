@@ -198,8 +198,7 @@ def train_test_split_counts(spark, sf):
     ids="M3",
 )
 def ols_gram(spark, sf):
-    rows = _train_rows(spark, sf).withColumn("n_train", F.col("n") - F.col("n_test"))
-    g = rg.gram_named(rg.gram_routed(rows, "n_train"), _names(spark, sf))
+    g = rg.gram_named(rg.ols_gram(_train_rows(spark, sf)), _names(spark, sf))
     return g.select("key", "fa", "fb", F.round("s", 6).alias("s"))
 
 
@@ -208,6 +207,54 @@ def product_models(spark, sf):
     return rg.name_coefficients(_coefs(spark, sf), _names(spark, sf))
 
 
+@query(
+    "model_normal_equations",
+    f"""SELECT DISTINCT product_id, feature, CAST(0.0 AS DOUBLE) AS gradient
+        FROM ({_sparse_sql('train_rows', True, None)})""",
+    ids="M3 M5",
+)
+def model_normal_equations(spark, sf):
+    """Sum of x * (y - prediction) per product and feature over the training rows, relative to the
+    sizes of x and y: 0 for every feature if and only if the model is a least-squares solution."""
+    rows = _train_rows(spark, sf).withColumn("n_train", F.col("n") - F.col("n_test"))
+    coefs = rg.fit_models(rows, "n_train", exclude=fe.KEY_CONSTANT)
+    x = F.explode(F.filter(F.array(*fe.id_items(with_const=True)), lambda i: i.isNotNull())).alias("i")
+    scored = rg.predict(rows, coefs, ["consumed_qty", *_NUMS, *_CATS])
+    y = F.col("consumed_qty").cast("double")
+    sums = (
+        scored.select("key", y.alias("y"), (y - F.col("raw_pred")).alias("e"), x)
+        .groupBy("key", F.col("i.fid").alias("fid"))
+        .agg(F.sum(F.col("i.x") * F.col("e")).alias("g"), F.sum(F.pow("i.x", F.lit(2))).alias("xx"), F.sum(F.pow("y", F.lit(2))).alias("yy"))
+    )
+    gradient = F.round(F.col("g") / F.sqrt(F.col("xx") * F.col("yy") + 1), 6) + F.lit(0.0)
+    return sums.join(_names(spark, sf), "fid").select(F.col("key").alias("product_id"), "feature", gradient.alias("gradient"))
+
+
+_FREE = [c for c in _CATS if c not in fe.KEY_CONSTANT]
+
+
+@query(
+    "model_level_sums",
+    "\nUNION ALL ".join(
+        f"SELECT product_id, '{c}' AS column_name, CAST(0.0 AS DOUBLE) AS level_sum FROM train_rows "
+        f"GROUP BY product_id HAVING COUNT({c}) = COUNT(*)"
+        for c in _FREE
+    ),
+    ids="M3 S7",
+)
+def model_level_sums(spark, sf):
+    """Sum of the coefficients of a column's levels, per product and column without NULLs: 0 in the
+    minimum-norm solution."""
+    rows = _train_rows(spark, sf)
+    full = rows.groupBy("product_id").agg(*[(F.count(c) == F.count(F.lit(1))).alias(c) for c in _FREE])
+    full = full.select("product_id", F.explode(F.array(*[F.when(F.col(c), F.lit(c)) for c in _FREE])).alias("column_name"))
+    named = rg.name_coefficients(_coefs(spark, sf), _names(spark, sf)).where("fid <> 0")
+    named = named.select(F.col("key").alias("product_id"), F.substring_index("feature", "=", 1).alias("column_name"), "coef")
+    sums = named.groupBy("product_id", "column_name").agg(
+        (F.round(F.sum("coef") / (1 + F.max(F.abs("coef"))), 6) + F.lit(0.0)).alias("level_sum"))
+    return full.where("column_name is not null").join(sums, ["product_id", "column_name"])
+
+
 @query("product_model_r2", None, ids="M4")
 def product_model_r2(spark, sf):
     test = _split(spark, sf).where((F.col("n") >= fe.MIN_ROWS) & F.col("is_test"))

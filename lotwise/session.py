@@ -53,7 +53,7 @@ def scale_conf(input_bytes: int, cores: int) -> dict[str, str]:
     (> 5 x median and > 512 MB). File splits are 256 MB. Pass the result as
     ``extra`` to ``get_session`` (or to spark-submit --conf).
     """
-    parts = max(2 * cores, min(200_000, input_bytes // (256 << 20)))
+    parts = max(2 * cores, input_bytes // (256 << 20))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(256 << 20),

@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as E
+from lotwise import plans as E
 from oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"

@@ -4,11 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from lotwise import plans as E
 
 SF = "/root/testdata/sf0.001"
 BAD = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
-PYTHON_ALLOWED = {"ols_gram", "product_models", "product_model_r2", "forecast_demand", "forecast_manifest"}
+PYTHON_ALLOWED = {"model_normal_equations", "model_level_sums", "product_models", "product_model_r2", "forecast_demand", "forecast_manifest"}
 
 
 def _plan(df):

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -111,18 +112,14 @@ def test_gram_solve_matches_lstsq(spark):
         for c in cols
     )
     df = spark.createDataFrame(rows, schema)
-    coefs = rg.solve_models(rg.ols_gram(df))
-    pred = {r.service_id: r.raw_pred for r in rg.predict(df, coefs, ["service_id"]).collect()}
-    # leaving out key-constant columns (category here) gives the same predictions
-    coefs2 = rg.solve_models(rg.ols_gram(df, exclude=("category",)))
-    pred2 = {r.service_id: r.raw_pred for r in rg.predict(df, coefs2, ["service_id"]).collect()}
-    assert max(abs(pred[k] - pred2[k]) for k in pred) < 1e-6
-    # both routes of fit_models (rows for small keys, Gram for large) agree
     counted = df.join(df.groupBy("product_id").count().withColumnRenamed("count", "n_train"), "product_id")
-    for cut in (0, 1000):
-        c3 = rg.fit_models(counted, "n_train", row_path_max=cut)
-        p3 = {r.service_id: r.raw_pred for r in rg.predict(df, c3, ["service_id"]).collect()}
-        assert max(abs(pred[k] - p3[k]) for k in pred) < 1e-6, cut
+    pred = {r.service_id: r.raw_pred for r in rg.predict(df, rg.fit_models(counted, "n_train"), ["service_id"]).collect()}
+    # leaving out key-constant columns (category here) gives the same predictions, and so does
+    # cutting every key into blocks of a few rows
+    for kw in ({"exclude": ("category",)}, {"block_rows": 7}):
+        coefs2 = rg.fit_models(counted, "n_train", **kw)
+        pred2 = {r.service_id: r.raw_pred for r in rg.predict(df, coefs2, ["service_id"]).collect()}
+        assert max(abs(pred[k] - pred2[k]) for k in pred) < 1e-8, kw
     for k in sorted({r[0] for r in rows}):
         sub = [r for r in rows if r[0] == k]
         levels = sorted({(j, r[5 + j]) for r in sub for j in range(len(CATEGORICAL_FEATURES)) if r[5 + j] is not None})
@@ -136,28 +133,55 @@ def test_gram_solve_matches_lstsq(spark):
 
 
 def test_units_truncate_and_clamp(spark):
-    df = spark.createDataFrame([(2.99999999,), (2.7,), (-3.2,), (0.00001,)], "raw double")
+    df = spark.createDataFrame([(2.99999999999,), (2.99996,), (2.7,), (-3.2,), (0.00001,)], "raw double")
     got = [r[0] for r in df.select(rg.units("raw")).collect()]
-    assert got == [3, 2, 0, 0]
-
-
-def test_routed_gram_equals_exploded_gram(spark):
-    rng = random.Random(5)
-    rows = _random_training(rng, keys=4)
-    cols = ["product_id", "service_id", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES, "consumed_qty"]
-    schema = ", ".join(
-        f"{c} {'long' if c in ('product_id', 'service_id') else 'int' if c in NUMERIC_FEATURES else 'double' if c == 'consumed_qty' else 'string'}"
-        for c in cols
-    )
-    df = spark.createDataFrame(rows, schema)
-    counted = df.join(df.groupBy("product_id").count().withColumnRenamed("count", "n_train"), "product_id")
-    a = rg.ols_gram(df).select("key", "ia", "ib", F.round("s", 6).alias("s"))
-    b = rg.gram_routed(counted, "n_train", row_path_max=1000).select("key", "ia", "ib", F.round("s", 6).alias("s"))
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
-def test_fit_models_mixed_routes_match_lstsq(spark):
-    """One hot key (600 rows, Gram route) next to small keys (row route)."""
+    assert got == [3, 2, 2, 0, 0]
+
+
+def _levels(n, rare, confounded=False, seed=3):
+    """n rows of slots (3 numbers, a level of 4, and a rare level worth 40 units in ``rare`` rows)."""
+    g = np.random.default_rng(seed)
+    x = np.column_stack([g.integers(1, 300, n), g.integers(100, 9000, n), g.choice([300, 400], n)]).astype(float)
+    level = g.integers(10, 14, n)
+    special = np.zeros(n, bool)
+    special[g.choice(n, rare, replace=False)] = True
+    fids = np.column_stack([np.full(n, 1), np.full(n, 2), np.full(n, 3), np.where(special, 20, level)])
+    slots = np.column_stack([x, np.ones(n)])
+    if confounded:  # a second rare level in exactly the same rows
+        fids = np.column_stack([fids, np.full(n, 30)])
+        slots = np.column_stack([slots, np.where(special, 1.0, np.nan)])
+    y = 0.3 * x[:, 0] + 0.001 * x[:, 1] + 40.0 * special + level
+    return fids, slots, y
+
+
+@pytest.mark.parametrize("n,rare,confounded", [(200, 1, False), (100_000, 1, False), (1_000_000, 1, False), (100_000, 3, True)])
+def test_rare_levels_survive_at_any_size(n, rare, confounded):
+    """One estimator at every size: rare levels are fitted, as lstsq on the rows does."""
+    fids, slots, y = _levels(n, rare, confounded)
+    whole = None
+    for part in np.array_split(np.arange(n), max(1, n // 50_000)):
+        one = rg.block_moments(fids[part], slots[part], y[part])
+        whole = one if whole is None else rg.merge_moments(whole, one)
+    _, ids, mean, cross, size = whole
+    intercept, beta, rank = rg.solve_moments(mean, cross, size)
+    special = (fids == 20).any(1)
+    rows = np.r_[np.flatnonzero(special), np.arange(min(n, 2000))]
+    x = np.zeros((n, len(ids)))
+    r, c = np.nonzero(~np.isnan(slots))
+    x[r, np.searchsorted(ids, fids[r, c])] = slots[r, c]
+    xm = x.mean(0)
+    if n <= 100_000:
+        ref, _, ref_rank, _ = np.linalg.lstsq(x - xm, y - y.mean(), rcond=1e-13)
+        assert rank == ref_rank
+        assert np.abs(beta - ref).max() < 1e-6
+    got = intercept + x[rows] @ beta
+    assert np.abs(got - y[rows]).max() < 30  # the level column is mixed with noise-free parts
+    exact = np.linalg.lstsq(np.column_stack([np.ones(n), x]), y, rcond=1e-13)[0]
+    assert np.abs(got - np.column_stack([np.ones(len(rows)), x[rows]]) @ exact).max() < 1e-6
+
+
+def test_fit_models_hot_and_small_keys_match_lstsq(spark):
+    """One hot key (600 rows, five blocks) next to small keys."""
     rng = random.Random(17)
     rows = _random_training(rng, keys=1, rows_per_key=(600, 600))
     rows += [(k + 1,) + r[1:] for k, r in enumerate(_random_training(random.Random(2), keys=3, rows_per_key=(15, 30)))]
@@ -170,7 +194,7 @@ def test_fit_models_mixed_routes_match_lstsq(spark):
     )
     df = spark.createDataFrame(rows, schema)
     counted = df.join(df.groupBy("product_id").count().withColumnRenamed("count", "n_train"), "product_id")
-    coefs = rg.fit_models(counted, "n_train", row_path_max=128)
+    coefs = rg.fit_models(counted, "n_train", block_rows=128)
     pred = {r.service_id: r.raw_pred for r in rg.predict(df, coefs, ["service_id"]).collect()}
     for k in sorted({r[0] for r in rows}):
         sub = [r for r in rows if r[0] == k]
