@@ -6,7 +6,6 @@ The package is organised by layer:
 * ``lotwise.functions`` - column-expression builders (status, calendar rules, labels)
 * ``lotwise.operators`` - DataFrame -> DataFrame operators (inventory, allocation, models, checks)
 * ``lotwise.plans``     - query registry (``queries()``) and the DuckDB oracle SQL
-* ``lotwise.streaming`` - incremental (Structured Streaming) form of the stock aggregate
 """
 
 from lotwise.session import get_session, checkpoint_dir

@@ -27,7 +27,6 @@ TRANSLATIONS = {
         "col_days_remaining": "Días Restantes",
         "col_product": "Producto",
         "col_lot_code": "Código de Lote",
-        "col_quantity": "Cantidad",
         "col_expiration": "Vencimiento",
         "rec_type_expired": "Lote Caducado",
         "rec_type_waste_risk": "Riesgo Alto de Merma",
@@ -42,8 +41,6 @@ TRANSLATIONS = {
         "prio_high": "Alta",
         "prio_medium": "Media",
         "prio_low": "Baja",
-        "col_predicted_demand": "Demanda Prevista",
-        "manifest_insufficient_stock_warning": "¡Insuficiente stock para '{prod}'! Faltan {qty} unidades.",
         "col_remaining_qty": "Cantidad Restante",
     },
     "en": {
@@ -55,7 +52,6 @@ TRANSLATIONS = {
         "col_days_remaining": "Days Remaining",
         "col_product": "Product",
         "col_lot_code": "Lot Code",
-        "col_quantity": "Quantity",
         "col_expiration": "Expiration",
         "rec_type_expired": "Expired Lot",
         "rec_type_waste_risk": "High Risk of Waste",
@@ -70,8 +66,6 @@ TRANSLATIONS = {
         "prio_high": "High",
         "prio_medium": "Medium",
         "prio_low": "Low",
-        "col_predicted_demand": "Predicted Demand",
-        "manifest_insufficient_stock_warning": "Insufficient stock for '{prod}'! Missing {qty} units.",
         "col_remaining_qty": "Remaining Qty",
     },
 }

@@ -3,8 +3,9 @@
     lot_services JOIN flights(dep_date >= as_of - n) JOIN lots JOIN products
     WHERE consumed_qty IS NOT NULL  GROUP BY product
 
-The window predicate sits on ``flights`` and is pushed to its scan; with a
-departure-date partitioned flights table it prunes partitions. The rates divide
+The window predicate is a bound on the stored column ``dep_date`` of ``flights`` (a date, or a time
+stamp of that day), so it is pushed to the scan and prunes partitions of a table partitioned by it.
+Without that column the date is taken from ``dep_ts``, row by row. The rates divide
 by the window length (not by the number of days observed).
 """
 
@@ -19,9 +20,10 @@ DEFAULT_WINDOW_DAYS = 30
 
 
 def window_flights(flights: DataFrame, as_of, window_days: int = DEFAULT_WINDOW_DAYS) -> DataFrame:
-    return flights.where(F.to_date("dep_ts") >= F.date_sub(as_of_col(as_of), window_days)).select(
-        "flight_id"
-    )
+    first = F.date_sub(as_of_col(as_of), window_days)
+    if "dep_date" in flights.columns:
+        return flights.where(F.col("dep_date") >= first.cast(flights.schema["dep_date"].dataType)).select("flight_id")
+    return flights.where(F.to_date("dep_ts") >= first).select("flight_id")
 
 
 def product_consumption(

@@ -54,13 +54,14 @@ def duplicate_keys(tables: dict[str, DataFrame]) -> DataFrame:
     out = []
     for t, keys in PRIMARY_KEYS.items():
         for cols in keys:
-            k = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+            shown = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
             out.append(
                 tables[t]
-                .groupBy(k.alias("key_value"))
+                .dropna(subset=list(cols))  # a null is no key value
+                .groupBy(*cols)
                 .agg(F.count(F.lit(1)).alias("n"))
                 .where(F.col("n") > 1)
-                .select(F.lit(t).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"), "key_value", "n")
+                .select(F.lit(t).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"), shown.alias("key_value"), "n")
             )
     return _union(out)
 

@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from lotwise.operators.inventory import active_inventory
 from lotwise.operators.metrics import product_stock
 
-HIGH, MEDIUM, LOW = "high", "medium", "low"
-PRIORITY_RANK = {HIGH: 0, MEDIUM: 1, LOW: 2}
+HIGH, MEDIUM = "high", "medium"
+PRIORITY_RANK = {HIGH: 0, MEDIUM: 1}
 EXPIRED, WASTE_RISK, STOCKOUT_RISK = "expired", "waste_risk", "stockout_risk"
 STOCKOUT_FRACTION = 0.5
 WASTE_DAYS = 3
+# Severity and icon shown with each rule.
+SEVERITY = {EXPIRED: "error", WASTE_RISK: "error", STOCKOUT_RISK: "warning"}
+ICON = {EXPIRED: "🔴", WASTE_RISK: "🟠", STOCKOUT_RISK: "🟡"}
 NO_DAYS = 999
 
 REC_COLUMNS = [
@@ -39,6 +42,8 @@ REC_COLUMNS = [
     "days_remaining",
     "stock",
     "avg_weekly",
+    "severity",
+    "icon",
 ]
 
 
@@ -62,6 +67,8 @@ def lot_rules(inventory: DataFrame) -> DataFrame:
             "days_remaining",
             F.lit(None).cast("long").alias("stock"),
             F.lit(None).cast("double").alias("avg_weekly"),
+            F.lit(SEVERITY[EXPIRED]).alias("severity"),
+            F.when(d <= 0, ICON[EXPIRED]).otherwise(F.lit(ICON[WASTE_RISK])).alias("icon"),
         )
     )
 
@@ -100,6 +107,8 @@ def recommendations(inventory: DataFrame, consumption: DataFrame, ordered: bool
         F.lit(None).cast("int").alias("days_remaining"),
         "stock",
         "avg_weekly",
+        F.lit(SEVERITY[STOCKOUT_RISK]).alias("severity"),
+        F.lit(ICON[STOCKOUT_RISK]).alias("icon"),
     )
     out = lot_rules(inventory).unionByName(so)
     if ordered:

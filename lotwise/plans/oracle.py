@@ -149,7 +149,8 @@ DERIVED: list[tuple[str, str]] = [
         """SELECT 'high' AS priority, 0 AS priority_rank,
                   CASE WHEN days_remaining <= 0 THEN 'expired' ELSE 'waste_risk' END AS rule,
                   product_id, product_name, lot_id, lot_number, expiry_date, current_qty AS qty,
-                  days_remaining, CAST(NULL AS BIGINT) AS stock, CAST(NULL AS DOUBLE) AS avg_weekly
+                  days_remaining, CAST(NULL AS BIGINT) AS stock, CAST(NULL AS DOUBLE) AS avg_weekly,
+                  'error' AS severity, CASE WHEN days_remaining <= 0 THEN '🔴' ELSE '🟠' END AS icon
            FROM active WHERE days_remaining <= 3""",
     ),
     (
@@ -158,7 +159,7 @@ DERIVED: list[tuple[str, str]] = [
            UNION ALL
            SELECT 'medium', 1, 'stockout_risk', product_id, product_name, CAST(NULL AS BIGINT),
                   CAST(NULL AS VARCHAR), CAST(NULL AS DATE), CAST(NULL AS BIGINT), CAST(NULL AS INTEGER),
-                  stock, avg_weekly
+                  stock, avg_weekly, 'warning', '🟡'
            FROM stockout""",
     ),
 ]

@@ -179,7 +179,7 @@ def rec_waste_risk(spark, sf):
 
 
 _REC_SQL_COLS = """priority, priority_rank, rule, product_id, product_name, lot_id, lot_number, expiry_date,
-                   qty, days_remaining, stock, round(avg_weekly, 6) AS avg_weekly"""
+                   qty, days_remaining, stock, round(avg_weekly, 6) AS avg_weekly, severity, icon"""
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import allocate as al
 from lotwise.operators import logistics as lg
+from lotwise.operators import schedule as sc
 from lotwise.plans.oracle import EXTRA
 from lotwise.plans.q_inventory import _inventory
 from lotwise.plans.registry import query
@@ -60,6 +61,46 @@ EXTRA.extend(
                  FROM relevant r JOIN manifest m ON r.product_id = m.product_id)
                WHERE taken_qty > 0""",
         ),
+        (
+            "flight_lines",
+            """SELECT flight_id, product_id, product_name, dep_ts, base_qty,
+                      CAST(ceil(CAST(base_qty AS DOUBLE) * CAST(0.05 AS DOUBLE)) AS BIGINT) AS buffer_qty,
+                      base_qty + CAST(ceil(CAST(base_qty AS DOUBLE) * CAST(0.05 AS DOUBLE)) AS BIGINT) AS final_qty
+               FROM (SELECT s.flight_id, p.product_id, p.name AS product_name, f.dep_ts,
+                            CAST(SUM(s.loaded_qty) AS BIGINT) AS base_qty
+                     FROM lot_services s JOIN lots l ON s.lot_id = l.lot_id
+                                         JOIN products p ON l.product_id = p.product_id
+                                         JOIN flights f ON s.flight_id = f.flight_id
+                     WHERE s.consumed_qty IS NULL GROUP BY ALL)""",
+        ),
+        (
+            "lot_queue",
+            """SELECT *, s1 - current_qty AS s0 FROM (
+                 SELECT product_id, lot_id, lot_number, expiry_date, status, current_qty,
+                        SUM(current_qty) OVER (PARTITION BY product_id ORDER BY expiry_date, lot_id) AS s1
+                 FROM loadable WHERE product_id IN (SELECT product_id FROM flight_lines))""",
+        ),
+        (
+            "line_lead",
+            """SELECT fl.*, COALESCE(SUM(final_qty) OVER (PARTITION BY product_id ORDER BY dep_ts, flight_id
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d,
+                      COALESCE((SELECT SUM(current_qty) FROM lot_queue q WHERE q.product_id = fl.product_id
+                                AND q.expiry_date <= CAST(fl.dep_ts AS DATE)), 0) AS x,
+                      COALESCE((SELECT SUM(current_qty) FROM lot_queue q WHERE q.product_id = fl.product_id), 0) AS stock_all
+               FROM flight_lines fl""",
+        ),
+        (
+            "line_queue",
+            """SELECT *, LEAST(st, stock_all) AS d0, LEAST(st + final_qty, stock_all) AS d1 FROM (
+                 SELECT *, d + GREATEST(0, MAX(x - d) OVER (PARTITION BY product_id ORDER BY dep_ts, flight_id)) AS st
+                 FROM line_lead)""",
+        ),
+        (
+            "flight_takes",
+            """SELECT l.flight_id, l.product_id, q.lot_id, q.lot_number, q.expiry_date, q.status,
+                      CAST(LEAST(q.s1, l.d1) - GREATEST(q.s0, l.d0) AS BIGINT) AS taken_qty
+               FROM line_queue l JOIN lot_queue q ON l.product_id = q.product_id AND q.s0 < l.d1 AND l.d0 < q.s1""",
+        ),
     ]
 )
 
@@ -139,13 +180,44 @@ def manifest_shortfall(spark, sf):
     return al.shortfall(_lines(spark, sf), _inventory(spark, sf))
 
 
+def _flight_lines(spark, sf):
+    t = _t(spark, sf)
+    return sc.open_lines(t.lot_services, t.lots, t.products, t.flights)
+
+
+@query("flight_manifest_allocation", "SELECT * FROM flight_takes", ids="B6 W1")
+def flight_manifest_allocation(spark, sf):
+    return sc.allocate_flights(_flight_lines(spark, sf), _inventory(spark, sf))
+
+
+@query(
+    "flight_manifest_shortfall",
+    """SELECT flight_id, product_id, final_qty AS need_qty, CAST(d1 - d0 AS BIGINT) AS taken_qty,
+              CAST(final_qty - (d1 - d0) AS BIGINT) AS shortfall_qty
+       FROM line_queue WHERE final_qty > d1 - d0""",
+    ids="B6 W2",
+)
+def flight_manifest_shortfall(spark, sf):
+    return sc.flight_shortfall(_flight_lines(spark, sf), _inventory(spark, sf))
+
+
 @query(
     "manifest_nested",
-    """SELECT m.product_id, m.product_name, m.base_qty, m.buffer_qty, m.final_qty,
-              f.lot_id, f.lot_number, f.expiry_date, f.status, f.taken_qty
-       FROM manifest m LEFT JOIN fefo f ON m.product_id = f.product_id""",
+    """SELECT m.flight_id, m.product_id, m.product_name, m.base_qty, m.buffer_qty, m.final_qty,
+              to_json(COALESCE(t.lots, [])) AS lots
+       FROM flight_lines m LEFT JOIN (
+         SELECT flight_id, product_id,
+                list({'lot_id': lot_id, 'lot_number': lot_number, 'taken_qty': taken_qty}
+                     ORDER BY expiry_date, lot_id) AS lots
+         FROM flight_takes GROUP BY flight_id, product_id) t
+       ON m.flight_id = t.flight_id AND m.product_id = t.product_id""",
     ids="J9",
 )
 def manifest_nested(spark, sf):
-    lines = _lines(spark, sf)
-    return al.lines_with_assignments(lines, al.fefo_allocate(lines, _inventory(spark, sf)))
+    """Each flight line with the array of its lots, shown as JSON so that engines compare alike."""
+    lines = _flight_lines(spark, sf)
+    nested = sc.nested_manifest(lines, sc.allocate_flights(lines, _inventory(spark, sf)))
+    lots = F.transform("lots", lambda x: F.struct(x["lot_id"].alias("lot_id"), x["lot_number"].alias("lot_number"), x["taken_qty"].alias("taken_qty")))
+    return nested.select(
+        "flight_id", "product_id", "product_name", "base_qty", "buffer_qty", "final_qty",
+        F.coalesce(F.to_json(lots), F.lit("[]")).alias("lots"))

@@ -136,6 +136,7 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
             (F.lit(1) + ok % 3).cast("long").alias("aircraft_type_id"),
             F.col("c_nationkey").cast("long").alias("origin_airport_id"),
             ((F.col("c_nationkey") * 7 + ok) % 25).cast("long").alias("dest_airport_id"),
+            F.col("o_orderdate").alias("dep_date"),  # as stored, so that bounds on it reach the scan
             dep_ts.alias("dep_ts"),
             distance.alias("distance_km"),
             (F.lit(1) + F.floor(F.col("o_totalprice") / 1000)).cast("int").alias("passengers"),
@@ -148,6 +149,7 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
             "aircraft_type_id",
             "origin_airport_id",
             "dest_airport_id",
+            "dep_date",
             "dep_ts",
             cal.arrival_ts("dep_ts", "distance_km", "buffer_min").alias("arr_ts"),
             cal.route_type("distance_km").alias("route_type"),

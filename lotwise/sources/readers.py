@@ -9,10 +9,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lotwise.session import cut_lineage
 from lotwise.sources.schemas import CATALOG
 
 
@@ -70,17 +70,19 @@ def append_with_ids(
 ) -> DataFrame:
     """Assign dense surrogate keys to ``new_rows`` after ``max(existing.id)``.
 
-    The index comes from ``zipWithIndex`` over a deterministic sort, which is
-    distributed (one small job to count partitions) rather than a global window.
+    Rows are range-partitioned by ``order_cols`` and written to a checkpoint, so that their
+    partitions are fixed; a window over the partition sizes (one row each) gives the offsets, and a
+    window inside each partition the numbers.
     """
-    offset = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m"))
-    base = offset.first()["m"]
-    ordered = new_rows.orderBy(*order_cols)
-    schema = T.StructType(
-        [T.StructField(id_col, T.LongType(), False)] + ordered.schema.fields
-    )
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: (int(base) + r[1] + 1,) + tuple(r[0]))
-    return existing.sparkSession.createDataFrame(rdd, schema)
+    base = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_base"))
+    ranged = cut_lineage(new_rows.repartitionByRange(*order_cols).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = starts.withColumn("_one", F.lit(1)).join(base.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    inside = Window.partitionBy("_part").orderBy(*order_cols)
+    number = (F.col("_base") + F.col("_start") + F.row_number().over(inside)).cast("long")
+    return ranged.join(starts, "_part").select(number.alias(id_col), *new_rows.columns)
 
 
 def sparse_ids(df: DataFrame, id_col: str) -> DataFrame:

@@ -91,24 +91,6 @@ LOT_SERVICES = T.StructType(
     ]
 )
 
-# Forecast input: one row per planned flight (or flight x product request).
-SCENARIOS = T.StructType(
-    [
-        _f("scenario_id", _L),
-        _f("passengers", _I),
-        _f("airline", _S),
-        _f("distance_km", _I),
-        _f("route_type", _S),
-        _f("max_capacity", _I),
-        _f("daypart", _S),
-        _f("weekday", _S),
-        _f("season", _S),
-        _f("weather", _S),
-        _f("origin_locality", _S),
-        _f("dest_locality", _S),
-    ]
-)
-
 TRANSLATIONS = T.StructType([_f("lang", _S), _f("key", _S), _f("template", _S)])
 
 CATALOG = {

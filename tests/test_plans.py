@@ -35,9 +35,8 @@ def test_lineitem_scan_is_pruned(spark):
 
 def test_window_filter_reaches_orders_scan(spark):
     df = E.queries()["product_consumption_30d"](spark, SF)
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    # the 30-day predicate is applied to orders before the join with the fact
-    assert "o_orderdate" in plan
+    pushed = re.findall(r"PushedFilters: \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+    assert any("GreaterThanOrEqual(o_orderdate,2001-07-02" in p for p in pushed), pushed
 
 
 def test_fact_aggregated_before_lot_join(spark):

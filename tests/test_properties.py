@@ -206,3 +206,46 @@ def test_fit_models_hot_and_small_keys_match_lstsq(spark):
         ref = (X - xm) @ beta + ym
         ours = np.array([pred[r[1]] for r in sub])
         assert np.max(np.abs(ours - ref)) < 1e-4 * max(1.0, np.max(np.abs(ref))), k
+
+
+def _walk(lots, lines):
+    """Sequential greedy: lines by departure take valid lots by expiry; expired stock is lost."""
+    left = {l[0]: l[2] for l in lots}
+    out = {}
+    for fid, day, need in sorted(lines, key=lambda x: (x[1], x[0])):
+        for lid, expiry, _ in sorted(lots, key=lambda x: (x[1], x[0])):
+            if expiry <= day:
+                left[lid] = 0
+            take = min(need, left[lid])
+            if take:
+                out[fid, lid] = take
+                left[lid] -= take
+                need -= take
+    return out
+
+
+def test_flight_allocation_equals_sequential_walk(spark):
+    """Many flights over lots that expire inside the schedule; one flight equals W1."""
+    from lotwise.operators import schedule as sc
+
+    rng = random.Random(9)
+    day0 = dt.date(2026, 1, 1)
+    inv_rows, line_rows, want = [], [], {}
+    for product in range(12):
+        lots = [(product * 100 + i, day0 + dt.timedelta(rng.randint(1, 9)), rng.randint(1, 700)) for i in range(rng.randint(0, 7))]
+        lines = [(f, day0 + dt.timedelta(rng.randint(0, 9)), rng.randint(1, 600)) for f in range(rng.randint(1, 6))]
+        inv_rows += [(product, i, f"L{i}", e, "optimal", q) for i, e, q in lots]
+        line_rows += [(f, product, dt.datetime.combine(d, dt.time(8)), n) for f, d, n in lines]
+        want |= {(f, product, i): q for (f, i), q in _walk(lots, lines).items()}
+    inv = spark.createDataFrame(inv_rows, "product_id long, lot_id long, lot_number string, expiry_date date, status string, current_qty long")
+    lines = spark.createDataFrame(line_rows, "flight_id long, product_id long, dep_ts timestamp_ntz, final_qty long")
+    got = {(r.flight_id, r.product_id, r.lot_id): r.taken_qty for r in sc.allocate_flights(lines, inv).collect()}
+    assert got == want
+    short = {(r.flight_id, r.product_id): r.shortfall_qty for r in sc.flight_shortfall(lines, inv).collect()}
+    taken = {}
+    for (f, p, _), q in want.items():
+        taken[f, p] = taken.get((f, p), 0) + q
+    assert short == {(f, p): n - taken.get((f, p), 0) for f, p, _, n in line_rows if n > taken.get((f, p), 0)}
+    early = lines.where("flight_id = 0").withColumn("dep_ts", F.lit(dt.datetime(2025, 1, 1)).cast("timestamp_ntz"))
+    one = {(r.product_id, r.lot_id): r.taken_qty for r in sc.allocate_flights(early, inv).collect()}
+    assert one == {(r.product_id, r.lot_id): r.taken_qty for r in al.fefo_allocate(early, inv).collect()}
