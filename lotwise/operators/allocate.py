@@ -8,7 +8,7 @@ running sum of earlier lots, and
 
 which equals the greedy take-until-covered walk. The running sum is the
 two-level chunked form of ``lotwise.operators.windows`` (chunk = expiry date and
-lot-id block),
+position among the date's lot ids),
 so a product with a very large number of lots is still spread over tasks.
 Only lots of products that are on the manifest enter the window (semi join).
 """
@@ -19,10 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.operators.inventory import loadable_inventory
-from lotwise.operators.windows import running_sum
+from lotwise.operators.windows import range_chunks, running_sum
 
 BUFFER_FRACTION = 0.05
-LOTS_PER_CHUNK = 1024  # lot-id block inside one expiry date for the chunked running sum
 
 
 def open_demand(lot_services: DataFrame, lots: DataFrame, products: DataFrame) -> DataFrame:
@@ -68,13 +67,13 @@ def fefo_allocate(
         key, "lot_id", "lot_number", "expiry_date", "status", "current_qty"
     )
     walked = running_sum(
-        lots,
+        range_chunks(lots, [key], "expiry_date", "lot_id"),
         by=[key],
         order=["expiry_date", "lot_id"],
         value="current_qty",
         out="stock_before",
         # monotone in (expiry_date, lot_id); splits a day with very many lots too
-        chunk=F.struct(F.col("expiry_date"), F.floor(F.col("lot_id") / F.lit(LOTS_PER_CHUNK)).alias("b")),
+        chunk=F.struct("expiry_date", "_bucket"),
         inclusive=False,
     )
     taken = F.greatest(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators.allocate import manifest_lines
 from lotwise.operators.inventory import loadable_inventory
-from lotwise.operators.windows import running_max, running_sum
+from lotwise.operators.windows import range_chunks, running_max, running_sum
 
 CELL = 256
 
@@ -51,7 +51,8 @@ def _queues(lines: DataFrame, inventory: DataFrame, need: str) -> tuple[DataFram
     lots = loadable_inventory(inventory).join(lines.select("product_id").distinct(), "product_id", "left_semi")
     lots = lots.select("product_id", "lot_id", "lot_number", "expiry_date", "status", "current_qty")
     lots = running_sum(
-        lots, ["product_id"], ["expiry_date", "lot_id"], "current_qty", "s0", F.col("expiry_date"), inclusive=False)
+        range_chunks(lots, ["product_id"], "expiry_date", "lot_id"), ["product_id"], ["expiry_date", "lot_id"],
+        "current_qty", "s0", F.struct("expiry_date", "_bucket"), inclusive=False).drop("_bucket")
     lots = lots.withColumn("s1", F.col("s0") + F.col("current_qty"))
     # stock expired by each departure: lots and lines in one order by day, lots first
     zero = F.lit(0).cast("long")

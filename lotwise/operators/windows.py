@@ -67,6 +67,22 @@ def running_sum(
     )
 
 
+CHUNK_ROWS = 512
+
+
+def range_chunks(df: DataFrame, by: list[str], lead: str, id_col: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``_bucket``: with (``lead``, ``_bucket``) as chunk, a key has about n / ``rows`` chunks.
+
+    Rows of one (key, lead) are cut by position between their smallest and largest id, so the
+    number of chunks follows the number of rows however the ids are spread.
+    """
+    group = [*by, lead]
+    spans = df.groupBy(*group).agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"), F.count(F.lit(1)).alias("_rows"))
+    spans = spans.select(*group, "_lo", (F.col("_hi") - F.col("_lo") + 1).cast("double").alias("_span"), F.ceil(F.col("_rows") / rows).alias("_buckets"))
+    bucket = F.floor((F.col(id_col) - F.col("_lo")) / F.col("_span") * F.col("_buckets"))
+    return df.join(spans, group).withColumn("_bucket", bucket).drop("_lo", "_span", "_buckets")
+
+
 def running_max(df: DataFrame, by: list[str], order: list, value: str, out: str, chunk: Column) -> DataFrame:
     """Add ``out`` = largest ``value`` up to and including this row, in the same two levels."""
     d = df.withColumn("_chunk", chunk)

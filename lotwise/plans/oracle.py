@@ -14,7 +14,6 @@ from __future__ import annotations
 
 AS_OF = "DATE '2001-08-01'"
 
-WEATHER_LIST = "['Soleado', 'Lluvioso', 'Nevado', 'Nublado', 'Tormenta']"
 WEEKDAY_LIST = "['Lunes', 'Martes', 'Miércoles', 'Jueves', 'Viernes', 'Sábado', 'Domingo']"
 
 BASE: list[tuple[str, str]] = [
@@ -26,7 +25,7 @@ BASE: list[tuple[str, str]] = [
     (
         "airlines",
         """SELECT ('0x' || substr(md5(c_mktsegment), 1, 8))::BIGINT AS airline_id,
-                  c_mktsegment AS name, substr(c_mktsegment, 1, 2) AS iata_code,
+                  c_mktsegment AS name, substr(c_mktsegment, 1, 3) AS iata_code,
                   CAST(NULL AS VARCHAR) AS association_note
            FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)""",
     ),
@@ -75,9 +74,10 @@ BASE: list[tuple[str, str]] = [
                                  + to_minutes(CAST((o.o_orderkey % 4) * 15 AS INTEGER)) AS dep_ts,
                    CAST(500 + (o.o_orderkey * 37) % 14501 AS INTEGER) AS distance_km,
                    CAST(1 + floor(o.o_totalprice / 1000) AS INTEGER) AS passengers,
-                   ({WEATHER_LIST})[CAST(o.o_orderkey % 5 AS INTEGER) + 1] AS weather,
+                   CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Tormenta' WHEN '2-HIGH' THEN 'Nevado'
+                        WHEN '3-MEDIUM' THEN 'Lluvioso' WHEN '5-LOW' THEN 'Soleado' ELSE 'Sin datos' END AS weather,
                    CAST(30 + o.o_orderkey % 61 AS INTEGER) AS buffer_min
-            FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
+            FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus <> 'P'""",
     ),
     (
         "flights",
@@ -86,7 +86,7 @@ BASE: list[tuple[str, str]] = [
                    CASE WHEN distance_km > 1500 THEN 'Internacional' ELSE 'Nacional' END AS route_type,
                    distance_km, passengers,
                    CASE WHEN hour(dep_ts) < 11 THEN 'Mañana' WHEN hour(dep_ts) < 18 THEN 'Tarde' ELSE 'Noche' END AS daypart,
-                   ({WEEKDAY_LIST})[isodow(dep_ts)] AS weekday,
+                   ({WEEKDAY_LIST})[isodow(dep_ts + to_minutes(CAST(floor(CAST(distance_km AS DOUBLE) / 800.0 * 60.0) AS INTEGER) + buffer_min))] AS weekday,
                    CASE WHEN month(dep_ts) IN (12, 1, 6, 7, 8) THEN 'Alta'
                         WHEN month(dep_ts) IN (2, 3, 10, 11) THEN 'Media' ELSE 'Baja' END AS season,
                    weather

@@ -141,6 +141,7 @@ def _names(spark, sf):
     }
     for col, dom in DOMAINS.items():
         values[col] = literal_table(spark, [(v,) for v in dom], "value string")
+    values["weather"] = t.flights.select("weather")  # stored freely: may lie outside its domain
     return fe.names_from_values(spark, values)
 
 

@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import calendar as cal
 from lotwise.sources.literals import literal_table
-from lotwise.sources.schemas import WEATHERS
 
 AS_OF = _dt.date(2001, 8, 1)
 LOTS_PER_PART = 3
+WEATHER_OF = {"1-URGENT": "Tormenta", "2-HIGH": "Nevado", "3-MEDIUM": "Lluvioso", "5-LOW": "Soleado"}
+NO_WEATHER = "Sin datos"
 # Aircraft types (id, model, capacity); flights use type 1 + o_orderkey % 3.
 AIRCRAFT = [(1, "Generic-500", 500), (2, "Generic-400", 400), (3, "Generic-300", 300)]
 
@@ -84,7 +85,7 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
     airlines = _vocabulary(customer, "c_mktsegment", "airline_id").select(
         "airline_id",
         "name",
-        F.substring("name", 1, 2).alias("iata_code"),
+        F.substring("name", 1, 3).alias("iata_code"),  # longer than the column allows: a finding for Q5
         F.lit(None).cast("string").alias("association_note"),
     )
 
@@ -126,10 +127,12 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
 
     ok = F.col("o_orderkey")
     dep_ts = cal.at_minute(F.to_date("o_orderdate"), (ok % 24) * 60 + (ok % 4) * 15)
-    weather = F.element_at(F.array(*[F.lit(w) for w in WEATHERS]), (ok % 5).cast("int") + 1)
+    # the stored weather follows the order's priority; "not specified" is no known weather (Q4, M6)
+    weather = F.coalesce(*[F.when(F.col("o_orderpriority") == p, F.lit(w)) for p, w in WEATHER_OF.items()], F.lit(NO_WEATHER))
     distance = (F.lit(500) + (ok * 37) % 14501).cast("int")
     flights = (
-        orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
+        # partly open orders have no flight record: their lines are orphans (Q3)
+        orders.where(F.col("o_orderstatus") != "P").join(customer, orders.o_custkey == customer.c_custkey, "inner")
         .select(
             ok.alias("flight_id"),
             name_id("c_mktsegment").alias("airline_id"),
@@ -143,6 +146,7 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
             weather.alias("weather"),
             (F.lit(30) + ok % 61).cast("int").alias("buffer_min"),
         )
+        .withColumn("arr_ts", cal.arrival_ts("dep_ts", "distance_km", "buffer_min"))
         .select(
             "flight_id",
             "airline_id",
@@ -151,12 +155,12 @@ def derive_tables(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) ->
             "dest_airport_id",
             "dep_date",
             "dep_ts",
-            cal.arrival_ts("dep_ts", "distance_km", "buffer_min").alias("arr_ts"),
+            "arr_ts",
             cal.route_type("distance_km").alias("route_type"),
             "distance_km",
             "passengers",
             cal.daypart("dep_ts").alias("daypart"),
-            cal.weekday_name(F.to_date("dep_ts")).alias("weekday"),
+            cal.weekday_name(F.to_date("arr_ts")).alias("weekday"),
             cal.season(F.to_date("dep_ts")).alias("season"),
             "weather",
         )

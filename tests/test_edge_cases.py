@@ -178,6 +178,18 @@ def test_fefo_many_lots_same_day(spark):
     assert (got.n, got.m) == (2500, 2499)
 
 
+def test_fefo_chunks_follow_rows_on_scattered_ids(spark):
+    """200,000 lots of one product with ids spread by 1,000: few chunk totals, exact result."""
+    from lotwise.operators.windows import range_chunks
+
+    lots = spark.range(200_000).select(
+        F.lit(1).cast("long").alias("product_id"), (F.col("id") * 1000 + 7).alias("lot_id"),
+        F.date_add(F.lit(D("2026-01-01")), (F.col("id") % 3).cast("int")).alias("expiry_date"), F.lit(1).cast("long").alias("current_qty"))
+    chunks = range_chunks(lots, ["product_id"], "expiry_date", "lot_id").groupBy("product_id", "expiry_date", "_bucket").count()
+    got = chunks.agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    assert got.n <= 200_000 / 512 + 3 and got.most < 1200
+
+
 def test_scale_conf():
     from lotwise.session import scale_conf
 
