@@ -31,8 +31,8 @@ from lotwise.llm.components import connected_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_BYTES = 4 << 20
-BLOCK_ROWS = 1024
+BLOCK_BYTES = 8 << 20
+BLOCK_ROWS = 4096
 PIVOTS = 8
 
 
@@ -72,7 +72,7 @@ def candidate_groups(reps: DataFrame, rows: int, bands: int, least: float) -> Da
     left = reps.select(F.col("id").alias("lo"), F.col("sig").alias("sig_lo"))
     right = reps.select(F.col("id").alias("hi"), F.col("sig").alias("sig_hi"))
     pairs = pairs.join(left, "lo").join(right, "hi").where(agree("sig_lo", "sig_hi") >= least)
-    stars = buckets.where("n > 2").select("key", "lo").join(b, "key").where("id <> lo").select("lo", F.col("id").alias("hi")).distinct()
+    stars = buckets.where("n > 2").select("key", "lo").join(b, "key").where("id <> lo").select("lo", F.col("id").alias("hi"))
     links = pairs.select("lo", "hi").unionByName(stars).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     groups = connected_components(links)
     return groups.select(F.col("node").alias("id"), F.col("component").alias("cand"))
