@@ -34,6 +34,7 @@ def test_lineitem_scan_is_pruned(spark):
 
 
 def test_window_filter_reaches_orders_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # show the filters in full
     df = E.queries()["product_consumption_30d"](spark, SF)
     pushed = re.findall(r"PushedFilters: \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString())
     assert any("GreaterThanOrEqual(o_orderdate,2001-07-02" in p for p in pushed), pushed
