@@ -2,7 +2,7 @@
 
 Encoding. A task cuts its texts into pre-tokens and numbers the different ones; each different word goes to
 Spark once per task (within a bounded memory), where a higher-order fold merges it: the state is the
-array of piece ranks, beginning with the word's bytes, and the ranks of all neighbouring pairs; each
+array of piece ranks, beginning with those of the word's bytes, and the ranks of all neighbouring pairs; each
 step replaces the leftmost pair of least rank, found in a literal rank map, and looks up
 the two pairs that are new. The task then writes every document's ids from the words' numbers. All of
 it is one narrow stage: no shuffle, nothing gathered.
@@ -36,10 +36,12 @@ from lotwise.llm.bpe_words import slices, units
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Characters cut together, words remembered by a task, bytes beyond which a word is merged by heap.
+#: Characters cut together, words remembered by a task, bytes beyond which a word is merged by heap,
+#: text of a task.
 SLICE_CHARS = 8_000_000
 MEMORY = 600_000
 LONG = 256
+TASK_BYTES = 256 << 20
 
 _BUCKETS = 1 << 17
 _FACTOR = 1640531527
@@ -66,7 +68,6 @@ class RankMap:
                     key = a << 16 | b
                     buckets[key * _FACTOR >> 20 & _BUCKETS - 1].append(key << 17 | rank)
         self.pairs = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
-        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>")
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.hex()
@@ -79,16 +80,10 @@ class RankMap:
         return hit.bitwiseAND(F.lit((1 << 17) - 1)).cast("int")
 
     def fold(self, word: Column) -> Column:
-        """Ids of one word (binary), by folding ranked merges over its bytes."""
-        n = F.octet_length(word)
-        end = F.array(F.lit(_END))
-        letters = F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.get(self.bytes, F.conv(F.hex(F.substring(word, i, F.lit(1))), 16, 10).cast("int")))
-
-        def begin(p):
-            pairs = F.zip_with(F.slice(p, F.lit(1), n + 1), F.slice(p, F.lit(2), n + 1), _key)
-            return F.struct(p.alias("p"), F.transform(pairs, self.rank).alias("r"))
+        """Ids of one word (the array of its bytes' ranks between two ends), by folding ranked merges."""
+        n = F.size(word) - 2
+        pairs = F.zip_with(F.slice(word, F.lit(1), n + 1), F.slice(word, F.lit(2), n + 1), _key)
+        begin = F.struct(word.alias("p"), F.transform(pairs, self.rank).alias("r"))
 
         def step(state, _):
             p, r = state["p"], state["r"]
@@ -107,7 +102,7 @@ class RankMap:
             return _let(F.array_min(r), found)
 
         return F.aggregate(
-            F.sequence(F.lit(1), n), _let(F.concat(end, letters, end), begin), step,
+            F.slice(word, F.lit(1), n - 1), begin, step,  # a word of n bytes has n - 1 merges at most
             lambda state: F.slice(state["p"], F.lit(2), F.size(state["p"]) - 2))
 
     def decode(self, ids: Column) -> Column:
@@ -181,6 +176,13 @@ class Cutter:
         return fresh, out, new
 
 
+def _fewer_tasks(docs: DataFrame) -> DataFrame:
+    """``docs`` in tasks of about ``TASK_BYTES`` of text, if it comes in smaller ones, but in one for each
+    core at least: a task merges each different word once, so larger tasks have fewer merges."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids: the token ids of every whole text."""
     spark = docs.sparkSession
@@ -190,13 +192,14 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     id_field = docs.schema["doc_id"]
     cut_type = T.StructType([
         T.StructField("doc_ids", T.ArrayType(id_field.dataType)), T.StructField("rows", T.ArrayType(T.BinaryType())),
-        T.StructField("fresh", T.BooleanType()), T.StructField("words", T.ArrayType(T.BinaryType())),
+        T.StructField("fresh", T.BooleanType()), T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType()))),
         T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType())))])
     ids_type = T.StructType([id_field, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     cut_arrow, ids_arrow = to_arrow_schema(cut_type), to_arrow_schema(ids_type)
 
     def cut(batches):
         cutter = Cutter(pattern)
+        letter = [shared.value[bytes([b])] for b in range(256)]
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             ids, at = batch.column("doc_id"), 0
@@ -207,7 +210,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_ids": [ids.slice(at, len(some)).to_pylist()], "rows": [rows], "fresh": [fresh],
-                        "words": [[None if len(w) > LONG else w for w in raw]], "long": [long],
+                        "words": [[None if len(w) > LONG else [_END, *[letter[b] for b in w], _END] for w in raw]], "long": [long],
                     },
                     schema=cut_arrow)
                 at += len(some)
@@ -240,7 +243,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 doc_ids = batch.column("doc_ids")[k].values.cast(ids_arrow[0].type)
                 yield pa.RecordBatch.from_arrays([doc_ids, ids.cast(ids_arrow[1].type)], schema=ids_arrow)
 
-    words = docs.select("doc_id", "text").mapInArrow(cut, cut_type)
+    words = _fewer_tasks(docs.select("doc_id", "text")).mapInArrow(cut, cut_type)
     merged = F.zip_with("words", "long", lambda w, ids: F.coalesce(ids, rank_map.fold(w)))
     return words.select("doc_ids", "rows", "fresh", merged.alias("merged")).mapInArrow(write, ids_type)
 
