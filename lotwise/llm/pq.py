@@ -1,16 +1,20 @@
 """Operator 2: near-duplicate vectors by product quantisation.
 
-Vectors are scaled to unit length, so that cosine >= 0.9 is a distance of at most sqrt(0.2). Equal
+Vectors are scaled to unit length, so that cosine >= 0.9 is an angle of at most arccos(0.9). Equal
 vectors are one class from the start. A coarse codebook gives every class an inverted list; inside
-its list a class is stored as a residual code, one byte per subspace. As a query, a class looks into
-its ``PROBES`` nearest lists: a table of subspace distances gives the asymmetric distance to each
-code, and as the quantisation error of every code is known, the triangle inequality rules out only
-what is certainly too far. Everything else is reranked by exact cosine in double precision.
+its list a class is stored as a residual code, one byte per subspace. Each list keeps its radius, the
+widest angle between its direction and a member. As a query, a class looks into every list that can
+hold a link: by the triangle inequality those whose direction is within arccos(0.9) plus the radius.
+There, the angles of the members rule out some of them the same way, and a table of subspace distances
+gives the asymmetric distance to each code; as the quantisation error of every code is known, this
+rules out only what is certainly too far. Everything else is reranked by exact cosine in double
+precision, so all links are found.
 
-Lists are cut into blocks, and one task compares one block of queries with one block of a list, so a
-hot list is spread over many tasks. A task returns counts per class and the links that join classes
-within the task, never all pairs. A pair that both sides can see is counted once on each side; one
-that only one side probes is credited to both.
+Lists that lie together are packed into cells of up to ``BLOCK`` classes, a longer list is cut into blocks
+by hash, and one task compares two blocks, so a hot list is spread over many tasks. Each pair is seen in
+one task only. A task returns counts per class and the links that join classes within the task, never all
+pairs. Where the radii rule out little (vectors spread evenly), a class travels to all blocks: ``CELLS``
+copies, and beyond ``CELLS * BLOCK`` classes one more for every ``BLOCK``.
 
 Codebooks are fitted on the driver on a bounded sample (the first ``SAMPLE`` classes by hash); every
 vector is indexed. Vectors of different lengths are indexed apart and never linked. Null, empty
@@ -37,14 +41,21 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 THRESHOLD = 0.9
 #: Most classes the codebooks are fitted on (a documented bound).
 SAMPLE = 16_384
-#: Classes per list aimed at, lists that a query looks into, rows of a block.
+#: Classes per list aimed at, most rows of a block, blocks aimed at in a table of fewer rows.
 LIST_ROWS = 128
-PROBES = 12
-BLOCK = 1024
+BLOCK = 16_384
+CELLS = 12
+#: Widest angle of a link, with room for rounding.
+WIDEST = float(np.arccos(THRESHOLD)) + 1e-6
 SUBSPACES = 8
 CODES = 64
 
 
+def angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Angles between the unit vectors of two arrays."""
+    return np.arccos(np.clip(x @ y.T, -1, 1))
+
+
 def nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
     """Numbers of the ``k`` nearest centres of each row, nearest first."""
     d = (centres * centres).sum(1) - 2 * (x @ centres.T)
@@ -54,6 +65,11 @@ def nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
     return np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), 1, kind="stable"), 1)
 
 
+def mix(ids: np.ndarray) -> np.ndarray:
+    """Non-negative numbers that deal the ids of a long list over its blocks (ids are hashes)."""
+    return (ids.astype(np.int64).view(np.uint64) >> np.uint64(20)).astype(np.int64)
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)].copy()
@@ -72,6 +88,9 @@ class Codebook:
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.coarse = k_means(sample, max(1, min(lists, len(sample) // 4 or 1)))
+        length = np.linalg.norm(self.coarse, axis=1, keepdims=True)
+        some = np.eye(1, sample.shape[1])  # any direction serves a centre at the origin
+        self.directions = np.where(length > 1e-9, self.coarse / np.maximum(length, 1e-9), some)
         residual = sample - self.coarse[nearest(sample, self.coarse)[:, 0]]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.fine = [k_means(residual[:, p], min(CODES, len(sample)), rounds=8) for p in self.parts]
@@ -94,46 +113,63 @@ class Codebook:
         return np.sqrt(np.maximum(total, 0))
 
 
-def compare(book: Codebook, centre: int, q: pd.DataFrame, e: pd.DataFrame) -> tuple[dict, list]:
-    """Links between a block of queries and a block of one list: extra links per class, class links."""
-    counts: dict[int, int] = {}
+def _cells(book: Codebook, n: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each list, neighbours along the main axis of the directions together; blocks of each cell."""
+    block = max(1, min(BLOCK, -(-total // CELLS)))
+    axis = np.linalg.svd(book.directions - book.directions.mean(0), full_matrices=False)[2][0]
+    cell, sizes = np.zeros(len(n), dtype=np.int64), [0]
+    for i in np.argsort(book.directions @ axis, kind="stable"):
+        if sizes[-1] and sizes[-1] + n[i] > block:
+            sizes.append(0)
+        cell[i] = len(sizes) - 1
+        sizes[-1] += int(n[i])
+    return cell, np.maximum(-(-np.array(sizes) // block), 1)
+
+
+def compare(book: Codebook, q: pd.DataFrame, e: pd.DataFrame, same: bool) -> tuple[dict, list]:
+    """Links between two blocks (``same``: inside one): extra links per class, links that join classes."""
     links: list[tuple[int, int]] = []
-    qx, ex = np.array(q["x"].tolist()), np.array(e["x"].tolist())
-    q_id, e_id = q["id"].to_numpy(), e["id"].to_numpy()
+    ids = np.concatenate([q["id"].to_numpy(), e["id"].to_numpy()])
+    qx, ex = (np.frombuffer(b"".join(f["x"]), dtype=np.float64).reshape(len(f), -1) for f in (q, e))
     q_n, e_n = q["n"].to_numpy(), e["n"].to_numpy()
-    q_own = q["own"].to_numpy()
-    e_probes = np.array(e["probes"].tolist())
     codes = np.frombuffer(b"".join(e["codes"]), dtype=np.uint8).reshape(len(e), -1)
     far = np.sqrt(2 - 2 * THRESHOLD) + 1e-9 + e["error"].to_numpy()
-    label: dict[int, int] = {}
-
-    def find(a):
-        while label.setdefault(a, a) != a:
-            label[a] = label[label[a]]
-            a = label[a]
-        return a
-
-    for start in range(0, len(q), 128):
-        rows = slice(start, start + 128)
-        near = book.asymmetric(qx[rows], centre, codes) <= far
-        i, j = np.nonzero(near)
-        i += start
-        ok = q_id[i] != e_id[j]
-        i, j = i[ok], j[ok]
-        if not len(i):
-            continue
-        ok = np.concatenate([np.einsum("ij,ij->i", qx[i[s : s + 50_000]], ex[j[s : s + 50_000]]) for s in range(0, len(i), 50_000)]) >= THRESHOLD
-        i, j = i[ok], j[ok]
-        mutual = (e_probes[j] == q_own[i][:, None]).any(1)
-        for a, n in zip(q_id[i].tolist(), e_n[j].tolist()):
-            counts[a] = counts.get(a, 0) + n
-        for b, n in zip(e_id[j[~mutual]].tolist(), q_n[i[~mutual]].tolist()):
-            counts[b] = counts.get(b, 0) + n
-        for a, b in zip(q_id[i].tolist(), e_id[j].tolist()):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                label[max(ra, rb)] = min(ra, rb)
-                links.append((a, b))
+    angle, own = e["angle"].to_numpy(), e["own"].to_numpy()
+    q_more, e_more = np.zeros(len(q), dtype=np.int64), np.zeros(len(e), dtype=np.int64)
+    label = np.arange(len(q) + len(e))
+    if same:
+        label[len(q):] = label[: len(q)]
+    order = np.lexsort((angle, own))
+    cuts = np.flatnonzero(np.diff(own[order])) + 1
+    rings = [ring for one in np.split(order, cuts) for ring in np.array_split(one, max(1, min(4, len(one) // 16)))]
+    to_centre = angles(qx, book.directions[[own[r[0]] for r in rings]])
+    for ring, away in zip(rings, to_centre.T):
+        asking = np.flatnonzero((away >= angle[ring[0]] - WIDEST) & (away <= angle[ring[-1]] + WIDEST))
+        step = max(16, 500_000 // len(ring))
+        for start in range(0, len(asking), step):
+            rows = asking[start : start + step]
+            i, j = np.nonzero(book.asymmetric(qx[rows], own[ring[0]], codes[ring]) <= far[ring])
+            if len(i) * 8 > len(rows) * len(ring):  # dense: one product of matrices
+                ok = (qx[rows] @ ex[ring].T)[i, j] >= THRESHOLD
+            else:
+                ok = np.einsum("ij,ij->i", qx[rows[i]], ex[ring[j]]) >= THRESHOLD
+            i, j = rows[i[ok]], ring[j[ok]]
+            if same:
+                i, j = i[i < j], j[i < j]
+            if not len(i):
+                continue
+            q_more += np.bincount(i, e_n[j], len(q)).astype(np.int64)
+            e_more += np.bincount(j, q_n[i], len(e)).astype(np.int64)
+            apart = label[i] != label[len(q) + j]
+            for a, b in zip(i[apart].tolist(), (len(q) + j[apart]).tolist()):
+                la, lb = label[a], label[b]
+                if la != lb:
+                    label[label == max(la, lb)] = min(la, lb)
+                    links.append((int(ids[a]), int(ids[b])))
+    more = np.concatenate([q_more, e_more])
+    counts: dict[int, int] = {}
+    for a in np.flatnonzero(more).tolist():
+        counts[int(ids[a])] = counts.get(int(ids[a]), 0) + int(more[a])
     return counts, links
 
 
@@ -142,7 +178,7 @@ def _index_one(classes: DataFrame, size: int, total: int) -> DataFrame:
     spark = classes.sparkSession
     sample = classes.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(SAMPLE).select("x").collect()
     book = Codebook(np.array([r["x"] for r in sample]), -(-total // LIST_ROWS))
-    shared = spark.sparkContext.broadcast({"coarse": book.coarse, "fine": book.fine, "parts": book.parts})  # fixed size
+    shared = spark.sparkContext.broadcast(vars(book))  # fixed size
 
     def restored():
         b = Codebook.__new__(Codebook)
@@ -155,36 +191,57 @@ def _index_one(classes: DataFrame, size: int, total: int) -> DataFrame:
             if not len(pdf):
                 continue
             x = np.array(pdf["x"].tolist())
-            probes = nearest(x, b.coarse, PROBES)
-            codes, error = b.encode(x, probes[:, 0])
-            yield pdf.assign(own=probes[:, 0], probes=list(probes), codes=[c.tobytes() for c in codes], error=error)
+            own = nearest(x, b.coarse)[:, 0]
+            codes, error = b.encode(x, own)
+            angle = np.arccos(np.clip(np.einsum("ij,ij->i", x, b.directions[own]), -1, 1))
+            yield pdf.assign(x=[r.tobytes() for r in x], own=own, codes=[c.tobytes() for c in codes], error=error, angle=angle)
 
-    schema = "id long, n long, x array<double>, own long, probes array<long>, codes binary, error double"
+    schema = "id long, n long, x binary, own long, codes binary, error double, angle double"
     indexed = staged(classes.select("id", "n", "x").mapInPandas(assign, schema), "pq_index")
-    e_blocks = indexed.groupBy("own").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("e_blocks")).withColumnRenamed("own", "cell")
-    probing = indexed.withColumn("cell", F.explode("probes"))
-    q_blocks = probing.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("q_blocks"))
-    blocks = e_blocks.join(q_blocks, "cell")  # one row per list
-    none = F.lit(None)
-    queries = probing.join(blocks, "cell").select(
-        "cell", F.pmod(F.xxhash64("id"), F.col("q_blocks")).alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("e_blocks") - 1)).alias("eb"), F.lit(True).alias("asks"),
-        "id", "n", "x", "own", none.cast("array<long>").alias("probes"), none.cast("binary").alias("codes"), none.cast("double").alias("error"))
-    entries = indexed.join(blocks, indexed["own"] == blocks["cell"]).select(
-        "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)).alias("qb"),
-        F.pmod(F.xxhash64("id"), F.col("e_blocks")).alias("eb"), F.lit(False).alias("asks"),
-        "id", "n", "x", "own", "probes", "codes", "error")
+    lists = indexed.groupBy("own").agg(F.count(F.lit(1)).alias("rows"), F.max("angle").alias("radius")).collect()  # one row per list
+    rows, radius = np.zeros(len(book.coarse), dtype=np.int64), np.full(len(book.coarse), -np.inf)
+    for r in lists:
+        rows[r["own"]], radius[r["own"]] = r["rows"], r["radius"]
+    cell, parts = _cells(book, rows, total)
+    first = np.cumsum(parts) - parts  # the number of a cell's first block
+    plan = spark.sparkContext.broadcast((radius, cell, parts, first))
+
+    def reach(batches):
+        b = restored()
+        radius, cell, parts, first = plan.value
+        by_cell = np.argsort(cell, kind="stable")
+        starts = np.searchsorted(cell[by_cell], np.arange(len(parts)))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.frombuffer(b"".join(pdf["x"]), dtype=np.float64).reshape(len(pdf), -1)
+            cells = np.concatenate([
+                np.logical_or.reduceat((angles(x[s : s + 1000], b.directions) <= WIDEST + radius)[:, by_cell], starts, axis=1)
+                for s in range(0, len(x), 1000)])
+            at = cell[pdf["own"].to_numpy()]
+            block = first[at] + mix(pdf["id"].to_numpy()) % parts[at]
+            cells[np.arange(len(x)), at] = True
+            yield pdf.assign(block=block, cells=[np.flatnonzero(c) for c in cells])
+
+    reaching = indexed.mapInPandas(reach, schema + ", block long, cells array<long>")
+    blocks = spark.createDataFrame([(i, int(f), int(f + p - 1)) for i, (f, p) in enumerate(zip(first, parts))], "cell long, low long, high long")
+    met = reaching.withColumn("cell", F.explode("cells")).drop("cells").join(blocks, "cell")
+    met = met.withColumn("other", F.explode(F.sequence("low", "high")))
+    met = met.select(
+        F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") <= F.col("other")).alias("asks"),
+        "id", "n", "x", "own", "codes", "error", "angle")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["a"].iloc[0] == pdf["b"].iloc[0]
         asks = pdf["asks"].to_numpy(dtype=bool)
-        q, e = pdf[asks], pdf[~asks]
+        q, e = (pdf, pdf) if same else (pdf[asks], pdf[~asks])
         if not len(q) or not len(e):
             return pd.DataFrame({"u": [], "v": [], "n": []})
-        counts, links = compare(restored(), int(pdf["cell"].iloc[0]), q, e)
+        counts, links = compare(restored(), q, e, same)
         out = [(u, None, n) for u, n in counts.items()] + [(u, v, None) for u, v in links]
         return pd.DataFrame({c: pd.array(x, dtype="Int64") for c, x in zip("uvn", zip(*out))} if out else {"u": [], "v": [], "n": []})
 
-    return queries.unionByName(entries).groupBy("cell", "qb", "eb").applyInPandas(run, "u long, v long, n long")
+    return met.groupBy("a", "b").applyInPandas(run, "u long, v long, n long")
 
 
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
