@@ -9,9 +9,10 @@ example far away, or a place left empty, adds little to either side); the vote i
 ids and cosines of the nearest examples are the evidence.
 
 The index is fitted on a bounded sample of the labelled rows (``PER_LABEL`` of each label, the first by a hash
-of the id). Terms are words and word beginnings; indexed are those that tell the labels apart in the sample (chi-square above
-``CHI2``, in ``MIN_DOCS`` examples at least); if no term does, all terms of that frequency. A document's
-other words count in the length of its vector, with the least weight. The index has a fixed size and travels with the tasks; scoring is one narrow pass over all whole texts.
+of the id). Terms are words and word beginnings; indexed are all that occur in ``MIN_DOCS`` examples at least. A term's
+weight is its IDF times how well it tells the labels apart in the sample: the root of its chi-square as a
+share of ``CHI2``, between ``LEAST`` and 1. A document's other words count in the length of its vector, with
+weight 1. The index has a fixed size and travels with the tasks; scoring is one narrow pass over all whole texts.
 
 Null and empty texts have no neighbours: they get the calibrated score of a document without evidence, as
 do texts without any indexed term. Ties between examples go to the smaller id. Without labels the score
@@ -38,7 +39,9 @@ PER_LABEL = 1000
 NEIGHBOURS = 40
 BLOCK = 64
 STEMS = (3, 5, 7)
+#: Chi-square of full weight, least share of it, examples that a term occurs in (a documented bound).
 CHI2 = 40.0
+LEAST = 0.1
 MIN_DOCS = 5
 CUT = 0.7
 
@@ -68,9 +71,9 @@ class Index:
             if y:
                 df_toxic.update(found)
         common = [t for t, d in df.items() if d >= MIN_DOCS]
-        telling = [t for t in common if _chi2(df_toxic[t], df[t], toxic, n) >= CHI2]
-        self.vocab = {t: i for i, t in enumerate(sorted(telling or common))}
-        self.idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in self.vocab])
+        self.vocab = {t: i for i, t in enumerate(sorted(common))}
+        telling = np.sqrt([_chi2(df_toxic[t], df[t], toxic, n) / CHI2 for t in self.vocab])
+        self.idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in self.vocab]) * np.clip(telling, LEAST, 1)
         vectors = [self.vector(text) for text in texts]
         # examples that share their heaviest term lie together, which keeps block maxima tight
         heaviest = [t[np.argmax(w)] if len(t) else -1 for t, w in vectors]
