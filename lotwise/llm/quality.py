@@ -146,7 +146,7 @@ def expected_length(n: int) -> float:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the rule statistics and the feature array of each document."""
+    """doc_id, text_key (hash of the text), the rule statistics and the feature array of each document."""
 
     def worker():
         def work(texts):
@@ -155,7 +155,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
         return work
 
-    return map_text(docs.select("doc_id", "text"), "text", f"{STATS}, features array<double>", worker)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return map_text(keyed, "text", f"{STATS}, features array<double>", worker)
 
 
 def base_failed():
@@ -200,20 +201,26 @@ def threshold(scores: DataFrame, labels: DataFrame, bins: int = BINS) -> float:
     return (hist[best]["bin"] + 1 + above) / 2 / bins  # half way to the next score that occurs
 
 
-def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the rule statistics, base_failed, kept, score: one row per document."""
+def _verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text_key, the rule statistics, base_failed, kept, score: one row per document."""
     stats = staged(with_statistics(docs), "quality_stats")
     scores = staged(scored(stats, grow(stats)).drop("features"), "quality_scores")
     limit = threshold(scores, labels)
     return scores.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"),
         (~base_failed() & (F.col("score") <= limit)).alias("kept"),
         "score",
     )
 
 
+def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the rule statistics, base_failed, kept, score: one row per document."""
+    return _verdicts(docs, labels).drop("text_key")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    verdict = assess(docs, labels).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["kept_id"]), "left_semi")
+    """The documents that pass, with all their columns (ids may be null or repeated: by id and text)."""
+    verdict = _verdicts(docs, labels).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(verdict["kept_id"]) & (F.xxhash64(docs["text"]) == verdict["kept_key"])
+    return docs.join(verdict, same, "left_semi")

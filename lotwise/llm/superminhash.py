@@ -134,8 +134,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_text(keyed, "text", "n_shingles long, id long, sig binary", worker)
 
 
-def group_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every document, and for every set of shingles its class_id and best (doc_id and text_key
+    of the document that its component keeps)."""
     sketched = staged(sketches(docs), "sketches")
     reps = staged(
         sketched.where("id is not null").groupBy("id").agg(
@@ -148,11 +149,17 @@ def group_documents(docs: DataFrame) -> DataFrame:
     items = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("text_key") == F.col("rep_key"))).select(
         "id", "cand", "sig", F.col("text").alias("payload"))
     classes = connected_components(verified_links(items, shingles, NUM, DEN, LEAST))
-    classes = classes.withColumnRenamed("node", "id").join(reps.select("id", "first_doc"), "id")
-    lowest = classes.groupBy("component").agg(F.min("first_doc").alias("lowest"))
-    classes = classes.join(lowest, "component").select("id", "lowest")
-    component = reps.select("id", "first_doc").join(classes, "id", "left").select(
-        F.col("id").alias("class_id"), F.coalesce("lowest", "first_doc").alias("component_id"))
+    classes = classes.withColumnRenamed("node", "id").join(reps.select("id", "first_doc", "rep"), "id")
+    lowest = classes.groupBy("component").agg(F.min("first_doc").alias("lowest"), F.min("rep").alias("best"))
+    classes = classes.join(lowest, "component").select("id", "lowest", "best")
+    return sketched, reps.select("id", "first_doc", "rep").join(classes, "id", "left").select(
+        F.col("id").alias("class_id"), F.coalesce("lowest", "first_doc").alias("component_id"), F.coalesce("best", "rep").alias("best"))
+
+
+def group_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per document."""
+    sketched, component = _classes(docs)
+    component = component.drop("best")
     none = sketched.where("id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     some = sketched.where("id is not null").join(component, F.col("id") == F.col("class_id")).select("doc_id", "n_shingles", "component_id")
     out = none.unionByName(some)
@@ -160,6 +167,24 @@ def group_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: the one of smallest doc_id of each component, all columns."""
-    kept = group_documents(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The documents that stay, all columns: one row of each component, that of smallest doc_id (null first),
+    then of smallest hash of the text; of equal rows any, of rows that differ in other columns the smallest.
+    Documents without a word stay."""
+    sketched, component = _classes(docs)
+    best = component.select("best.doc_id", "best.text_key").distinct()
+    none = sketched.where("id is null").select("doc_id", "text_key").distinct()
+    stay = best.withColumn("one", F.lit(True)).unionByName(none.withColumn("one", F.lit(False)))
+    often = sketched.where("id is not null").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = often.select(F.col("doc_id").alias("o_id"), F.col("text_key").alias("o_key"))
+    stay = stay.join(often, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("text_key") == F.col("o_key")), "left")
+    stay = stay.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), (F.col("one") & F.col("o_key").isNotNull()).alias("cut"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("r_id"), F.xxhash64("text").alias("r_key"))
+
+    def those(keys):
+        return rows.join(keys, F.col("r_id").eqNullSafe(F.col("s_id")) & (F.col("r_key") == F.col("s_key")), "left_semi")
+
+    stay = staged(stay, "staying")
+    single = those(stay.where("not cut")).select("row")
+    cut = those(stay.where("cut")).groupBy("r_id", "r_key").agg(F.min("row").alias("row")).select("row")
+    return single.unionByName(cut).select("row.*")
