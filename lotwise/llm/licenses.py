@@ -6,7 +6,7 @@ known licences. Units are the entire document (a full licence text, or a notice
 entire line (a notice inside a document). Nothing is matched in part: a unit is a known licence word
 by word, or it is none.
 
-The table of known licences is the caller's, or ``KNOWN`` below; either way it is read as a table of
+The table of known licences is the caller's, or ``all_known`` below; either way it is read as a table of
 digests and Spark broadcasts it only when its measured size allows.
 
 Null texts match nothing (counts 0). Texts or lines that are empty once canonicalised match nothing.
@@ -16,6 +16,8 @@ the input are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,32 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
 )
 
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_3 = _BSD_2.replace("THIS SOFTWARE IS PROVIDED BY", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS PROVIDED BY", 1)
+
+#: Entire texts besides those of KNOWN, which the oracle SQL lists; files hold the longer ones as distributed.
+TEXTS: tuple[tuple[str, str], ...] = (
+    ("BSD-2-Clause", _BSD_2),
+    ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_2),
+    ("BSD-3-Clause", _BSD_3),
+    ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD_3),
+    ("0BSD", "BSD Zero Clause License\n" + _0BSD),
+)
+FILES = {
+    "Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+    "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+def all_known() -> list[tuple[str, str]]:
+    """(licence id, text) of KNOWN, TEXTS and the files."""
+    folder = Path(__file__).parent / "licence_texts"
+    files = [(i, (folder / f"{name}.txt").read_text(encoding="utf-8")) for name, i in FILES.items()]
+    return [*KNOWN, *TEXTS, *files]
+
+
 #: Equivalent spellings, as whole canonical words: (pattern, replacement).
 SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"\blicen[cs]e(s|d)?\b", r"license$1"),
@@ -64,7 +92,14 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"\bcreative commons attribution noncommercial\b", "cc by nc"),
 )
 _SIGNS = "©‘’“”–— "  # copyright sign, quotes, dashes, no-break space
-_COPYRIGHT = r"^(copyright|c copyright|\(?c\)? ?[12][0-9]{3}|all rights reserved)"
+#: The rule of the oracle SQL: any line that starts so.
+_SQL_COPYRIGHT = r"^(copyright|c copyright|\(?c\)? ?[12][0-9]{3}|all rights reserved)"
+#: A copyright line names a sign, a year or a holder; a wrapped body may start a line with "copyright notice".
+_BODY = (
+    "notices?|holders?|owners?|ownership|licen[cs]e[sd]?|licen[cs]ing|laws?|statements?|treat(y|ies)|and|or|on|in|of|as|to|is|are|for|if|"
+    "that|which|permissions?|interests?|disclaimers?|restrictions?|rights?|protection|patents?|trademarks?|the software|the program|"
+    "the library|this|doctrines?|like|resulting|material|status|terms?|information|applicable|under|with|by copyright")
+_COPYRIGHT = rf"^((c )?copyright (?!({_BODY})\b)|c [12][0-9]{{3}}|all rights reserved)"
 
 
 def canonical(c: Column) -> Column:
@@ -95,9 +130,9 @@ def _entire(lines: Column) -> Column:
     return F.array_join(F.filter(lines, _is_text), " ")
 
 
-def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_licenses(spark: SparkSession, known=None) -> DataFrame:
     """(license_id, digest) of the known texts, canonicalised like any other text."""
-    raw = spark.createDataFrame([(i, t) for i, t in known], "license_id string, text string")
+    raw = spark.createDataFrame([(i, t) for i, t in (all_known() if known is None else known)], "license_id string, text string")
     return raw.select("license_id", _digest(_entire(_lines(F.col("text")))).alias("digest")).distinct()
 
 
@@ -149,7 +184,7 @@ def _sql_canonical(c: str) -> str:
 def sql() -> str:
     quoted = ",\n".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in KNOWN)
     canon = _sql_canonical("l")
-    entire = f"array_to_string(list_filter(lines, lambda l: l <> '' AND NOT regexp_matches(l, '{_COPYRIGHT}')), ' ')"
+    entire = f"array_to_string(list_filter(lines, lambda l: l <> '' AND NOT regexp_matches(l, '{_SQL_COPYRIGHT}')), ' ')"
     return f"""
 WITH known_raw(license_id, text) AS (VALUES {quoted}),
 known AS (
