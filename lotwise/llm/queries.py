@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lotwise.llm import bpe, filter_audit, langid, licenses, lines, mixing, pq, quality, superminhash, token_counts, toxicity
+from lotwise.llm import bpe, collocations, filter_audit, langid, licenses, lines, mixing, pq, quality, superminhash, token_counts, toxicity
 from lotwise.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,9 +69,15 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_license_scan": op10_license_scan,
+        "op11_collocations": op11_collocations,
         "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql():
-    return {"op7_mix_sources": mixing.SQL, "op10_license_scan": licenses.sql(), "op13_filter_audit": filter_audit.SQL}
+    return {
+        "op7_mix_sources": mixing.SQL,
+        "op10_license_scan": licenses.sql(),
+        "op11_collocations": collocations.SQL,
+        "op13_filter_audit": filter_audit.SQL,
+    }
