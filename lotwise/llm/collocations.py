@@ -45,7 +45,7 @@ TOP = 2000
 #: phrase at the support, two at least).
 SAMPLE = 8
 PROPOSED = max(2, SUPPORT // SAMPLE // 2)
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 25
 SLICE_BYTES = 16 << 20
 
 GAP, FENCE = byte_set(b" \t"), byte_set(b".,;:!?\n\x0b\x0c\r")
@@ -75,6 +75,14 @@ def passes(bits: np.ndarray | None, h: np.ndarray) -> np.ndarray:
     return ((bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
 
 
+def packed(bits: np.ndarray) -> bytes:
+    return pa.compress(bits.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, FILTER_BITS // 8, "zstd", asbytes=True), dtype=np.uint8)
+
+
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
@@ -124,12 +132,15 @@ def count_slice(texts: list[bytes], lang: str, now, before, longest: int):
     yield 3, pc.binary_join_element_wise(*parts, b" "), counts
 
 
-def _count(docs: DataFrame, now=None, before=None, longest: int = 3) -> DataFrame:
-    """(lang, k, phrase, c): exact counts over ``docs`` (lang, text) of the phrases to count, one row each."""
-    sent = docs.sparkSession.sparkContext.broadcast((now or (None, None), before))
+def _count(docs: DataFrame, sent, longest: int = 3) -> DataFrame:
+    """(lang, k, phrase, c): exact counts over ``docs`` (lang, text) of the phrases to count, one row each.
+
+    ``sent`` is a broadcast of the packed filters (now, before), None for those there are not.
+    """
 
     def run(batches):
-        now, before = sent.value
+        now, before = [pair and tuple(map(unpacked, pair)) for pair in sent.value]
+        now = now or (None, None)
 
         def flush(held):
             for lang, texts in held.items():
@@ -185,12 +196,15 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, sample: int = SAMP
     rows = docs.select(
         F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     some = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(sample)) == 0)
-    seen = staged(_count(some, longest=2).where((F.col("c") >= proposed) & (F.col("k") > 0)), "proposals")
+    send = docs.sparkSession.sparkContext.broadcast
+    seen = staged(_count(some, send((None, None)), longest=2).where((F.col("c") >= proposed) & (F.col("k") > 0)), "proposals")
     before, now = None, tuple(filter_bits(seen, k) for k in _LEVELS)
     found = []
     while True:
-        counts = _count(rows, now, before).where((F.col("k") == 0) | (F.col("c") >= support))
+        sent = send((tuple(map(packed, now)), before and tuple(map(packed, before))))
+        counts = _count(rows, sent).where((F.col("k") == 0) | (F.col("c") >= support))
         found.append(staged(counts, "frequent"))
+        sent.destroy()  # the pass is on disk
         wider = tuple(old | filter_bits(found[-1], k) for old, k in zip(now, _LEVELS))
         if all((a == b).all() for a, b in zip(now, wider)):
             return reduce(DataFrame.unionByName, found)
