@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lotwise.llm import bpe, collocations, filter_audit, langid, licenses, lines, mixing, pq, quality, superminhash, token_counts, toxicity
+from lotwise.llm import bpe, collocations, filter_audit, langid, licenses, lines, lm_score, mixing, pq, quality, superminhash, token_counts, toxicity
 from lotwise.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op11_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_lm_score(spark, sf_dir):
+    return lm_score.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +74,7 @@ def queries():
         "op9_byte_bpe": op9_byte_bpe,
         "op10_license_scan": op10_license_scan,
         "op11_collocations": op11_collocations,
+        "op12_lm_score": op12_lm_score,
         "op13_filter_audit": op13_filter_audit,
     }
 
