@@ -46,11 +46,11 @@ TOP = 2000
 SAMPLE = 8
 PROPOSED = max(2, SUPPORT // SAMPLE // 2)
 FILTER_BITS = 1 << 25
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 5 << 20
 
 GAP, FENCE = byte_set(b" \t"), byte_set(b".,;:!?\n\x0b\x0c\r")
 _LEVELS = (1, 2)
-_COUNTS = "lang string, k int, phrase string, c long"
+_COUNTS = "lang string, phrase string, c long"
 _ROWS = 1 << 17
 
 
@@ -88,18 +88,18 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_slice(texts: list[bytes], lang: str, now, before, longest: int):
-    """(k, phrases, counts) of one slice: what the filters ``now`` let through and ``before`` did not.
+    """(phrases, counts) of one slice: what the filters ``now`` let through and ``before`` did not.
 
     ``now`` and ``before`` are (words, pairs) filters; ``before`` is None in the first pass, which
-    also counts all words. k = 0 gives the number of words.
+    also counts all words. The empty phrase has the number of words.
     """
     c = cut(texts, GAP, FENCE)
     n, size = len(c.ids), max(1, len(c.words))
     if not n:
         return
     if before is None:
-        yield 0, pa.array([b""]), np.array([n])
-        yield 1, c.words, np.bincount(c.ids, minlength=len(c.words))
+        yield pa.array([b""]), np.array([n])
+        yield c.words, np.bincount(c.ids, minlength=len(c.words))
     seeded = word_hashes(c.words) + lang_seed(lang)
     at = np.flatnonzero(c.piece[1:] == c.piece[:-1])  # where a pair begins
 
@@ -121,7 +121,7 @@ def count_slice(texts: list[bytes], lang: str, now, before, longest: int):
         triple &= ~old_triple
     i = at[pair]
     key, counts = _counted(c.ids[i] * size + c.ids[i + 1])
-    yield 2, pc.binary_join_element_wise(c.words.take(pa.array(key // size)), c.words.take(pa.array(key % size)), b" "), counts
+    yield pc.binary_join_element_wise(c.words.take(pa.array(key // size)), c.words.take(pa.array(key % size)), b" "), counts
     if longest < 3:
         return
     i = at[triple]
@@ -129,7 +129,7 @@ def count_slice(texts: list[bytes], lang: str, now, before, longest: int):
     key, counts = _counted(back * size + c.ids[i + 2])
     first = first[key // size]
     parts = [c.words.take(pa.array(x)) for x in (first // size, first % size, key % size)]
-    yield 3, pc.binary_join_element_wise(*parts, b" "), counts
+    yield pc.binary_join_element_wise(*parts, b" "), counts
 
 
 def _count(docs: DataFrame, sent, longest: int = 3) -> DataFrame:
@@ -144,13 +144,13 @@ def _count(docs: DataFrame, sent, longest: int = 3) -> DataFrame:
 
         def flush(held):
             for lang, texts in held.items():
-                for k, phrases, counts in count_slice(texts, lang, now, before, longest):
+                for phrases, counts in count_slice(texts, lang, now, before, longest):
                     phrases = phrases.cast(pa.string())
                     for at in range(0, len(counts), _ROWS):
                         some = phrases.slice(at, _ROWS)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), k, np.int32)), some,
-                             pa.array(counts[at : at + _ROWS].astype(np.int64))], names=["lang", "k", "phrase", "c"])
+                            [pa.array([lang] * len(some), pa.string()), some, pa.array(counts[at : at + _ROWS].astype(np.int64))],
+                            names=["lang", "phrase", "c"])
 
         held, size = defaultdict(list), 0
         for batch in batches:
@@ -162,7 +162,9 @@ def _count(docs: DataFrame, sent, longest: int = 3) -> DataFrame:
                     held, size = defaultdict(list), 0
         yield from flush(held)
 
-    return docs.mapInArrow(run, _COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"))
+    sums = docs.mapInArrow(run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
+    return sums.select("lang", words.alias("k"), "phrase", "c")
 
 
 def filter_bits(phrases: DataFrame, k: int) -> np.ndarray:
