@@ -187,9 +187,9 @@ def filter_bits(phrases: DataFrame, k: int) -> np.ndarray:
                     [pa.array(slot[first].astype(np.int64)), pa.array(value.view(np.int64))], names=["slot", "bits"])
 
     rows = phrases.where(F.col("k") == k).select("lang", "phrase").mapInArrow(run, "slot long, bits long")
-    found = rows.groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    found = rows.groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    bits[found["slot"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
     return bits.view(np.uint8)
 
 
