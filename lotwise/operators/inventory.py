@@ -95,6 +95,14 @@ def lot_inventory(
     )
 
 
+def lot_stock(lots: DataFrame, lot_services: DataFrame, as_of) -> DataFrame:
+    """Stock and status per lot without the catalog: what plans need that work on keys alone."""
+    left = F.col("initial_qty").cast("long") - F.coalesce(F.col("consumed_total"), F.lit(0).cast("long"))
+    return lots.join(lot_consumption(lot_services), "lot_id", "left").select(
+        "product_id", "lot_id", "lot_number", "expiry_date", left.alias("current_qty"),
+        expiry_status(days_remaining("expiry_date", as_of)).alias("status"))
+
+
 def active_inventory(inventory: DataFrame) -> DataFrame:
     """Lots with stock left (expired lots included)."""
     return inventory.where(F.col("current_qty") > 0)

@@ -11,11 +11,12 @@ with D(k) the need of all earlier lines and X(k) the stock that has expired by k
 the two give the assignments, the same as the sequential walk. For one flight this is
 ``allocate.fefo_allocate``.
 
-Overlaps are found by an equi-join on (product, cell), a cell being ``CELL`` units of the queue: an
-interval is listed in the cells that it touches, and a pair counts in the cell where its overlap
-begins. A cell holds at most ``CELL`` lots and lines, so a hot product is spread over
-cells and no rows are compared across them. The running sums and the running maximum are chunked
-by date (``windows``).
+All of it is one scan over the product's lots and lines in one order (``scan.max_plus_scan``): day by
+day, the lots that expire on it, then its departures. A lot's place in the queue is the stock before it,
+and a line's is the sum above. The overlaps of lots and lines are then read off by a second scan over the
+points where either begins or ends (``scan.overlay``): no row is repeated per unit or cell, however large a
+quantity. Chunks are lots of one expiry date by id and lines of a quarter of an hour, then quantiles of the queue
+positions, so one product, or one product on one day, is many tasks.
 """
 
 from __future__ import annotations
@@ -25,78 +26,86 @@ from pyspark.sql import functions as F
 
 from lotwise.operators.allocate import manifest_lines
 from lotwise.operators.inventory import loadable_inventory
-from lotwise.operators.windows import range_chunks, running_max, running_sum
+from lotwise.operators.scan import cut_of, max_plus_scan, overlay
+from lotwise.operators.windows import range_chunks
 
-CELL = 256
+_KEY = ["product_id"]
 
 
 def open_lines(lot_services: DataFrame, lots: DataFrame, products: DataFrame, flights: DataFrame) -> DataFrame:
     """One manifest line per (flight, product) with unrecorded consumption: buffer per line."""
-    open_ = lot_services.where(F.col("consumed_qty").isNull()).groupBy("flight_id", "lot_id").agg(F.sum("loaded_qty").alias("q"))
+    open_ = lot_services.where(F.col("consumed_qty").isNull()).select("flight_id", "lot_id", "loaded_qty")
     demand = (
         open_.join(lots.select("lot_id", "product_id"), "lot_id")
-        .groupBy("flight_id", "product_id").agg(F.sum("q").cast("long").alias("base_qty"))
-        .join(flights.select("flight_id", "dep_ts"), "flight_id")
-        .join(products.select("product_id", F.col("name").alias("product_name")), "product_id")
+        .groupBy("flight_id", "product_id").agg(F.sum("loaded_qty").cast("long").alias("base_qty"))
     )
-    return manifest_lines(demand, ordered=False)
-
-
-def _day(c):
-    return F.to_date(F.col(c)) if isinstance(c, str) else F.to_date(c)
-
-
-def _queues(lines: DataFrame, inventory: DataFrame, need: str) -> tuple[DataFrame, DataFrame]:
-    """Lots and lines as intervals of their product's queue."""
-    lots = loadable_inventory(inventory).join(lines.select("product_id").distinct(), "product_id", "left_semi")
-    lots = lots.select("product_id", "lot_id", "lot_number", "expiry_date", "status", "current_qty")
-    lots = running_sum(
-        range_chunks(lots, ["product_id"], "expiry_date", "lot_id"), ["product_id"], ["expiry_date", "lot_id"],
-        "current_qty", "s0", F.struct("expiry_date", "_bucket"), inclusive=False).drop("_bucket")
-    lots = lots.withColumn("s1", F.col("s0") + F.col("current_qty"))
-    # stock expired by each departure: lots and lines in one order by day, lots first
-    zero = F.lit(0).cast("long")
-    events = lots.select(
-        "product_id", F.col("expiry_date").alias("day"), F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("dep_ts"),
-        F.lit(None).cast("long").alias("flight_id"), F.col("current_qty").cast("long").alias("stock"), zero.alias("need"))
-    events = events.unionByName(lines.select(
-        "product_id", _day("dep_ts").alias("day"), F.lit(1).alias("kind"), F.col("dep_ts").cast("timestamp_ntz").alias("dep_ts"),
-        "flight_id", zero.alias("stock"), F.col(need).cast("long").alias("need")))
-    order = ["day", "kind", "dep_ts", "flight_id"]
-    both = running_sum(events, ["product_id"], order, "need", "d", F.col("day"), inclusive=False)
-    both = running_sum(both, ["product_id"], order, "stock", "x", F.col("day"), total="stock_all")
-    both = both.where("kind = 1").withColumn("lead", F.col("x") - F.col("d"))
-    both = running_max(both, ["product_id"], order, "lead", "most", F.col("day"))
-    start = F.col("d") + F.greatest(zero, F.col("most"))
-    queue = both.select(
-        "product_id", "flight_id", F.col("need"), F.least(start, F.col("stock_all")).alias("d0"),
-        F.least(start + F.col("need"), F.col("stock_all")).alias("d1"))
-    return lots, queue
-
-
-def _cells(df: DataFrame, lo: str, hi: str) -> DataFrame:
-    first, last = F.floor(F.col(lo) / CELL), F.floor((F.col(hi) - 1) / CELL)
-    return df.where(F.col(hi) > F.col(lo)).withColumn("cell", F.explode(F.sequence(first, last)))
+    return departing_lines(demand, products, flights)
+
+
+def departing_lines(demand: DataFrame, products: DataFrame, flights: DataFrame) -> DataFrame:
+    """Manifest lines of a demand per (flight, product), with the flight's departure and the product's name."""
+    named = demand.join(flights.select("flight_id", "dep_ts"), "flight_id").join(
+        products.select("product_id", F.col("name").alias("product_name")), "product_id")
+    return manifest_lines(named, ordered=False)
+
+
+def _events(lines: DataFrame, inventory: DataFrame, need: str) -> DataFrame:
+    """Lots (kind 0) and lines (kind 1) of each product in one table, with the chunk of the day they belong to."""
+    lots = range_chunks(
+        loadable_inventory(inventory).select("product_id", "lot_id", "lot_number", "expiry_date", "status", "current_qty"),
+        _KEY, "expiry_date", "lot_id")
+    zero, dep = F.lit(0).cast("long"), F.col("dep_ts").cast("timestamp_ntz")
+    lots = lots.select(
+        "product_id", F.col("expiry_date").alias("day"), F.lit(0).alias("kind"), F.col("_bucket").cast("long").alias("bucket"),
+        F.lit(None).cast("timestamp_ntz").alias("at"), F.col("lot_id").cast("long").alias("id"),
+        F.col("current_qty").cast("long").alias("stock"), zero.alias("need"),
+        F.struct("lot_id", "lot_number", "expiry_date", "status").alias("lot"))
+    lot_type = lots.schema["lot"].dataType
+    return lots.unionByName(lines.select(
+        "product_id", F.to_date("dep_ts").alias("day"), F.lit(1).alias("kind"),
+        F.floor((F.hour(dep) * 60 + F.minute(dep)) / 15).cast("long").alias("bucket"), dep.alias("at"),
+        F.col("flight_id").cast("long").alias("id"), zero.alias("stock"), F.col(need).cast("long").alias("need"),
+        F.lit(None).cast(lot_type).alias("lot")))
+
+
+def _scanned(lines: DataFrame, inventory: DataFrame, need: str) -> DataFrame:
+    """Every lot and line with its interval [q0, q1) of the product's queue."""
+    found = max_plus_scan(
+        _events(lines, inventory, need), _KEY, ["day", "kind", "at", "id"], F.struct("day", "kind", "bucket"), "need", "stock", ("lot",))
+    line = F.col("kind") == 1
+    start = F.col("need_before") + F.greatest(F.lit(0), F.col("lead"))
+    return found.select(
+        "product_id", "kind", "id", "need", "lot", "bounds",
+        F.when(line, F.least(start, F.col("stock_all"))).otherwise(F.col("stock_before")).alias("q0"),
+        F.when(line, F.least(start + F.col("need"), F.col("stock_all"))).otherwise(F.col("stock_before") + F.col("stock")).alias("q1"))
 
 
 def allocate_flights(lines: DataFrame, inventory: DataFrame, need: str = "final_qty") -> DataFrame:
     """B6 + W1: which lot goes on which flight, and how much of it."""
-    lots, queue = _queues(lines, inventory, need)
-    at = F.greatest("s0", "d0")
-    return (
-        _cells(queue, "d0", "d1").join(_cells(lots, "s0", "s1"), ["product_id", "cell"])
-        .where((F.col("s0") < F.col("d1")) & (F.col("d0") < F.col("s1")) & (F.floor(at / CELL) == F.col("cell")))
-        .select("flight_id", "product_id", "lot_id", "lot_number", "expiry_date", "status",
-                (F.least("s1", "d1") - at).cast("long").alias("taken_qty"))
-    )
+    rows = _scanned(lines, inventory, need).where("q1 > q0")
+    flight = F.struct(F.col("id").alias("flight_id"))
+    nobody = F.struct(F.lit(None).cast("long").alias("flight_id"))
+
+    def point(pos, rank, line, lot=None):
+        lot = F.lit(None).cast(rows.schema["lot"].dataType) if lot is None else lot
+        return F.struct(F.col(pos).alias("pos"), F.lit(rank).alias("rank"), line.alias("line"), lot.alias("lot"))
+
+    no_line = F.when(F.lit(False), flight)
+    points = rows.select("product_id", "id", "bounds", F.explode(
+        F.when(F.col("kind") == 0, F.array(point("q0", 2, no_line, F.col("lot"))))
+        .otherwise(F.array(point("q0", 1, flight), point("q1", 0, nobody)))).alias("p"))
+    points = points.select("product_id", "id", cut_of(F.col("p.pos"), F.col("bounds")).alias("cut"), "p.*")
+    return overlay(points, _KEY, "line", "lot").select(
+        "line.flight_id", "product_id", "lot.lot_id", "lot.lot_number", "lot.expiry_date", "lot.status",
+        F.col("length").alias("taken_qty"))
 
 
 def flight_shortfall(lines: DataFrame, inventory: DataFrame, need: str = "final_qty") -> DataFrame:
     """W2 per flight: what the queue could not give a line."""
-    _, queue = _queues(lines, inventory, need)
-    taken = F.col("d1") - F.col("d0")
+    queue = _scanned(lines, inventory, need).where("kind = 1")
+    taken = F.col("q1") - F.col("q0")
     return queue.select(
-        "flight_id", "product_id", F.col("need").alias("need_qty"), taken.cast("long").alias("taken_qty"),
+        F.col("id").alias("flight_id"), "product_id", F.col("need").alias("need_qty"), taken.cast("long").alias("taken_qty"),
         (F.col("need") - taken).cast("long").alias("shortfall_qty")).where("shortfall_qty > 0")
 
 

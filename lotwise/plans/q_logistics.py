@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lotwise.operators import allocate as al
+from lotwise.operators import inventory as inv
 from lotwise.operators import logistics as lg
 from lotwise.operators import schedule as sc
 from lotwise.plans.oracle import EXTRA
@@ -185,9 +186,14 @@ def _flight_lines(spark, sf):
     return sc.open_lines(t.lot_services, t.lots, t.products, t.flights)
 
 
+def _stock(spark, sf):
+    t = _t(spark, sf)
+    return inv.lot_stock(t.lots, t.lot_services, t.as_of)
+
+
 @query("flight_manifest_allocation", "SELECT * FROM flight_takes", ids="B6 W1")
 def flight_manifest_allocation(spark, sf):
-    return sc.allocate_flights(_flight_lines(spark, sf), _inventory(spark, sf))
+    return sc.allocate_flights(_flight_lines(spark, sf), _stock(spark, sf))
 
 
 @query(
@@ -198,7 +204,7 @@ def flight_manifest_allocation(spark, sf):
     ids="B6 W2",
 )
 def flight_manifest_shortfall(spark, sf):
-    return sc.flight_shortfall(_flight_lines(spark, sf), _inventory(spark, sf))
+    return sc.flight_shortfall(_flight_lines(spark, sf), _stock(spark, sf))
 
 
 @query(
@@ -216,7 +222,7 @@ def flight_manifest_shortfall(spark, sf):
 def manifest_nested(spark, sf):
     """Each flight line with the array of its lots, shown as JSON so that engines compare alike."""
     lines = _flight_lines(spark, sf)
-    nested = sc.nested_manifest(lines, sc.allocate_flights(lines, _inventory(spark, sf)))
+    nested = sc.nested_manifest(lines, sc.allocate_flights(lines, _stock(spark, sf)))
     lots = F.transform("lots", lambda x: F.struct(x["lot_id"].alias("lot_id"), x["lot_number"].alias("lot_number"), x["taken_qty"].alias("taken_qty")))
     return nested.select(
         "flight_id", "product_id", "product_name", "base_qty", "buffer_qty", "final_qty",
