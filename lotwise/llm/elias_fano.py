@@ -35,17 +35,21 @@ def decode_probability(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** ((1.0 - code.astype(np.float64)) / SCALE), 0.0)
 
 
+_ONES, _HIGHS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Place of the r-th set bit of a byte, at 8 * byte + r.
+_IN_BYTE = np.array([([k for k in range(8) if byte >> k & 1] + [0] * 8)[r] for byte in range(256) for r in range(8)], dtype=np.uint64)
+
+
 def select_in_word(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th (from 0) set bit of each 64-bit word."""
-    place = np.zeros(len(x), dtype=np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = x & _U((1 << width) - 1)
-        c = np.bitwise_count(low)
-        up = r >= c
-        r = r - np.where(up, c, 0)
-        place += np.where(up, width, 0)
-        x = np.where(up, x >> _U(width), low)
-    return place
+    """Place of the r-th (from 0) set bit of each 64-bit word: its byte by running bit counts, then a table."""
+    r = r.astype(np.uint64)
+    s = x - ((x >> _U(1)) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    s = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES
+    full = ((((r * _ONES) | _HIGHS) - s) >> _U(7)) & _ONES  # bytes that end before the bit
+    place = ((full * _ONES) >> _U(56)) << _U(3)
+    before = ((s << _U(8)) >> place) & _U(255)
+    return (place + _IN_BYTE[((x >> place) & _U(255)) * _U(8) + r - before]).astype(np.int64)
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -115,12 +119,15 @@ class EliasFano:
         h = np.where(fits, h, 0)
         a, b = self._before(h), self._before(h + 1)
         end = np.where(fits, b, a)
-        b = end
+        b = end.copy()
         target = (x & ((1 << self.width) - 1)).astype(np.uint64)
-        while (a < b).any():
-            mid = (a + b) >> 1
-            less = (read_bits(self.low, np.minimum(mid, max(0, self.n - 1)), self.width) < target) & (a < b)
-            a, b = np.where(less, mid + 1, a), np.where(less, b, np.minimum(mid, b))
+        open_ = np.flatnonzero(a < b)
+        while len(open_):
+            mid = (a[open_] + b[open_]) >> 1
+            less = read_bits(self.low, mid, self.width) < target[open_]
+            a[open_[less]] = mid[less] + 1
+            b[open_[~less]] = mid[~less]
+            open_ = open_[a[open_] < b[open_]]
         if not self.n:
             return np.full(len(x), -1, dtype=np.int64)
         hit = (a < end) & (read_bits(self.low, np.minimum(a, self.n - 1), self.width) == target)
@@ -183,7 +190,9 @@ class Trie:
         found = np.full(len(ids), -1, dtype=np.int64)
         live = np.flatnonzero(parent >= 0)
         if len(live):
-            nodes, back = np.unique(parent[live], return_inverse=True)
+            # queries come in the order of their parents, so equal parents stand together
+            new = np.diff(parent[live], prepend=-1) != 0
+            nodes, back = parent[live][new], np.cumsum(new) - 1
             a, b = start.access(nodes), start.access(nodes + 1)
             base = np.where(a > 0, level.access(np.maximum(a - 1, 0)), 0)
             at = level.find(base[back] + 1 + ids[live])
@@ -191,9 +200,9 @@ class Trie:
         return found
 
     def lookup(self, u, v, size3, w):
-        """Codes (prob, backoff) of pairs (u, v), and prob of their triples: ``size3`` words of ``w`` to a pair."""
-        first, back = np.unique(u, return_inverse=True)
-        pair = self._successor(self.to_pairs, self.pairs, self.words.find(first)[back], v)
+        """Codes (prob, backoff) of sorted pairs (u, v), and prob of their triples: ``size3`` words of ``w`` to a pair."""
+        new = np.diff(u, prepend=-1) != 0
+        pair = self._successor(self.to_pairs, self.pairs, self.words.find(u[new])[np.cumsum(new) - 1], v)
         triple = self._successor(self.to_triples, self.triples, np.repeat(pair, size3), w)
 
         def code(codes, at):

@@ -16,11 +16,12 @@ Texts and shards meet by messages, each packed into one binary value:
 1. documents are cut into chunks of about ``CHUNK_BYTES``; a chunk lists its different words;
 2. the words of all chunks go to word shards, which sum the counts and answer with an id and a count for each;
 3. a chunk sends its different triples, sorted and as differences, with their training counts, to the shards of their
-   pairs; a shard sums the counts, builds its trie, looks the triples of each chunk up in it and answers with codes;
+   pairs; a shard sums the counts, builds its trie, looks the triples of each chunk up in it and answers with what the
+   codes say, written as counts (small numbers, which pack well);
 4. the chunk, with the answers, scores its documents.
 
 A word or triple is sent once per chunk, however often it occurs. Chunks are staged, so their numbering cannot change
-under a retry. The driver sees three totals.
+under a retry, and shuffled once for both uses. The driver sees three totals.
 
 Null texts are empty (one token, the end). A null doc_id belongs to no fold: it is not held out and is learned from.
 Repeated rows are learned from and scored each. Without training documents every probability of a word
@@ -47,7 +48,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Weights of the lower order, in counts.
 MU2, MU3 = 40.0, 8.0
 #: Text of a chunk, and the training tokens for which there is one shard more.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 SHARD_TOKENS = 4_000_000
 
 GAP, NO_FENCE = byte_set(b" \t\n\x0b\x0c\r"), byte_set(b"")
@@ -143,6 +144,7 @@ def chunks(docs: DataFrame, fold) -> DataFrame:
 # --- 2: words
 
 
+_WORDS, _TRIPLES = 0, 1
 _MESSAGE = "shard long, chunk long, message binary"
 
 
@@ -205,17 +207,13 @@ def _answer_words(shards: int):
     return run
 
 
-def _take_ids(shards: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lens, tokens, lengths, data, _ = unpack(left.column("blob")[0].as_py())
-        order, shard = _word_order(_words_of(lengths, data), shards)
-        replies = dict(zip(right.column("shard").to_pylist(), right.column("message").to_pylist()))
-        ids, counts = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
-        for s, a, b in _segments(shard):
-            ids[order[a:b]], counts[order[a:b]] = unpack(replies[s])
-        return left.select(["chunk", "ids", "held"]).append_column("blob", pa.array([pack(lens, tokens, ids, counts)], pa.binary()))
-
-    return run
+def _ids_of(lengths: np.ndarray, data: np.ndarray, replies: dict, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of a chunk's words."""
+    order, shard = _word_order(_words_of(lengths, data), shards)
+    ids, counts = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
+    for s, a, b in _segments(shard):
+        ids[order[a:b]], counts[order[a:b]] = unpack(replies[s])
+    return ids, counts
 
 
 # --- 3: triples
@@ -224,9 +222,8 @@ def _take_ids(shards: int):
 class Triples:
     """The different triples of a chunk, by shard; ``at`` is the triple, ``pair_at`` the pair at every place."""
 
-    def __init__(self, blob: bytes, held: np.ndarray, shards: int, train_docs: int):
-        self.lens, tokens, ids, counts = unpack(blob)
-        n = len(ids)
+    def __init__(self, lens, tokens, ids, counts, held: np.ndarray, shards: int, train_docs: int):
+        self.lens, n = lens, len(ids)
         self.ids = np.concatenate([ids, [BEGIN, END, AFTER]])
         self.counts = np.concatenate([counts, [train_docs, train_docs, 0]])
         size = self.lens + 4  # begin, begin, words, end, after
@@ -264,6 +261,17 @@ class Triples:
             yield s, slice(a, b), triple[s]
 
 
+def _chunk_triples(left: pa.Table, replies: dict, shards: int, train_docs: int) -> Triples:
+    lens, tokens, lengths, data, _ = unpack(left.column("blob")[0].as_py())
+    held = np.array(left.column("held")[0].as_py(), dtype=bool)
+    return Triples(lens, tokens, *_ids_of(lengths, data, replies, shards), held, shards, train_docs)
+
+
+def _by_shard(right: pa.Table, kind: int) -> dict:
+    rows = zip(*(right.column(c).to_pylist() for c in ("kind", "shard", "message")))
+    return {s: m for k, s, m in rows if k == kind}
+
+
 def _steps(x: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Differences to the value before, the value itself where a run begins."""
     return np.where(new, x, x - np.concatenate([[0], x[:-1]])) if len(x) else x
@@ -300,13 +308,11 @@ def unpack_triples(blob: bytes):
 
 
 def _ask_triples(shards: int, train_docs: int):
-    def run(batches):
-        for batch in batches:
-            for chunk, held, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                t = Triples(blob, np.array(held, dtype=bool), shards, train_docs)
-                rows = [(s, chunk, pack_triples(t.u[p], t.v[p], t.context[p], t.size3[p], t.w[q], t.train[q])) for s, p, q in t.segments()]
-                if rows:
-                    yield _messages(rows)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = _chunk_triples(left, _by_shard(right, _WORDS), shards, train_docs)
+        chunk = left.column("chunk")[0].as_py()
+        rows = [(s, chunk, pack_triples(t.u[p], t.v[p], t.context[p], t.size3[p], t.w[q], t.train[q])) for s, p, q in t.segments()]
+        return pa.Table.from_batches([_messages(rows)])
 
     return run
 
@@ -340,8 +346,11 @@ def _answer_triples(table: pa.Table) -> pa.Table:
         shard_trie(messages).save(file)
         trie = Trie.mapped(np.memmap(file, dtype=np.uint8, mode="r"))
         for blob in messages:
-            u, v, _, size3, w, _ = unpack_triples(blob)
-            replies.append(pack(*trie.lookup(u, v, size3, w)))
+            u, v, context, size3, w, _ = unpack_triples(blob)
+            prob2, _, prob3 = trie.lookup(u, v, size3, w)
+            count2 = np.rint(decode_probability(prob2) * (context + MU2))
+            count3 = np.rint(decode_probability(prob3) * (np.repeat(count2, size3) + MU3))
+            replies.append(pack(count2.astype(np.int64), count3.astype(np.int64)))
     return pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "message": pa.array(replies, pa.binary())})
 
 
@@ -359,14 +368,15 @@ def _levels(table: pa.Table) -> pa.Table:
 def _score(shards: int, train_docs: int, train_tokens: int, types: int, ids_type: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held = np.array(left.column("held")[0].as_py(), dtype=bool)
-        t = Triples(left.column("blob")[0].as_py(), held, shards, train_docs)
-        replies = dict(zip(right.column("shard").to_pylist(), right.column("message").to_pylist()))
-        prob2, back2, prob3 = np.zeros(len(t.u)), np.ones(len(t.u)), np.zeros(len(t.w))
+        t = _chunk_triples(left, _by_shard(right, _WORDS), shards, train_docs)
+        replies = _by_shard(right, _TRIPLES)
+        count2, prob3 = np.zeros(len(t.u)), np.zeros(len(t.w))
+        context = np.zeros(len(t.u))
         for s, p, q in t.segments():
-            a, b, c = unpack(replies[s])
-            prob2[t.pair_order[p]] = decode_probability(a)
-            back2[t.pair_order[p]] = np.where(b > 0, decode_probability(b), 1.0)
-            prob3[t.triple_order[q]] = decode_probability(c)
+            two, three = unpack(replies[s])
+            count2[t.pair_order[p]], context[t.pair_order[p]] = two, t.context[p]
+            prob3[t.triple_order[q]] = three / (np.repeat(two, t.size3[p]) + MU3)
+        prob2, back2 = count2 / (context + MU2), MU3 / (count2 + MU3)
         here = np.flatnonzero(np.diff(t.doc, append=-1) == 0)  # all but what follows the end of a text
         doc, at = t.doc[here], t.first[here]
         count = t.counts[t.seq[at + 2]].astype(float)
@@ -405,11 +415,9 @@ class _Encoded:
         # the end of a text counts as a word, once per training document
         self.train_tokens = int(found.n or 0) + self.train_docs
         self.types = int(found.v or 0) + (self.train_docs > 0)
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name in ("chunk", "ids", "held", "blob"))
-        left = parts.select("chunk", "ids", "held", "blob").groupBy("chunk")
-        right = replies.select("shard", "chunk", "message").groupBy("chunk")
-        self.chunks = staged(left.cogroup(right).applyInArrow(_take_ids(shards), kinds), "lm_encoded")
-        self.asked = self.chunks.select("chunk", "held", "blob").mapInArrow(_ask_triples(shards, self.train_docs), _MESSAGE)
+        self.parts = parts.select("chunk", "ids", "held", "blob").groupBy("chunk")
+        self.words = replies.select("chunk", "shard", F.lit(_WORDS).alias("kind"), "message")
+        self.asked = self.parts.cogroup(self.words.groupBy("chunk")).applyInArrow(_ask_triples(shards, self.train_docs), _MESSAGE)
 
 
 def model_levels(docs: DataFrame, fold=None) -> DataFrame:
@@ -425,4 +433,5 @@ def score_corpus(docs: DataFrame, fold=None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     ids_type = {"long": pa.int64(), "integer": pa.int32()}.get(kind.typeName(), pa.string())
     scored = _score(e.shards, e.train_docs, e.train_tokens, e.types, ids_type)
-    return e.chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(scored, _SCORES.format(kind.simpleString()))
+    replies = e.words.unionByName(answered.select("chunk", "shard", F.lit(_TRIPLES).alias("kind"), "message"))
+    return e.parts.cogroup(replies.groupBy("chunk")).applyInArrow(scored, _SCORES.format(kind.simpleString()))
