@@ -46,7 +46,7 @@ from lotwise.llm.word_cuts import byte_set, cut, mixed, word_hashes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Weights of the lower order, in counts.
-MU2, MU3 = 40.0, 8.0
+MU2, MU3 = 500.0, 12.0
 #: Text of a chunk, and the training tokens for which there is one shard more.
 CHUNK_BYTES = 4 << 20
 SHARD_TOKENS = 4_000_000
