@@ -6,9 +6,10 @@ name for numerics and ``column=value`` for indicators; NULL categories give no
 indicator (all zeros), and no level is dropped.
 
 The hold-out split marks exactly ``ceil(0.2 n)`` rows of each key as test rows,
-chosen by the order of ``md5(service_id || ':42')``; the rank is the chunked
-running count of ``lotwise.operators.windows`` (chunk = first 3 hex digits of
-the hash), so a hot key is ranked in parallel.
+chosen by the order of ``md5(service_id || ':42')``. It selects instead of ranking:
+counts per (key, hash prefix) tell which prefix holds the last test row, that one prefix is
+put in order to find the row, and every row is then flagged by comparison with it. The
+training set is written once and these passes read the columns they need.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.operators.logistics import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from lotwise.operators.windows import rank_within
+from lotwise.session import materialize
 from lotwise.sources.literals import literal_table
 
 CONST = ""  # the all-ones column (intercept)
@@ -26,6 +27,7 @@ CONST_ID = 0  # 64-bit ids of the two pseudo features
 TARGET_ID = -1
 TEST_FRACTION = 0.2
 SPLIT_SEED = 42
+PREFIX_DIGITS = 3
 MIN_ROWS = 10
 
 
@@ -202,25 +204,48 @@ def split_flags(
     """W3 + A9: add n (rows of the key), n_test = ceil(0.2 n), is_test.
 
     Rows are ordered by (hash, id, ``tie_cols``); rows equal on all of these are
-    interchangeable for every output, so the choice among them does not matter.
+    interchangeable for every output, so the choice among them (by a number fixed when the set is
+    written) does not matter.
     """
-    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{SPLIT_SEED}")))
-    ranked = rank_within(
-        training.withColumn("_h", h),
-        by=[key],
-        order=["_h", id_col, *tie_cols],
-        out="_rk",
-        chunk=F.substring("_h", 1, 3),
-        total="n",
-    )
+    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{SPLIT_SEED}")))
+    base = materialize(training.withColumn("_h", h).withColumn("_row", F.monotonically_increasing_id()), "training")
+    prefix = F.substring("_h", 1, PREFIX_DIGITS)
+    counts = base.groupBy(key, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(key).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = counts.select(
+        key, "_prefix", "c", F.sum("c").over(upto).alias("_upto"), F.sum("c").over(Window.partitionBy(key)).alias("n"))
     n_test = F.ceil(F.col("n").cast("double") * F.lit(TEST_FRACTION)).cast("long")
+    # the prefix in which the count of test rows is reached, and how many of its rows are test rows
+    at = (
+        sized.withColumn("n_test", n_test)
+        .where((F.col("_upto") >= F.col("n_test")) & (F.col("_upto") - F.col("c") < F.col("n_test")))
+        .select(key, "_prefix", "n", "n_test", (F.col("n_test") - (F.col("_upto") - F.col("c"))).alias("_k"))
+    )
+    order = F.struct("_h", id_col, *tie_cols, "_row")
+    last = (
+        base.select(key, prefix.alias("_prefix"), order.alias("_order")).join(at, [key, "_prefix"])
+        .withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_order")))
+        .where("_rank = _k").select(key, "n", "n_test", F.col("_order").alias("_last"))
+    )
     return (
-        ranked.withColumn("n_test", n_test)
-        .withColumn("is_test", F.col("_rk") <= F.col("n_test"))
-        .drop("_h", "_rk")
+        base.join(last, key).withColumn("is_test", order <= F.col("_last"))
+        .select(*training.columns, "n", "n_test", "is_test")
     )
 
 
+def extend_dictionary(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``known`` (ordinal, feature, column_name, value) and after it the features of ``wanted`` that it lacks.
+
+    Ordinals already given never change. The window runs over new features only (bounded by the vocabulary).
+    """
+    new = wanted.join(known.select("feature"), "feature", "left_anti")
+    last = known.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("_last")).withColumn("_one", F.lit(1))
+    number = (F.col("_last") + F.row_number().over(Window.orderBy("ordinal", "feature"))).cast("int")
+    added = new.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").select(
+        number.alias("ordinal"), "feature", "column_name", "value")
+    return known.select("ordinal", "feature", "column_name", "value").unionByName(added)
+
+
 def trainable(counts: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """Keys with at least ``min_rows`` rows (HAVING count >= 10)."""
     return counts.where(F.col("n") >= min_rows)

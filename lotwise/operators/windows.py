@@ -81,25 +81,3 @@ def range_chunks(df: DataFrame, by: list[str], lead: str, id_col: str, rows: int
     spans = spans.select(*group, "_lo", (F.col("_hi") - F.col("_lo") + 1).cast("double").alias("_span"), F.ceil(F.col("_rows") / rows).alias("_buckets"))
     bucket = F.floor((F.col(id_col) - F.col("_lo")) / F.col("_span") * F.col("_buckets"))
     return df.join(spans, group).withColumn("_bucket", bucket).drop("_lo", "_span", "_buckets")
-
-
-def running_max(df: DataFrame, by: list[str], order: list, value: str, out: str, chunk: Column) -> DataFrame:
-    """Add ``out`` = largest ``value`` up to and including this row, in the same two levels."""
-    d = df.withColumn("_chunk", chunk)
-    tops = d.groupBy(*by, "_chunk").agg(F.max(value).alias("_top"))
-    ahead = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*by, "_chunk", F.max("_top").over(ahead).alias("_before"))
-    local = Window.partitionBy(*by, "_chunk").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        d.join(tops, [*by, "_chunk"])
-        .withColumn(out, F.greatest("_before", F.max(value).over(local)))
-        .drop("_chunk", "_before")
-    )
-
-
-def rank_within(
-    df: DataFrame, by: list[str], order: list, out: str, chunk: Column, total: str | None = None
-) -> DataFrame:
-    """1-based row number per key in ``order`` (a running count); ``total`` adds
-    the key's row count."""
-    return running_sum(df, by, order, F.lit(1).cast("long"), out, chunk, inclusive=True, total=total)

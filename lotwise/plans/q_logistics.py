@@ -62,48 +62,60 @@ EXTRA.extend(
                  FROM relevant r JOIN manifest m ON r.product_id = m.product_id)
                WHERE taken_qty > 0""",
         ),
+    ]
+)
+
+
+def flight_ctes(prefix: str, demand: str) -> list[tuple[str, str]]:
+    """Lines, queues and takes of the flights whose ``demand`` is (flight_id, product_id, base_qty)."""
+    p = prefix
+    return [
         (
-            "flight_lines",
-            """SELECT flight_id, product_id, product_name, dep_ts, base_qty,
-                      CAST(ceil(CAST(base_qty AS DOUBLE) * CAST(0.05 AS DOUBLE)) AS BIGINT) AS buffer_qty,
-                      base_qty + CAST(ceil(CAST(base_qty AS DOUBLE) * CAST(0.05 AS DOUBLE)) AS BIGINT) AS final_qty
-               FROM (SELECT s.flight_id, p.product_id, p.name AS product_name, f.dep_ts,
-                            CAST(SUM(s.loaded_qty) AS BIGINT) AS base_qty
-                     FROM lot_services s JOIN lots l ON s.lot_id = l.lot_id
-                                         JOIN products p ON l.product_id = p.product_id
-                                         JOIN flights f ON s.flight_id = f.flight_id
-                     WHERE s.consumed_qty IS NULL GROUP BY ALL)""",
+            f"{p}flight_lines",
+            f"""SELECT d.flight_id, d.product_id, p.name AS product_name, f.dep_ts, d.base_qty,
+                      CAST(ceil(CAST(d.base_qty AS DOUBLE) * CAST(0.05 AS DOUBLE)) AS BIGINT) AS buffer_qty,
+                      d.base_qty + CAST(ceil(CAST(d.base_qty AS DOUBLE) * CAST(0.05 AS DOUBLE)) AS BIGINT) AS final_qty
+               FROM ({demand}) d JOIN products p ON d.product_id = p.product_id JOIN flights f ON d.flight_id = f.flight_id""",
         ),
         (
-            "lot_queue",
-            """SELECT *, s1 - current_qty AS s0 FROM (
+            f"{p}lot_queue",
+            f"""SELECT *, s1 - current_qty AS s0 FROM (
                  SELECT product_id, lot_id, lot_number, expiry_date, status, current_qty,
                         SUM(current_qty) OVER (PARTITION BY product_id ORDER BY expiry_date, lot_id) AS s1
-                 FROM loadable WHERE product_id IN (SELECT product_id FROM flight_lines))""",
+                 FROM loadable WHERE product_id IN (SELECT product_id FROM {p}flight_lines))""",
         ),
         (
-            "line_lead",
-            """SELECT fl.*, COALESCE(SUM(final_qty) OVER (PARTITION BY product_id ORDER BY dep_ts, flight_id
+            f"{p}line_lead",
+            f"""SELECT fl.*, COALESCE(SUM(final_qty) OVER (PARTITION BY product_id ORDER BY dep_ts, flight_id
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d,
-                      COALESCE((SELECT SUM(current_qty) FROM lot_queue q WHERE q.product_id = fl.product_id
+                      COALESCE((SELECT SUM(current_qty) FROM {p}lot_queue q WHERE q.product_id = fl.product_id
                                 AND q.expiry_date <= CAST(fl.dep_ts AS DATE)), 0) AS x,
-                      COALESCE((SELECT SUM(current_qty) FROM lot_queue q WHERE q.product_id = fl.product_id), 0) AS stock_all
-               FROM flight_lines fl""",
+                      COALESCE((SELECT SUM(current_qty) FROM {p}lot_queue q WHERE q.product_id = fl.product_id), 0) AS stock_all
+               FROM {p}flight_lines fl""",
         ),
         (
-            "line_queue",
-            """SELECT *, LEAST(st, stock_all) AS d0, LEAST(st + final_qty, stock_all) AS d1 FROM (
+            f"{p}line_queue",
+            f"""SELECT *, LEAST(st, stock_all) AS d0, LEAST(st + final_qty, stock_all) AS d1 FROM (
                  SELECT *, d + GREATEST(0, MAX(x - d) OVER (PARTITION BY product_id ORDER BY dep_ts, flight_id)) AS st
-                 FROM line_lead)""",
+                 FROM {p}line_lead)""",
         ),
         (
-            "flight_takes",
-            """SELECT l.flight_id, l.product_id, q.lot_id, q.lot_number, q.expiry_date, q.status,
+            f"{p}flight_takes",
+            f"""SELECT l.flight_id, l.product_id, q.lot_id, q.lot_number, q.expiry_date, q.status,
                       CAST(LEAST(q.s1, l.d1) - GREATEST(q.s0, l.d0) AS BIGINT) AS taken_qty
-               FROM line_queue l JOIN lot_queue q ON l.product_id = q.product_id AND q.s0 < l.d1 AND l.d0 < q.s1""",
+               FROM {p}line_queue l JOIN {p}lot_queue q ON l.product_id = q.product_id AND q.s0 < l.d1 AND l.d0 < q.s1""",
         ),
     ]
-)
+
+
+def shortfall_sql(prefix: str) -> str:
+    return f"""SELECT flight_id, product_id, final_qty AS need_qty, CAST(d1 - d0 AS BIGINT) AS taken_qty,
+              CAST(final_qty - (d1 - d0) AS BIGINT) AS shortfall_qty
+       FROM {prefix}line_queue WHERE final_qty > d1 - d0"""
+
+
+EXTRA.extend(flight_ctes("", """SELECT s.flight_id, l.product_id, CAST(SUM(s.loaded_qty) AS BIGINT) AS base_qty
+               FROM lot_services s JOIN lots l ON s.lot_id = l.lot_id WHERE s.consumed_qty IS NULL GROUP BY ALL"""))
 
 
 def _t(spark, sf):
@@ -196,13 +208,7 @@ def flight_manifest_allocation(spark, sf):
     return sc.allocate_flights(_flight_lines(spark, sf), _stock(spark, sf))
 
 
-@query(
-    "flight_manifest_shortfall",
-    """SELECT flight_id, product_id, final_qty AS need_qty, CAST(d1 - d0 AS BIGINT) AS taken_qty,
-              CAST(final_qty - (d1 - d0) AS BIGINT) AS shortfall_qty
-       FROM line_queue WHERE final_qty > d1 - d0""",
-    ids="B6 W2",
-)
+@query("flight_manifest_shortfall", shortfall_sql(""), ids="B6 W2")
 def flight_manifest_shortfall(spark, sf):
     return sc.flight_shortfall(_flight_lines(spark, sf), _stock(spark, sf))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lotwise.operators import allocate as al
@@ -9,11 +11,15 @@ from lotwise.operators import features as fe
 from lotwise.operators import forecast as fc
 from lotwise.operators import logistics as lg
 from lotwise.operators import regression as rg
+from lotwise.operators import schedule as sc
 from lotwise.plans.oracle import EXTRA
 from lotwise.plans.q_inventory import _inventory
+from lotwise.plans.q_logistics import _stock, flight_ctes, shortfall_sql
 from lotwise.plans.registry import query
+from lotwise.session import checkpoint_dir, materialize
 from lotwise.sources.driver_tables import tables_for
 from lotwise.sources.literals import literal_table
+from lotwise.sources.models import load_models, save_models
 from lotwise.sources.schemas import DOMAINS
 
 _CATS = lg.CATEGORICAL_FEATURES
@@ -96,6 +102,42 @@ EXTRA.extend(
 )
 
 
+_FREE = [c for c in _CATS if c not in fe.KEY_CONSTANT]
+
+
+def _score_sql(rows: str, shown: str) -> str:
+    """Lines scored by the mean of the one-way means of their product's training rows."""
+    joins = "\n".join(
+        f"LEFT JOIN level_means l{i} ON r.product_id = l{i}.product_id AND l{i}.column_name = '{c}' AND r.{c} = l{i}.value"
+        for i, c in enumerate(_FREE))
+    raw = " + ".join(["b.m", *[f"COALESCE(l{i}.coef, 0.0)" for i in range(len(_FREE))]])
+    return f"SELECT {shown}, r.product_id, {raw} AS raw FROM {rows} r JOIN product_means b ON r.product_id = b.product_id\n{joins}"
+
+
+EXTRA.extend(
+    [
+        (
+            "product_means",
+            "SELECT product_id, CAST(SUM(consumed_qty) AS DOUBLE) / COUNT(*) AS m FROM train_rows GROUP BY product_id",
+        ),
+        (
+            "level_means",
+            "\nUNION ALL ".join(
+                f"""SELECT t.product_id, '{c}' AS column_name, t.{c} AS value,
+                           (CAST(SUM(t.consumed_qty) AS DOUBLE) / COUNT(*) - ANY_VALUE(b.m)) / CAST({len(_FREE)} AS DOUBLE) AS coef
+                    FROM train_rows t JOIN product_means b ON t.product_id = b.product_id
+                    WHERE t.{c} IS NOT NULL GROUP BY t.product_id, t.{c}"""
+                for c in _FREE),
+        ),
+        ("request_scores", _score_sql("open_requests", "r.service_id, r.flight_id")),
+        ("test_scores", _score_sql("(SELECT * FROM split WHERE n >= 10 AND rk <= n_test)", "CAST(r.consumed_qty AS DOUBLE) AS y")),
+        *flight_ctes(
+            "forecast_",
+            "SELECT DISTINCT flight_id, product_id, CAST(GREATEST(0, trunc(round(raw, 9))) AS BIGINT) AS base_qty FROM request_scores"),
+    ]
+)
+
+
 def _t(spark, sf):
     return tables_for(spark, sf)
 
@@ -118,14 +160,48 @@ def _split(spark, sf):
     return fe.split_flags(_training(spark, sf), key="product_id")
 
 
+def _sides(spark, sf):
+    """Training and test rows of the trainable products, from one written training set."""
+    rows = _split(spark, sf).where(F.col("n") >= fe.MIN_ROWS)
+    train = rows.where(~F.col("is_test")).withColumn("n_train", F.col("n") - F.col("n_test"))
+    return train, rows.where("is_test")
+
+
 def _train_rows(spark, sf):
-    return _split(spark, sf).where((F.col("n") >= fe.MIN_ROWS) & ~F.col("is_test"))
+    return _sides(spark, sf)[0]
 
 
-def _coefs(spark, sf):
+def _fit(train):
     # Models are keyed by product: its attributes are constant per key and left out.
-    rows = _train_rows(spark, sf).withColumn("n_train", F.col("n") - F.col("n_test"))
-    return rg.fit_models(rows, "n_train", exclude=fe.KEY_CONSTANT)
+    return rg.fit_models(train, "n_train", exclude=fe.KEY_CONSTANT)
+
+
+def _coefs(spark, sf):
+    return _fit(_train_rows(spark, sf))
+
+
+_TRAINED: dict[tuple[str, str, str], str] = {}
+
+
+def _saved(spark, sf, kind):
+    """The saved model of these tables: trained and published once a session, then loaded by schema.
+
+    ``kind`` is ``ols`` or ``means`` (``regression.fit_level_means``).
+    """
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _TRAINED:
+        train, test = _sides(spark, sf)
+        names = _names(spark, sf)
+        coefs = _fit(train) if kind == "ols" else rg.fit_level_means(train, exclude=fe.KEY_CONSTANT)
+        coefs = materialize(rg.name_coefficients(coefs, names), "coefficients")
+        path = f"{checkpoint_dir(spark)}/models-{kind}-{uuid.uuid4().hex}"
+        save_models(path, coefs, fe.feature_vocabulary(_training(spark, sf)), rg.r2_by_key(_scored(test, coefs)))
+        _TRAINED[key] = path
+    return load_models(spark, _TRAINED[key])
+
+
+def _scored(test, coefs):
+    return rg.predict(test, coefs, ["service_id", "consumed_qty"]).withColumnRenamed("consumed_qty", "y")
 
 
 def _names(spark, sf):
@@ -208,17 +284,19 @@ def product_models(spark, sf):
     return rg.name_coefficients(_coefs(spark, sf), _names(spark, sf))
 
 
-@query(
-    "model_normal_equations",
-    f"""SELECT DISTINCT product_id, feature, CAST(0.0 AS DOUBLE) AS gradient
-        FROM ({_sparse_sql('train_rows', True, None)})""",
-    ids="M3 M5",
-)
+NORMAL_EQUATIONS = f"""SELECT DISTINCT product_id, feature, CAST(0.0 AS DOUBLE) AS gradient
+        FROM ({_sparse_sql('train_rows', True, None)})"""
+
+
+@query("model_normal_equations", NORMAL_EQUATIONS, ids="M3 M5")
 def model_normal_equations(spark, sf):
     """Sum of x * (y - prediction) per product and feature over the training rows, relative to the
     sizes of x and y: 0 for every feature if and only if the model is a least-squares solution."""
-    rows = _train_rows(spark, sf).withColumn("n_train", F.col("n") - F.col("n_test"))
-    coefs = rg.fit_models(rows, "n_train", exclude=fe.KEY_CONSTANT)
+    rows = _train_rows(spark, sf)
+    return _gradients(rows, _fit(rows), _names(spark, sf))
+
+
+def _gradients(rows, coefs, names):
     x = F.explode(F.filter(F.array(*fe.id_items(with_const=True)), lambda i: i.isNotNull())).alias("i")
     scored = rg.predict(rows, coefs, ["consumed_qty", *_NUMS, *_CATS])
     y = F.col("consumed_qty").cast("double")
@@ -228,10 +306,18 @@ def model_normal_equations(spark, sf):
         .agg(F.sum(F.col("i.x") * F.col("e")).alias("g"), F.sum(F.pow("i.x", F.lit(2))).alias("xx"), F.sum(F.pow("y", F.lit(2))).alias("yy"))
     )
     gradient = F.round(F.col("g") / F.sqrt(F.col("xx") * F.col("yy") + 1), 6) + F.lit(0.0)
-    return sums.join(_names(spark, sf), "fid").select(F.col("key").alias("product_id"), "feature", gradient.alias("gradient"))
+    return sums.join(names, "fid").select(F.col("key").alias("product_id"), "feature", gradient.alias("gradient"))
 
 
-_FREE = [c for c in _CATS if c not in fe.KEY_CONSTANT]
+@query("retrained_normal_equations", NORMAL_EQUATIONS, ids="M3")
+def retrained_normal_equations(spark, sf):
+    """The same, for models of a moment store that was filled in two runs: a first part of the training lines,
+    then the rest, whose run reads no line of the first."""
+    rows = _train_rows(spark, sf)
+    path = f"{checkpoint_dir(spark)}/moments-{uuid.uuid4().hex}"
+    first = F.pmod(F.xxhash64("service_id"), F.lit(3)) == 0
+    rg.retrain(path, rows.where(first), exclude=fe.KEY_CONSTANT)
+    return _gradients(rows, rg.retrain(path, rows.where(~first), exclude=fe.KEY_CONSTANT), _names(spark, sf))
 
 
 @query(
@@ -249,7 +335,7 @@ def model_level_sums(spark, sf):
     rows = _train_rows(spark, sf)
     full = rows.groupBy("product_id").agg(*[(F.count(c) == F.count(F.lit(1))).alias(c) for c in _FREE])
     full = full.select("product_id", F.explode(F.array(*[F.when(F.col(c), F.lit(c)) for c in _FREE])).alias("column_name"))
-    named = rg.name_coefficients(_coefs(spark, sf), _names(spark, sf)).where("fid <> 0")
+    named = rg.name_coefficients(_fit(rows), _names(spark, sf)).where("fid <> 0")
     named = named.select(F.col("key").alias("product_id"), F.substring_index("feature", "=", 1).alias("column_name"), "coef")
     sums = named.groupBy("product_id", "column_name").agg(
         (F.round(F.sum("coef") / (1 + F.max(F.abs("coef"))), 6) + F.lit(0.0)).alias("level_sum"))
@@ -258,11 +344,23 @@ def model_level_sums(spark, sf):
 
 @query("product_model_r2", None, ids="M4")
 def product_model_r2(spark, sf):
-    test = _split(spark, sf).where((F.col("n") >= fe.MIN_ROWS) & F.col("is_test"))
-    pred = rg.predict(
-        test.withColumn("flight_id", F.lit(0)), _coefs(spark, sf), ["service_id", "consumed_qty"]
-    )
-    return rg.r2_by_key(pred.withColumnRenamed("consumed_qty", "y")).withColumnRenamed("key", "product_id")
+    train, test = _sides(spark, sf)
+    return rg.r2_by_key(_scored(test, _fit(train))).withColumnRenamed("key", "product_id")
+
+
+@query(
+    "level_mean_r2",
+    """SELECT product_id, COUNT(*) AS n_test,
+              round(CASE WHEN min(y) = max(y) THEN CASE WHEN sum((y - raw) * (y - raw)) <= count(*) * pow(1e-9 * greatest(1.0, abs(max(y))), 2)
+                                                   THEN 1.0 ELSE 0.0 END
+                         ELSE 1.0 - sum((y - raw) * (y - raw)) / (var_pop(y) * count(*)) END, 6) AS r2
+       FROM test_scores GROUP BY product_id""",
+    ids="M4",
+)
+def level_mean_r2(spark, sf):
+    """R² on the held-out lines, read from a saved model: the metrics table of its version."""
+    metrics = _saved(spark, sf, "means")["model_metrics"]
+    return metrics.select(F.col("key").alias("product_id"), "n_test", F.round("r2", 6).alias("r2"))
 
 
 @query(
@@ -272,23 +370,68 @@ def product_model_r2(spark, sf):
     ids="P15",
 )
 def score_features_aligned(spark, sf):
-    vocab = fe.feature_vocabulary(_training(spark, sf))
-    return fc.aligned_features(_requests(spark, sf), vocab, ["service_id"])
+    """Request features at the ordinals of the saved model's feature list; unknown ones are left out."""
+    return fc.aligned_features(_requests(spark, sf), _saved(spark, sf, "means")["feature_list"], ["service_id"])
+
+
+@query(
+    "saved_model_scores",
+    "SELECT service_id, flight_id, product_id, round(raw, 6) AS raw_pred FROM request_scores",
+    ids="S7 S8 P15 M5",
+)
+def saved_model_scores(spark, sf):
+    """Every planned line scored by a model that was trained, published, and loaded by schema."""
+    coefs = fc.listed(_saved(spark, sf, "means"))
+    scored = rg.predict(_requests(spark, sf), coefs, ["service_id", "flight_id"])
+    return scored.select("service_id", "flight_id", F.col("key").alias("product_id"), F.round("raw_pred", 6).alias("raw_pred"))
 
 
 @query("forecast_demand", None, ids="M5 J8 F12 P11 J7")
 def forecast_demand(spark, sf):
-    return fc.forecast_demand(_requests(spark, sf), _coefs(spark, sf))
+    return fc.forecast_demand(_requests(spark, sf), fc.listed(_saved(spark, sf, "ols")))
 
 
 @query("forecast_manifest", None, ids="B6")
 def forecast_manifest(spark, sf):
     t = _t(spark, sf)
-    demand = fc.demand_per_product(fc.forecast_demand(_requests(spark, sf), _coefs(spark, sf)), t.products)
-    lines = al.manifest_lines(demand, ordered=False)
+    forecast = fc.forecast_demand(_requests(spark, sf), fc.listed(_saved(spark, sf, "ols")))
+    lines = al.manifest_lines(fc.demand_per_product(forecast, t.products), ordered=False)
     return al.lines_with_assignments(lines, al.fefo_allocate(lines, _inventory(spark, sf)))
 
 
+def forecast_lines(spark, sf, kind):
+    """What a saved model expects on each flight, with the 5 % buffer."""
+    t = _t(spark, sf)
+    demand = fc.flight_demand(_requests(spark, sf), fc.listed(_saved(spark, sf, kind)))
+    return sc.departing_lines(demand, t.products, t.flights)
+
+
+@query(
+    "forecast_flight_lines",
+    "SELECT flight_id, product_id, product_name, base_qty, buffer_qty, final_qty FROM forecast_flight_lines",
+    ids="B5 B6 M5",
+)
+def forecast_flight_lines(spark, sf):
+    return forecast_lines(spark, sf, "means").drop("dep_ts")
+
+
+@query("forecast_flight_allocation", "SELECT * FROM forecast_flight_takes", ids="B6 W1")
+def forecast_flight_allocation(spark, sf):
+    return sc.allocate_flights(forecast_lines(spark, sf, "means"), _stock(spark, sf))
+
+
+@query("forecast_flight_shortfall", shortfall_sql("forecast_"), ids="B6 W2")
+def forecast_flight_shortfall(spark, sf):
+    return sc.flight_shortfall(forecast_lines(spark, sf, "means"), _stock(spark, sf))
+
+
+@query("forecast_flight_manifest", None, ids="B6 W1 W2")
+def forecast_flight_manifest(spark, sf):
+    """The lots of every flight's predicted load under the least-squares models; a line without lots has NULLs."""
+    lines = forecast_lines(spark, sf, "ols")
+    return lines.join(sc.allocate_flights(lines, _stock(spark, sf)), ["flight_id", "product_id"], "left")
+
+
 @query(
     "scenario_check",
     """SELECT scenario_id, failed_checks FROM (
