@@ -30,6 +30,8 @@ is 1 and all scores are 0. An empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 
@@ -81,6 +83,19 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Non-negative numbers in four bytes each where they fit."""
+    return a.astype(np.uint32) if not len(a) or a.max() < 1 << 32 else a
+
+
+def _tidy(out):
+    """``out``, when the memory freed so far has gone back to the system: the next group starts small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+    return out
+
+
 def _word_parts(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and bytes of binary words."""
     words = pa.concat_arrays([words.cast(pa.large_binary())])
@@ -229,18 +244,21 @@ class Triples:
         size = self.lens + 4  # begin, begin, words, end, after
         end = np.cumsum(size)
         start = end - size
-        seq = np.empty(int(size.sum()), dtype=np.int64)
+        seq = np.empty(int(size.sum()), dtype=np.int32)  # fewer words than bytes of a chunk
         seq[start] = seq[start + 1] = n
         seq[end - 2], seq[end - 1] = n + 1, n + 2
-        doc = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(seq)) - start[doc]
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        place = (np.arange(len(seq)) - start[doc]).astype(np.int32)
         seq[(place > 1) & (place < size[doc] - 2)] = tokens
         g, rank = np.unique(self.ids, return_inverse=True)
         ranked, width = rank[seq], len(g)
-        first = np.flatnonzero(place < size[doc] - 2)
+        first = np.flatnonzero(place < size[doc] - 2).astype(np.int32)
         self.doc, self.seq, self.first = doc[first], seq, first
-        pairs, self.pair_at = np.unique(ranked[first] * width + ranked[first + 1], return_inverse=True)
-        triples, self.at = np.unique(self.pair_at * width + ranked[first + 2], return_inverse=True)
+        del doc, place
+        pairs, at = np.unique(ranked[first] * width + ranked[first + 1], return_inverse=True)
+        triples, self.at = np.unique(at * width + ranked[first + 2], return_inverse=True)
+        del ranked
+        self.pair_at, self.at = at.astype(np.int32), self.at.astype(np.int32)
         pair = triples // width
         u, v, w = g[pairs // width], g[pairs % width], g[triples % width]
         context = np.zeros(width, dtype=np.int64)
@@ -312,7 +330,8 @@ def _ask_triples(shards: int, train_docs: int):
         t = _chunk_triples(left, _by_shard(right, _WORDS), shards, train_docs)
         chunk = left.column("chunk")[0].as_py()
         rows = [(s, chunk, pack_triples(t.u[p], t.v[p], t.context[p], t.size3[p], t.w[q], t.train[q])) for s, p, q in t.segments()]
-        return pa.Table.from_batches([_messages(rows)])
+        del t
+        return _tidy(pa.Table.from_batches([_messages(rows)]))
 
     return run
 
@@ -323,20 +342,21 @@ def _summed(parts: list[tuple]) -> tuple:
     order = np.lexsort((w, v, u))
     u, v, w, c, total = u[order], v[order], w[order], c[order], total[order]
     starts = np.flatnonzero(_runs(u, v, w))
-    return u[starts], v[starts], w[starts], np.add.reduceat(c, starts) if len(u) else c, total[starts]
+    return u[starts], v[starts], w[starts], np.add.reduceat(c, starts, dtype=np.int64) if len(u) else c, total[starts]
 
 
 def shard_trie(messages: list[bytes]) -> Trie:
     """The trie of a shard from the messages of all chunks (lists are merged whenever they have doubled)."""
-    held, waiting, size = (np.zeros(0, dtype=np.int64),) * 5, [], 0
+    held, waiting, size = (np.zeros(0, dtype=np.uint32),) * 5, [], 0
     for blob in messages:
         u, v, context, size3, w, train = unpack_triples(blob)
         live = train > 0
-        waiting.append(tuple(x[live] for x in (np.repeat(u, size3), np.repeat(v, size3), w, train, np.repeat(context, size3))))
+        columns = (np.repeat(_narrow(u), size3), np.repeat(_narrow(v), size3), _narrow(w), _narrow(train), np.repeat(_narrow(context), size3))
+        waiting.append(tuple(x[live] for x in columns))
         size += int(live.sum())
-        if size > max(1 << 20, len(held[0])):
-            held, waiting, size = _summed([held, *waiting]), [], 0
-    return Trie.build(*_summed([held, *waiting]), MU2, MU3)
+        if size > max(1 << 18, len(held[0])):
+            held, waiting, size = tuple(map(_narrow, _summed([held, *waiting]))), [], 0
+    return Trie.build(*(x.astype(np.int64) for x in _summed([held, *waiting])), MU2, MU3)
 
 
 def _answer_triples(table: pa.Table) -> pa.Table:
@@ -351,7 +371,8 @@ def _answer_triples(table: pa.Table) -> pa.Table:
             count2 = np.rint(decode_probability(prob2) * (context + MU2))
             count3 = np.rint(decode_probability(prob3) * (np.repeat(count2, size3) + MU3))
             replies.append(pack(count2.astype(np.int64), count3.astype(np.int64)))
-    return pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "message": pa.array(replies, pa.binary())})
+        del trie
+    return _tidy(pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "message": pa.array(replies, pa.binary())}))
 
 
 def _levels(table: pa.Table) -> pa.Table:
@@ -383,14 +404,15 @@ def _score(shards: int, train_docs: int, train_tokens: int, types: int, ids_type
         p1 = (count + 0.5) / (train_tokens + 0.5 * (types + 1))
         p2 = prob2[t.pair_at[here + 1]] + MU2 / (t.counts[t.seq[at + 1]] + MU2) * p1
         p3 = prob3[t.at[here]] + back2[t.pair_at[here]] * p2
-        n = len(t.lens)
+        n, lens = len(t.lens), t.lens + 1
+        del t
         ids = left.column("ids").combine_chunks().flatten()
-        return pa.table({
-            "doc_id": ids.cast(ids_type), "held_out": pa.array(held), "n_tokens": pa.array(t.lens + 1),
+        return _tidy(pa.table({
+            "doc_id": ids.cast(ids_type), "held_out": pa.array(held), "n_tokens": pa.array(lens),
             "n_known": pa.array(np.bincount(doc[count > 0], minlength=n)),
             "train_tokens": pa.array(np.full(n, train_tokens, dtype=np.int64)),
             "base_score": pa.array(np.bincount(doc, weights=np.log10(p1), minlength=n)),
-            "score": pa.array(np.bincount(doc, weights=np.log10(p3), minlength=n))})
+            "score": pa.array(np.bincount(doc, weights=np.log10(p3), minlength=n))}))
 
     return run
 
@@ -408,7 +430,7 @@ class _Encoded:
         parts = chunks(docs, fold)
         totals = parts.agg(F.sum("tokens").alias("t"), F.sum("train_docs").alias("d")).first()
         self.train_docs = int(totals.d or 0)
-        self.shards = shards = max(2 * shuffle_partitions(spark), -(-int(totals.t or 0) // SHARD_TOKENS))
+        self.shards = shards = max(4 * shuffle_partitions(spark), -(-int(totals.t or 0) // SHARD_TOKENS))
         asked = parts.select("chunk", "blob").mapInArrow(_ask_words(shards), _MESSAGE)
         replies = staged(asked.groupBy("shard").applyInArrow(_answer_words(shards), _WORD_REPLY), "lm_words")
         found = replies.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
@@ -417,7 +439,8 @@ class _Encoded:
         self.types = int(found.v or 0) + (self.train_docs > 0)
         self.parts = parts.select("chunk", "ids", "held", "blob").groupBy("chunk")
         self.words = replies.select("chunk", "shard", F.lit(_WORDS).alias("kind"), "message")
-        self.asked = self.parts.cogroup(self.words.groupBy("chunk")).applyInArrow(_ask_triples(shards, self.train_docs), _MESSAGE)
+        self.asked = self.parts.cogroup(self.words.groupBy("chunk")).applyInArrow(
+            _ask_triples(shards, self.train_docs), _MESSAGE)
 
 
 def model_levels(docs: DataFrame, fold=None) -> DataFrame:
