@@ -1,0 +1,131 @@
+"""Versioned tables and models: whole versions only, stable feature numbers, scoring from what was saved."""
+
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from lotwise.operators import features as fe
+from lotwise.operators import forecast as fc
+from lotwise.operators import regression as rg
+from lotwise.sources import versions as V
+from lotwise.sources.models import SCHEMAS, load_models, save_models
+from lotwise.operators.logistics import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+
+
+def _path():
+    return tempfile.mkdtemp(prefix="lotwise-versions-")
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_replace_keeps_the_old_version_readable(spark):
+    path = _path()
+    first = V.replace_table(spark.createDataFrame([(1, "a")], "id int, t string"), path)
+    old = V.read_replaced(spark, path, "id int, t string")
+    V.replace_table(spark.createDataFrame([(2, "b"), (3, "c")], "id int, t string"), path)
+    assert _rows(V.read_replaced(spark, path, "id int, t string")) == [(2, "b"), (3, "c")]
+    assert _rows(old) == [(1, "a")]  # a reader that began before is not disturbed
+    assert _rows(V.read_replaced(spark, path, "id int, t string", first)) == [(1, "a")]
+    assert [v.seq for v in V.versions(spark, path)] == [2, 1]
+
+
+def test_a_failed_write_leaves_the_old_table_whole(spark):
+    path = _path()
+    V.replace_table(spark.range(10).toDF("id"), path)
+    broken = spark.range(1000, numPartitions=4).select(
+        F.when(F.col("id") == 999, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        V.replace_table(broken, path)
+    assert V.read_replaced(spark, path, "id long").count() == 10
+    with pytest.raises(Exception, match="no"):
+        V.publish(path, replace={"data": spark.range(3).toDF("id"), "other": broken})
+    assert V.read_replaced(spark, path, "id long").count() == 10
+    assert len(V.versions(spark, path)) == 1
+
+
+def test_append_and_expire(spark):
+    path = _path()
+    for k in range(3):
+        V.publish(path, append={"t": spark.createDataFrame([(k,)], "k int")}, replace={"last": spark.createDataFrame([(k,)], "k int")})
+    assert _rows(V.read_version(spark, path, "t", "k int")) == [(0,), (1,), (2,)]
+    removed = V.expire(spark, path, keep=1)
+    assert len(removed) == 2 and all(p.endswith("/last") for p in removed)  # appended parts are still in use
+    assert _rows(V.read_version(spark, path, "t", "k int")) == [(0,), (1,), (2,)]
+    assert _rows(V.read_version(spark, path, "last", "k int")) == [(2,)]
+
+
+def test_missing_tables(spark):
+    with pytest.raises(FileNotFoundError, match="data"):
+        V.read_replaced(spark, "/nonexistent/lotwise-table", "id long")
+    path = _path()
+    V.publish(path, replace={"a": spark.range(1)})
+    with pytest.raises(FileNotFoundError, match="'b'"):
+        V.read_version(spark, path, "b", "id long")
+
+
+def _vocabulary(spark, features):
+    return spark.createDataFrame(
+        [(i + 1, f, f.split("=")[0], f.split("=")[1]) for i, f in enumerate(features)],
+        "ordinal int, feature string, column_name string, value string")
+
+
+def test_ordinals_never_change(spark):
+    old = _vocabulary(spark, ["a=1", "a=2", "b=1"])
+    new = fe.extend_dictionary(old, _vocabulary(spark, ["a=0", "a=2", "b=0"]))
+    assert {r.feature: r.ordinal for r in new.collect()} == {"a=1": 1, "a=2": 2, "b=1": 3, "a=0": 4, "b=0": 5}
+    assert fe.extend_dictionary(old, old).count() == 3
+    assert [r.ordinal for r in fe.extend_dictionary(old.limit(0), old).orderBy("ordinal").collect()] == [1, 2, 3]
+
+
+def _training(spark, rows):
+    """(product, airline, target) as training rows; all other features are constant."""
+    full = []
+    for k, (product, airline, y) in enumerate(rows):
+        nums = {"passengers": 100 + k % 7, "distance_km": 1000 + 13 * (k % 5), "max_capacity": 300}
+        cats = {c: "x" for c in CATEGORICAL_FEATURES} | {"airline": airline}
+        full.append((product, k, *[nums[c] for c in NUMERIC_FEATURES], *[cats[c] for c in CATEGORICAL_FEATURES], y))
+    schema = "product_id long, service_id long, " + ", ".join(f"{c} int" for c in NUMERIC_FEATURES)
+    schema += ", " + ", ".join(f"{c} string" for c in CATEGORICAL_FEATURES) + ", consumed_qty int"
+    return spark.createDataFrame(full, schema)
+
+
+def _save(spark, path, train):
+    coefs = rg.fit_level_means(train, exclude=fe.KEY_CONSTANT)
+    vocabulary = fe.feature_vocabulary(train)
+    return save_models(path, rg.name_coefficients(coefs, fe.id_names(vocabulary)), vocabulary)
+
+
+def test_train_save_load_score(spark):
+    """Unseen levels add 0; a model keeps its own list; a reader gets one version or the other, never both."""
+    path = _path()
+    first = _save(spark, path, _training(spark, [(1, "A", 4), (1, "B", 8), (2, "A", 10)]))
+    models = load_models(spark, path)
+    assert {t: df.schema.simpleString() for t, df in models.items()} == {
+        t: "struct<" + s.replace(", ", ",").replace(" ", ":").replace("long", "bigint") + ">" for t, s in SCHEMAS.items() if t in models}
+    requests = _training(spark, [(1, "A", 0), (1, "B", 0), (1, "never seen", 0), (2, "B", 0), (9, "A", 0)])
+    k = len(CATEGORICAL_FEATURES) - len(fe.KEY_CONSTANT)
+
+    def scores(models):
+        found = rg.predict(requests, fc.listed(models), ["service_id"])
+        return {r.service_id: round(r.raw_pred, 9) for r in found.collect()}
+
+    want = {0: round(6 - 2 / k, 9), 1: round(6 + 2 / k, 9), 2: 6.0, 3: 10.0}
+    assert scores(models) == want
+    _save(spark, path, _training(spark, [(1, "C", 100), (1, "A", 100), (9, "A", 7)]))
+    assert scores(models) == want  # tables loaded before the second run still are the first version
+    assert scores(load_models(spark, path, first)) == want
+    assert scores(load_models(spark, path)) == {0: 100.0, 1: 100.0, 2: 100.0, 4: 7.0}
+    before = {r.feature: r.ordinal for r in models["feature_list"].collect()}
+    after = {r.feature: r.ordinal for r in load_models(spark, path)["feature_list"].collect()}
+    assert before.items() <= after.items() and after["airline=C"] == max(after.values())
+    aligned = fc.aligned_features(requests, models["feature_list"], ["service_id"])
+    assert not aligned.where("ordinal > %d" % max(before.values())).count()
+
+
+def test_a_coefficient_outside_the_list_counts_nothing(spark):
+    coefs = spark.createDataFrame([(1, "", 0, 5.0, 9, 1), (1, "airline=A", 7, 2.0, 9, 1)], SCHEMAS["model_coefficients"])
+    empty = spark.createDataFrame([], SCHEMAS["feature_list"])
+    assert [r.fid for r in fc.listed({"model_coefficients": coefs, "feature_list": empty}).collect()] == [0]
