@@ -55,3 +55,15 @@ def product_consumption(
         daily.alias("avg_daily"),
         (daily * F.lit(7.0)).alias("avg_weekly"),
     )
+
+
+def lot_activity(lot_services: DataFrame, flights: DataFrame, as_of, window_days: int = DEFAULT_WINDOW_DAYS) -> DataFrame:
+    """A1 + A2 in one pass over the fact: per lot, all consumption (``consumed_total``) and that of the window (``recent``).
+
+    A flight of the window is known once, so that repeated flights do not count lines twice.
+    """
+    within = window_flights(flights, as_of, window_days).distinct().withColumn("_in", F.lit(True))
+    lines = lot_services.select("flight_id", "lot_id", F.coalesce("consumed_qty", F.lit(0)).alias("q")).join(within, "flight_id", "left")
+    return lines.groupBy("lot_id").agg(
+        F.sum("q").cast("long").alias("consumed_total"),
+        F.sum(F.when(F.col("_in"), F.col("q")).otherwise(0)).cast("long").alias("recent"))

@@ -2,14 +2,14 @@
 
 Spark does not enforce keys, so each declared constraint becomes a batch check:
 
-* Q1 primary / unique keys   -> GROUP BY key HAVING count > 1
-* Q2 composite unique key    -> same on (flight_id, lot_id)
-* Q3 foreign keys            -> child LEFT ANTI JOIN parent
+* Q1 primary / unique keys   -> counts of key hashes, then only rows whose hash repeats by their full keys
+* Q2 composite unique key    -> GROUP BY (flight_id, lot_id) HAVING count > 1
+* Q3 foreign keys            -> one aggregation over the keys that children use and parents have
 * Q4 closed domains (ENUM)   -> NOT isin(...)
 * Q5 not-null and max length -> count_if in one aggregate per table
 * Q6 rule conformance        -> stored calendar columns versus the rules
 
-All checks are aggregations or anti joins, one pass per table.
+All checks are aggregations: Q1 reads a table twice, the others once.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions import calendar as cal
+from lotwise.sources.literals import literal_table
 from lotwise.sources.schemas import CATALOG, DOMAINS, MAX_LENGTHS
 
 PRIMARY_KEYS = {
@@ -49,20 +50,50 @@ def _union(dfs):
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
-def duplicate_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    """Q1: key values that occur more than once, per (table, key)."""
-    out = []
-    for t, keys in PRIMARY_KEYS.items():
-        for cols in keys:
+def _present(cols: list[str]):
+    """A key with a null is no key value."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+
+
+def repeated_hashes(tables: dict[str, DataFrame], keys=None) -> DataFrame:
+    """(check, h): 64-bit hashes that occur more than once among the values of a key.
+
+    All keys of all tables in one aggregation over a number and a hash; a key column itself, whatever its
+    width, is not shuffled.
+    """
+    keys = PRIMARY_KEYS if keys is None else keys
+    parts, check = [], 0
+    for t, of_table in keys.items():
+        hashes = []
+        for cols in of_table:
+            hashes.append(F.when(_present(cols), F.struct(F.lit(check).alias("check"), F.xxhash64(*cols).alias("h"))))
+            check += 1
+        parts.append(tables[t].select(F.explode(F.array_compact(F.array(*hashes))).alias("k")).select("k.check", "k.h"))
+    return _union(parts).groupBy("check", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("check", "h")
+
+
+def duplicate_keys(tables: dict[str, DataFrame], keys=None) -> DataFrame:
+    """Q1: key values that occur more than once, per (table, key).
+
+    Only rows whose hash repeats are grouped by their full keys, so unique keys are not shuffled again; two
+    different keys of one hash are told apart there.
+    """
+    keys = PRIMARY_KEYS if keys is None else keys
+    suspects = repeated_hashes(tables, keys)
+    out, check = [], 0
+    for t, of_table in keys.items():
+        for cols in of_table:
             shown = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+            mine = suspects.where(F.col("check") == check).select(F.col("h").alias("_h"))
             out.append(
-                tables[t]
-                .dropna(subset=list(cols))  # a null is no key value
+                tables[t].select(*cols).where(_present(cols)).withColumn("_h", F.xxhash64(*cols))
+                .join(mine, "_h", "left_semi")
                 .groupBy(*cols)
                 .agg(F.count(F.lit(1)).alias("n"))
                 .where(F.col("n") > 1)
                 .select(F.lit(t).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"), shown.alias("key_value"), "n")
             )
+            check += 1
     return _union(out)
 
 
@@ -76,21 +107,31 @@ def duplicate_flight_lot(lot_services: DataFrame) -> DataFrame:
 
 
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:
-    """Q3: rows whose foreign key has no parent, counted per constraint (zeros kept)."""
-    out = []
-    for child, col, parent, pcol in FOREIGN_KEYS:
-        missing = tables[child].select(F.col(col).alias("k")).join(
-            tables[parent].select(F.col(pcol).alias("k")), "k", "left_anti"
-        )
-        out.append(
-            missing.agg(F.count(F.lit(1)).alias("orphan_rows")).select(
-                F.lit(child).alias("child_table"),
-                F.lit(col).alias("fk_column"),
-                F.lit(parent).alias("parent_table"),
-                "orphan_rows",
-            )
-        )
-    return _union(out)
+    """Q3: rows whose foreign key has no parent, counted per constraint (zeros kept).
+
+    Every table is read once: a row gives the keys it uses as a child and the keys it has as a parent, each
+    with the number of its constraint. Summed per (constraint, key), a key that is used and that no parent has is an
+    orphan; rows of a hot key are summed before the shuffle. A null reference has no parent.
+    """
+    names = dict.fromkeys(x for child, _, parent, _ in FOREIGN_KEYS for x in (child, parent))
+    parts = []
+    for t in names:
+        entries = []
+        for check, (child, col, parent, pcol) in enumerate(FOREIGN_KEYS):
+            for used, table, c in ((1, child, col), (0, parent, pcol)):
+                if table == t:
+                    entries.append(F.struct(
+                        F.lit(check).alias("check"), F.col(c).cast("long").alias("k"), F.lit(used).alias("used")))
+        parts.append(tables[t].select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+    keys = _union(parts).groupBy("check", "k").agg(
+        F.sum("used").alias("rows"), F.max((F.col("used") == 0) & F.col("k").isNotNull()).alias("known"))
+    counts = keys.groupBy("check").agg(F.sum(F.when(~F.col("known"), F.col("rows")).otherwise(0)).alias("n"))
+    spark = next(iter(tables.values())).sparkSession
+    checks = literal_table(
+        spark, [(i, c, f, p) for i, (c, f, p, _) in enumerate(FOREIGN_KEYS)],
+        "check int, child_table string, fk_column string, parent_table string")
+    return checks.join(counts, "check", "left").select(
+        "child_table", "fk_column", "parent_table", F.coalesce("n", F.lit(0)).cast("long").alias("orphan_rows"))
 
 
 def flights_without_services(flights: DataFrame, lot_services: DataFrame) -> DataFrame:

@@ -22,6 +22,11 @@ def _consumption(spark, sf):
     return cons.product_consumption(t.lot_services, t.flights, t.lots, t.products, t.as_of)
 
 
+def _recommended(spark, sf):
+    t = tables_for(spark, sf)
+    return rec.recommend(t.lots, t.products, t.categories, t.lot_services, t.flights, t.as_of)
+
+
 def _r6(c):
     return F.round(F.col(c), 6).alias(c)
 
@@ -189,7 +194,7 @@ _REC_SQL_COLS = """priority, priority_rank, rule, product_id, product_name, lot_
     ids="B4 U1 O4",
 )
 def recommendations(spark, sf):
-    r = rec.recommendations(_inventory(spark, sf), _consumption(spark, sf))
+    r = rec.in_order(_recommended(spark, sf))
     return r.select(*[c for c in rec.REC_COLUMNS if c != "avg_weekly"], _r6("avg_weekly"))
 
 
@@ -199,5 +204,5 @@ def recommendations(spark, sf):
     ids="P10",
 )
 def recommendations_high(spark, sf):
-    r = rec.high_priority(rec.recommendations(_inventory(spark, sf), _consumption(spark, sf), ordered=False))
+    r = rec.high_priority(_recommended(spark, sf))
     return r.select(*[c for c in rec.REC_COLUMNS if c != "avg_weekly"], _r6("avg_weekly"))

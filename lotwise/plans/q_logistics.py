@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lotwise.operators import allocate as al
@@ -11,6 +13,7 @@ from lotwise.operators import schedule as sc
 from lotwise.plans.oracle import EXTRA
 from lotwise.plans.q_inventory import _inventory
 from lotwise.plans.registry import query
+from lotwise.sources.bucketed import bucketed
 from lotwise.sources.driver_tables import tables_for
 
 EXTRA.extend(
@@ -127,9 +130,7 @@ def _lines(spark, sf, ordered=False):
     return al.manifest_lines(al.open_demand(t.lot_services, t.lots, t.products), ordered=ordered)
 
 
-@query(
-    "flight_logistics_view",
-    """SELECT f.flight_id, f.airline, f.passengers, f.origin_iata, f.origin_locality, f.dest_iata,
+VIEW_SQL = """SELECT f.flight_id, f.airline, f.passengers, f.origin_iata, f.origin_locality, f.dest_iata,
               f.dest_locality, CAST(f.dep_ts AS DATE) AS dep_date, strftime(f.dep_ts, '%H:%M:%S') AS dep_time,
               CAST(f.arr_ts AS DATE) AS arr_date, strftime(f.arr_ts, '%H:%M:%S') AS arr_time,
               f.weekday, f.season, f.weather, k.category_id, k.category, l.product_id, k.product_name,
@@ -137,9 +138,10 @@ def _lines(spark, sf, ordered=False):
               s.loaded_qty - COALESCE(s.consumed_qty, 0) AS leftover_qty
        FROM lot_services s JOIN flight_dims f ON s.flight_id = f.flight_id
                            JOIN lots l ON s.lot_id = l.lot_id
-                           JOIN catalog k ON l.product_id = k.product_id""",
-    ids="S5 J2 P2",
-)
+                           JOIN catalog k ON l.product_id = k.product_id"""
+
+
+@query("flight_logistics_view", VIEW_SQL, ids="S5 J2 P2")
 def flight_logistics_view(spark, sf):
     t = _t(spark, sf)
     return lg.flight_logistics_view(
@@ -147,6 +149,36 @@ def flight_logistics_view(spark, sf):
     )
 
 
+_BUCKETED: dict[tuple[str, str], tuple] = {}
+
+
+def _by_flight(spark, sf):
+    """Flights and service lines stored in buckets of the flight (written once a session and directory)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUCKETED:
+        t, n = _t(spark, sf), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        stored = uuid.uuid4().hex
+        _BUCKETED[key] = tuple(
+            bucketed(df, "flight_id", n, f"{name}_{stored}") for name, df in (("flights", t.flights), ("lot_services", t.lot_services)))
+    return _BUCKETED[key]
+
+
+@query("flight_logistics_bucketed", VIEW_SQL, ids="S5 J1 J2")
+def flight_logistics_bucketed(spark, sf):
+    """The same view over stored tables: the fact meets its flights without an exchange."""
+    t = _t(spark, sf)
+    flights, services = _by_flight(spark, sf)
+    return lg.flight_logistics_view(flights, t.airlines, t.airports, services, t.lots, t.products, t.categories)
+
+
+@query("training_set_bucketed", "SELECT * FROM training", ids="J1 S5")
+def training_set_bucketed(spark, sf):
+    t = _t(spark, sf)
+    flights, services = _by_flight(spark, sf)
+    return lg.training_set(
+        flights, t.airlines, t.aircraft_types, t.airports, services, t.lots, t.products, t.categories)
+
+
 @query("training_set", "SELECT * FROM training", ids="J1 P1 P4")
 def training_set(spark, sf):
     t = _t(spark, sf)

@@ -9,9 +9,8 @@ from lotwise.operators import enrich as en
 from lotwise.operators import inventory as inv
 from lotwise.operators import metrics as met
 from lotwise.operators import quality as dq
-from lotwise.operators import recommend as rec
 from lotwise.plans.oracle import EXTRA
-from lotwise.plans.q_inventory import _consumption, _inventory
+from lotwise.plans.q_inventory import _inventory, _recommended
 from lotwise.plans.registry import query
 from lotwise.sources.driver_tables import tables_for
 from lotwise.sources.schemas import CATALOG, DOMAINS, MAX_LENGTHS
@@ -307,13 +306,9 @@ def dq_calendar_mismatch(spark, sf):
 # ---------------------------------------------------------------- labels and text
 
 
-def _recs(spark, sf):
-    return rec.recommendations(_inventory(spark, sf), _consumption(spark, sf), ordered=False)
-
-
 @query("recommendations_text", "SELECT * FROM recs_text", ids="F15 B4 F14")
 def recommendations_text(spark, sf):
-    return lb.recommendations_text(_recs(spark, sf), "es")
+    return lb.recommendations_text(_recommended(spark, sf), "es")
 
 
 @query(
@@ -327,7 +322,7 @@ def recommendations_text(spark, sf):
     ids="F17",
 )
 def recommendation_days_from_text(spark, sf):
-    t = lb.recommendations_text(_recs(spark, sf), "es")
+    t = lb.recommendations_text(_recommended(spark, sf), "es")
     return t.select("rule", "product_id", "lot_id", lb.days_from_text("metric_text").alias("days_parsed"))
 
 
