@@ -51,7 +51,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MU2, MU3 = 500.0, 12.0
 #: Text of a chunk, and the training tokens for which there is one shard more.
 CHUNK_BYTES = 4 << 20
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 
 GAP, NO_FENCE = byte_set(b" \t\n\x0b\x0c\r"), byte_set(b"")
 #: Ids of unknown words, begin, end, and what stands after the end; words follow.
@@ -336,48 +336,53 @@ def _ask_triples(shards: int, train_docs: int):
     return run
 
 
-def _summed(parts: list[tuple]) -> tuple:
-    """Sorted, different triples (u, v, w, count, count of u) of several lists."""
-    u, v, w, c, total = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((w, v, u))
-    u, v, w, c, total = u[order], v[order], w[order], c[order], total[order]
-    starts = np.flatnonzero(_runs(u, v, w))
-    return u[starts], v[starts], w[starts], np.add.reduceat(c, starts, dtype=np.int64) if len(u) else c, total[starts]
+class _Asked:
+    """All messages of a shard at once: the different triples, sorted, and where each triple of a message is among them."""
 
+    def __init__(self, messages: list[bytes]):
+        parts = [unpack_triples(m) for m in messages]
+        self.size3 = [p[3] for p in parts]
+        u, v, context = (np.concatenate([np.repeat(_narrow(p[k]), p[3]) for p in parts]) for k in range(3))
+        w, train = (np.concatenate([_narrow(p[k]) for p in parts]) for k in (4, 5))
+        del parts
+        order = np.lexsort((w, v, u))
+        u, v, w = u[order], v[order], w[order]
+        starts = np.flatnonzero(_runs(u, v, w))
+        self.at = np.empty(len(order), dtype=np.int32)
+        self.at[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(order))))
+        self.u, self.v, self.w, self.context = (x.astype(np.int64) for x in (u[starts], v[starts], w[starts], context[order][starts]))
+        self.count = np.add.reduceat(train[order], starts, dtype=np.int64)
 
-def shard_trie(messages: list[bytes]) -> Trie:
-    """The trie of a shard from the messages of all chunks (lists are merged whenever they have doubled)."""
-    held, waiting, size = (np.zeros(0, dtype=np.uint32),) * 5, [], 0
-    for blob in messages:
-        u, v, context, size3, w, train = unpack_triples(blob)
-        live = train > 0
-        columns = (np.repeat(_narrow(u), size3), np.repeat(_narrow(v), size3), _narrow(w), _narrow(train), np.repeat(_narrow(context), size3))
-        waiting.append(tuple(x[live] for x in columns))
-        size += int(live.sum())
-        if size > max(1 << 18, len(held[0])):
-            held, waiting, size = tuple(map(_narrow, _summed([held, *waiting]))), [], 0
-    return Trie.build(*(x.astype(np.int64) for x in _summed([held, *waiting])), MU2, MU3)
+    def trie(self) -> Trie:
+        live = self.count > 0
+        return Trie.build(*(x[live] for x in (self.u, self.v, self.w, self.count, self.context)), MU2, MU3)
 
 
 def _answer_triples(table: pa.Table) -> pa.Table:
-    messages = table.column("message").to_pylist()
-    replies = []
+    """Build the shard's trie, look every different triple up once, and write the answers of each message."""
+    asked = _Asked(table.column("message").to_pylist())
     with tempfile.TemporaryFile() as file:
-        shard_trie(messages).save(file)
+        asked.trie().save(file)
         trie = Trie.mapped(np.memmap(file, dtype=np.uint8, mode="r"))
-        for blob in messages:
-            u, v, context, size3, w, _ = unpack_triples(blob)
-            prob2, _, prob3 = trie.lookup(u, v, size3, w)
-            count2 = np.rint(decode_probability(prob2) * (context + MU2))
-            count3 = np.rint(decode_probability(prob3) * (np.repeat(count2, size3) + MU3))
-            replies.append(pack(count2.astype(np.int64), count3.astype(np.int64)))
-        del trie
+        new = _runs(asked.u, asked.v)
+        pair = np.flatnonzero(new)
+        size3 = np.diff(np.append(pair, len(new)))
+        prob2, _, prob3 = trie.lookup(asked.u[pair], asked.v[pair], size3, asked.w)
+    count2 = np.repeat(np.rint(decode_probability(prob2) * (asked.context[pair] + MU2)), size3)
+    count3 = np.rint(decode_probability(prob3) * (count2 + MU3)).astype(np.int64)
+    replies, end, count2 = [], 0, count2.astype(np.int64)
+    for size3 in asked.size3:
+        n = int(size3.sum())
+        mine = asked.at[end : end + n]
+        replies.append(pack(count2[mine[np.cumsum(size3) - size3]], count3[mine]))
+        end += n
+    del trie, asked
     return _tidy(pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "message": pa.array(replies, pa.binary())}))
 
 
 def _levels(table: pa.Table) -> pa.Table:
     with tempfile.TemporaryFile() as file:
-        shard_trie(table.column("message").to_pylist()).save(file)
+        _Asked(table.column("message").to_pylist()).trie().save(file)
         file.seek(0)
         levels = file.read()
     return pa.table({"shard": table.column("shard").slice(0, 1), "levels": pa.array([levels], pa.binary())})
@@ -430,7 +435,7 @@ class _Encoded:
         parts = chunks(docs, fold)
         totals = parts.agg(F.sum("tokens").alias("t"), F.sum("train_docs").alias("d")).first()
         self.train_docs = int(totals.d or 0)
-        self.shards = shards = max(4 * shuffle_partitions(spark), -(-int(totals.t or 0) // SHARD_TOKENS))
+        self.shards = shards = max(2 * shuffle_partitions(spark), -(-int(totals.t or 0) // SHARD_TOKENS))
         asked = parts.select("chunk", "blob").mapInArrow(_ask_words(shards), _MESSAGE)
         replies = staged(asked.groupBy("shard").applyInArrow(_answer_words(shards), _WORD_REPLY), "lm_words")
         found = replies.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
