@@ -1,15 +1,20 @@
 """Operator 9: byte-level BPE encoding and decoding with Spark higher-order functions.
 
-Encoding. A task cuts its texts into pre-tokens and numbers the different ones; each different word goes to
-Spark once per task (within a bounded memory), where a higher-order fold merges it: the state is the
-array of piece ranks, beginning with those of the word's bytes, and the ranks of all neighbouring pairs; each
-step replaces the leftmost pair of least rank, found in a literal rank map, and looks up
-the two pairs that are new. The task then writes every document's ids from the words' numbers. All of
-it is one narrow stage: no shuffle, nothing gathered.
-
-The literal map has one entry per mergeable pair of vocabulary pieces, in buckets by a
-multiplicative hash, so that a look-up compares a few entries. Pre-tokens of more than ``LONG`` bytes are
-merged by a heap in the task instead (same result; a fold would take quadratic time).
+Encoding. Documents are cut into pre-tokens in chunks of about ``CHUNK_BYTES`` of text; a chunk numbers its
+different words and sends them, packed, to word shards (``messages``). A shard lists its different words once for
+all chunks, and a higher-order fold merges each of them: the state is the array of piece ranks, beginning
+with those of the word's bytes, and the ranks of all neighbouring pairs; each step replaces the leftmost pair of
+least rank, found in a literal rank map, and looks up the two pairs that are new. The shard answers
+every chunk with the ids of its words, and the chunk writes its documents' ids. So a word is merged once in the corpus,
+however many documents have it, and no task holds more than a chunk or a shard.
+
+A chunk is shuffled once, for asking and for writing, and is known by a digest of its contents. Should a lost
+task be repeated over rows that come in another order, a chunk without answers is an error, not a wrong result;
+rows read from files come in one order.
+
+The literal map has one entry per mergeable pair of vocabulary pieces, in buckets by a multiplicative hash, so
+that a look-up compares a few entries. Pre-tokens of more than ``LONG`` bytes are merged by a heap in the shard instead
+(same result; a fold would take quadratic time).
 
 Decoding looks the ids' byte strings up in a literal array and concatenates them.
 
@@ -20,28 +25,29 @@ rows get equal results; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lotwise.llm.bpe_words import slices, units
+from lotwise.llm.bpe_words import units
+from lotwise.llm.common import shuffle_partitions
+from lotwise.llm.messages import pack, segments, tidy, unpack, word_order, word_parts, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Characters cut together, words remembered by a task, bytes beyond which a word is merged by heap,
-#: text of a task.
-SLICE_CHARS = 8_000_000
-MEMORY = 600_000
-LONG = 256
-TASK_BYTES = 256 << 20
+#: Text of a chunk, and the bytes beyond which a word is merged by heap.
+CHUNK_BYTES = 12 << 20
+LONG = 1024
 
 _BUCKETS = 1 << 17
 _FACTOR = 1640531527
@@ -142,7 +148,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Cutter:
-    """Numbers the pre-tokens of texts; part of a task."""
+    """Numbers the pre-tokens of a chunk's texts."""
 
     def __init__(self, pattern: str):
         import regex
@@ -151,107 +157,152 @@ class Cutter:
         self.numbers: dict[str, int] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def cut(self, texts: list[str]) -> tuple[bool, list[bytes], list[str]]:
-        """Whether numbering has begun anew, each text's word numbers (int32), and the new words in order."""
-        fresh = len(self.numbers) > MEMORY
-        if fresh:
-            self.numbers, self.known = {}, {}
-        numbers, known, new, out = self.numbers, self.known, [], []
-        for text in texts:
-            row: list[int] = []
-            for unit in units(text):
-                own = known.get(unit)
-                if own is None:
-                    own = []
-                    for word in self.find(unit):
-                        k = numbers.get(word)
-                        if k is None:
-                            k = numbers[word] = len(numbers)
-                            new.append(word)
-                        own.append(k)
-                    if len(unit) < 64:
-                        known[unit] = tuple(own)
-                row += own
-            out.append(np.array(row, dtype=np.int32).tobytes())
-        return fresh, out, new
-
-
-def _fewer_tasks(docs: DataFrame) -> DataFrame:
-    """``docs`` in tasks of about ``TASK_BYTES`` of text, if it comes in smaller ones, but in one for each
-    core at least: a task merges each different word once, so larger tasks have fewer merges."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
-
-
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    def cut(self, text: str) -> np.ndarray:
+        """The numbers of a text's words, in order."""
+        numbers, known = self.numbers, self.known
+        row: list[int] = []
+        for unit in units(text):
+            own = known.get(unit)
+            if own is None:
+                own = [numbers.setdefault(word, len(numbers)) for word in self.find(unit)]
+                if len(unit) < 64:
+                    known[unit] = tuple(own)
+            row += own
+        return np.array(row, dtype=np.int32)
+
+    def words(self) -> pa.Array:
+        return pa.array([w.encode("utf-8") for w in self.numbers], type=pa.large_binary())
+
+
+_MESSAGE = "shard long, chunk binary, message binary"
+
+
+def _chunks(pattern: str, kind: str):
+    """Rows (chunk, doc_ids, tokens, words) of about ``CHUNK_BYTES`` of text each."""
+    schema = to_arrow_schema(T.StructType.fromDDL(f"chunk binary, doc_ids array<{kind}>, tokens binary, words binary"))
+
+    def finish(ids, rows, cutter):
+        lens = np.array([len(r) for r in rows], dtype=np.int64)
+        tokens = pack(lens, np.concatenate(rows).astype(np.int64))
+        words = pack(*word_parts(cutter.words()))
+        ids = pa.concat_arrays(ids).to_pylist()
+        name = hashlib.blake2b(repr(ids).encode() + tokens + words, digest_size=16).digest()
+        return tidy(pa.RecordBatch.from_pydict(
+            {"chunk": [name], "doc_ids": [ids], "tokens": [tokens], "words": [words]}, schema=schema))
+
+    def run(batches):
+        ids, rows, size, cutter = [], [], 0, Cutter(pattern)
+        for batch in batches:
+            done = 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                rows.append(cutter.cut(text or ""))
+                size += len(text or "")
+                if size >= CHUNK_BYTES:
+                    ids.append(batch.column(0).slice(done, i + 1 - done))
+                    yield finish(ids, rows, cutter)
+                    ids, rows, size, cutter, done = [], [], 0, Cutter(pattern), i + 1
+            ids.append(batch.column(0).slice(done))
+        if rows:
+            yield finish(ids, rows, cutter)
+
+    return run
+
+
+def _ask(shards: int):
+    """The words of each chunk, one message to a shard."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(*unpack(blob))
+                order, shard = word_order(words, shards)
+                rows = [(s, chunk, pack(*word_parts(words.take(pa.array(order[a:b]))))) for s, a, b in segments(shard)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))],
+                        names=["shard", "chunk", "message"])
+
+    return run
+
+
+def _different(messages: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+    """For each message the place of its words in the sorted list of all different words, and that list."""
+    asked = [words_of(*unpack(m)) for m in messages]
+    joined = pa.concat_arrays(asked).dictionary_encode()
+    order = pc.sort_indices(joined.dictionary).to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    at = place[joined.indices.to_numpy(zero_copy_only=False)]
+    ends = np.cumsum([len(a) for a in asked])
+    return np.split(at, ends[:-1]), joined.dictionary.take(pa.array(order)).to_pylist()
+
+
+def encode(docs: DataFrame, path: str, pattern: str, rank_map: RankMap | None = None) -> DataFrame:
     """doc_id, ids: the token ids of every whole text."""
     spark = docs.sparkSession
     ranks = read_ranks(path)
-    rank_map = RankMap(ranks)
+    rank_map = rank_map or RankMap(ranks)
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary: a fixed size
-    id_field = docs.schema["doc_id"]
-    cut_type = T.StructType([
-        T.StructField("doc_ids", T.ArrayType(id_field.dataType)), T.StructField("rows", T.ArrayType(T.BinaryType())),
-        T.StructField("fresh", T.BooleanType()), T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType()))),
-        T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    parts, id_field = shuffle_partitions(spark), docs.schema["doc_id"]
+    shards = 2 * parts
+    kind = id_field.dataType.simpleString()
     ids_type = T.StructType([id_field, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    cut_arrow, ids_arrow = to_arrow_schema(cut_type), to_arrow_schema(ids_type)
+    ids_arrow = to_arrow_schema(ids_type)
 
-    def cut(batches):
-        cutter = Cutter(pattern)
+    def list_words(table: pa.Table) -> pa.Table:
+        _, words = _different(table.column("message").to_pylist())
         letter = [shared.value[bytes([b])] for b in range(256)]
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            ids, at = batch.column("doc_id"), 0
-            for some in slices(texts, SLICE_CHARS):
-                fresh, rows, new = cutter.cut(some)
-                raw = [w.encode("utf-8") for w in new]
-                long = [merge_long(w, shared.value) if len(w) > LONG else None for w in raw]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_ids": [ids.slice(at, len(some)).to_pylist()], "rows": [rows], "fresh": [fresh],
-                        "words": [[None if len(w) > LONG else [_END, *[letter[b] for b in w], _END] for w in raw]], "long": [long],
-                    },
-                    schema=cut_arrow)
-                at += len(some)
-
-    def write(batches):
-        starts, flat, size = [np.zeros(1, dtype=np.int64)], [], 0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                if batch.column("fresh")[k].as_py():
-                    starts, flat, size = [np.zeros(1, dtype=np.int64)], [], 0
-                merged = batch.column("merged")[k].values
-                if len(merged):
-                    lengths = np.diff(merged.offsets.to_numpy())
-                    starts.append(size + np.cumsum(lengths))
-                    flat.append(merged.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
-                    size += int(lengths.sum())
-                    starts, flat = [np.concatenate(starts)], [np.concatenate(flat)]
-                first = starts[0]
-                rows, total, parts = batch.column("rows")[k].as_py(), [0], []
-                for row in rows:
-                    word = np.frombuffer(row, dtype=np.int32)
-                    count = first[word + 1] - first[word]
-                    n = int(count.sum())
-                    total.append(total[-1] + n)
-                    if n:
-                        shift = np.repeat(first[word] - np.cumsum(count) + count, count)
-                        parts.append(flat[0][shift + np.arange(n)])
-                values = pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), type=pa.int32())
-                ids = pa.ListArray.from_arrays(pa.array(total, type=pa.int32()), values)
-                doc_ids = batch.column("doc_ids")[k].values.cast(ids_arrow[0].type)
-                yield pa.RecordBatch.from_arrays([doc_ids, ids.cast(ids_arrow[1].type)], schema=ids_arrow)
-
-    words = _fewer_tasks(docs.select("doc_id", "text")).mapInArrow(cut, cut_type)
-    merged = F.zip_with("words", "long", lambda w, ids: F.coalesce(ids, rank_map.fold(w)))
-    return words.select("doc_ids", "rows", "fresh", merged.alias("merged")).mapInArrow(write, ids_type)
+        long = [merge_long(w, shared.value) if len(w) > LONG else None for w in words]
+        folded = [None if len(w) > LONG else [_END, *[letter[b] for b in w], _END] for w in words]
+        return tidy(pa.table({
+            "shard": pa.array([table.column("shard")[0].as_py()] * len(words), pa.int64()),
+            "place": pa.array(np.arange(len(words))), "word": pa.array(folded, pa.list_(pa.int32())),
+            "long": pa.array(long, pa.list_(pa.int32()))}))
+
+    def answer(messages: pa.Table, merged: pa.Table) -> pa.Table:
+        places, _ = _different(messages.column("message").to_pylist())
+        ids = merged.column("ids").combine_chunks().take(pc.sort_indices(merged.column("place")))
+        starts = ids.offsets.to_numpy()
+        flat, count = ids.values.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(starts)
+        replies = []
+        for at in places:
+            n = count[at]
+            picked = np.repeat(starts[:-1][at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            replies.append(pack(n, flat[picked]))
+        return tidy(pa.table({"shard": messages.column("shard"), "chunk": messages.column("chunk"), "message": pa.array(replies, pa.binary())}))
+
+    def write(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        order, shard = word_order(words_of(*unpack(chunk.column("words")[0].as_py())), shards)
+        answers = dict(zip(replies.column("shard").to_pylist(), replies.column("message").to_pylist()))
+        count, parts = np.zeros(len(order), dtype=np.int64), []
+        for s, a, b in segments(shard):
+            n, ids = unpack(answers[s])
+            count[order[a:b]] = n
+            parts.append(ids.astype(np.int32))
+        flat = np.concatenate([*parts, np.zeros(0, dtype=np.int32)])
+        start = np.empty(len(order), dtype=np.int64)
+        start[order] = np.cumsum(count[order]) - count[order]
+        lens, tokens = unpack(chunk.column("tokens")[0].as_py())
+        n = count[tokens]
+        ids = flat[np.repeat(start[tokens] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(lens)])]
+        rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+        doc_ids = chunk.column("doc_ids").combine_chunks().flatten().cast(ids_arrow[0].type)
+        return tidy(pa.Table.from_arrays([doc_ids, rows.cast(ids_arrow[1].type)], schema=ids_arrow))
+
+    made = f"chunk binary, doc_ids array<{kind}>, tokens binary, words binary"
+    chunks = docs.select("doc_id", "text").mapInArrow(_chunks(pattern, kind), made).repartition(parts, "chunk")
+    asked = chunks.select("chunk", "words", "tokens", "doc_ids").mapInArrow(_ask(shards), _MESSAGE).repartition(parts, "shard")
+    listed = asked.groupBy("shard").applyInArrow(list_words, "shard long, place long, word array<int>, long array<int>")
+    merged = listed.select("shard", "place", F.coalesce(F.col("long"), rank_map.fold(F.col("word"))).alias("ids"))
+    replies = asked.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(answer, _MESSAGE)
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(write, ids_type)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per document."""
     pieces = RankMap(read_ranks(path))
-    ids = encode(docs, path, pattern)
+    ids = encode(docs, path, pattern, pieces)
     return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "UTF-8"), 256).alias("ids_sha256"),

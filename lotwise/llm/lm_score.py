@@ -30,8 +30,6 @@ is 1 and all scores are 0. An empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import sys
 import tempfile
 
@@ -43,7 +41,8 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.common import crc_mod, shuffle_partitions, staged
 from lotwise.llm.elias_fano import Trie, decode_probability
-from lotwise.llm.word_cuts import byte_set, cut, mixed, word_hashes
+from lotwise.llm.messages import pack, segments, tidy, unpack, word_order, word_parts, words_of
+from lotwise.llm.word_cuts import byte_set, cut, mixed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -60,60 +59,11 @@ UNKNOWN, BEGIN, END, AFTER, FIRST = 0, 1, 2, 3, 4
 _SCORES = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of non-negative numbers in one compressed value: least byte widths, byte planes, zstd."""
-    head, planes = [len(arrays)], []
-    for a in arrays:
-        most = int(a.max()) if len(a) else 0
-        width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-        head += [len(a), width]
-        planes.append(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
-    return np.array(head, dtype=np.int64).tobytes() + pa.compress(b"".join(planes), "zstd", asbytes=True)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    k = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
-    head = np.frombuffer(blob, dtype=np.int64, count=1 + 2 * k)[1:].reshape(k, 2)
-    raw = pa.decompress(blob[8 * (1 + 2 * k) :], int((head[:, 0] * head[:, 1]).sum()), "zstd", asbytes=True)
-    out, at = [], 0
-    for n, width in head.tolist():
-        planes = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n).astype(np.int64))
-        at += n * width
-    return out
-
-
 def _narrow(a: np.ndarray) -> np.ndarray:
     """Non-negative numbers in four bytes each where they fit."""
     return a.astype(np.uint32) if not len(a) or a.max() < 1 << 32 else a
 
 
-def _tidy(out):
-    """``out``, when the memory freed so far has gone back to the system: the next group starts small."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library can
-        ctypes.CDLL(None).malloc_trim(0)
-    return out
-
-
-def _word_parts(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and bytes of binary words."""
-    words = pa.concat_arrays([words.cast(pa.large_binary())])
-    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
-    return np.diff(offsets), np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-
-
-def _words_of(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data.astype(np.uint8))])
-
-
-def _segments(sorted_keys: np.ndarray):
-    """(key, start, end) of the runs of a sorted array."""
-    starts = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
-    return zip(sorted_keys[starts].tolist(), starts.tolist(), np.append(starts[1:], len(sorted_keys)).tolist())
-
-
 # --- 1: chunks
 
 
@@ -121,7 +71,7 @@ def _chunk(number: int, ids, held, texts) -> pa.RecordBatch:
     held = np.array(held, dtype=bool)
     c = cut(texts, GAP, NO_FENCE)
     counts = np.bincount(c.ids[~held[c.doc]], minlength=len(c.words))
-    blob = pack(np.bincount(c.doc, minlength=len(texts)), c.ids, *_word_parts(c.words), counts)
+    blob = pack(np.bincount(c.doc, minlength=len(texts)), c.ids, *word_parts(c.words), counts)
     train = int((~held).sum())
     return pa.RecordBatch.from_arrays(
         [pa.array([number], pa.int64()), pa.array([ids.tolist()], pa.list_(ids.type)), pa.array([held.tolist()], pa.list_(pa.bool_())),
@@ -169,23 +119,16 @@ def _messages(rows) -> pa.RecordBatch:
         [pa.array(shard, pa.int64()), pa.array(chunk, pa.int64()), pa.array(message, pa.binary())], names=["shard", "chunk", "message"])
 
 
-def _word_order(words: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words by shard: positions, and the shard of each position."""
-    shard = (word_hashes(words) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return order, shard[order]
-
-
 def _ask_words(shards: int):
     def run(batches):
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 _, _, lengths, data, counts = unpack(blob)
-                words = _words_of(lengths, data)
-                order, shard = _word_order(words, shards)
+                words = words_of(lengths, data)
+                order, shard = word_order(words, shards)
                 rows = []
-                for s, a, b in _segments(shard):
-                    rows.append((s, chunk, pack(*_word_parts(words.take(pa.array(order[a:b]))), counts[order[a:b]])))
+                for s, a, b in segments(shard):
+                    rows.append((s, chunk, pack(*word_parts(words.take(pa.array(order[a:b]))), counts[order[a:b]])))
                 if rows:
                     yield _messages(rows)
 
@@ -201,7 +144,7 @@ def _answer_words(shards: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         asked = [unpack(m) for m in table.column("message").to_pylist()]
-        words = pa.concat_arrays([_words_of(lengths, data) for lengths, data, _ in asked]).dictionary_encode()
+        words = pa.concat_arrays([words_of(lengths, data) for lengths, data, _ in asked]).dictionary_encode()
         at = words.indices.to_numpy(zero_copy_only=False)
         count = np.zeros(len(words.dictionary), dtype=np.int64)
         np.add.at(count, at, np.concatenate([c for *_, c in asked]))
@@ -224,9 +167,9 @@ def _answer_words(shards: int):
 
 def _ids_of(lengths: np.ndarray, data: np.ndarray, replies: dict, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and counts of a chunk's words."""
-    order, shard = _word_order(_words_of(lengths, data), shards)
+    order, shard = word_order(words_of(lengths, data), shards)
     ids, counts = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
-    for s, a, b in _segments(shard):
+    for s, a, b in segments(shard):
         ids[order[a:b]], counts[order[a:b]] = unpack(replies[s])
     return ids, counts
 
@@ -274,8 +217,8 @@ class Triples:
 
     def segments(self):
         """(shard, its pairs, its triples) as slices of the ordered arrays."""
-        triple = {s: slice(a, b) for s, a, b in _segments(self.triple_shard)}
-        for s, a, b in _segments(self.pair_shard):
+        triple = {s: slice(a, b) for s, a, b in segments(self.triple_shard)}
+        for s, a, b in segments(self.pair_shard):
             yield s, slice(a, b), triple[s]
 
 
@@ -331,7 +274,7 @@ def _ask_triples(shards: int, train_docs: int):
         chunk = left.column("chunk")[0].as_py()
         rows = [(s, chunk, pack_triples(t.u[p], t.v[p], t.context[p], t.size3[p], t.w[q], t.train[q])) for s, p, q in t.segments()]
         del t
-        return _tidy(pa.Table.from_batches([_messages(rows)]))
+        return tidy(pa.Table.from_batches([_messages(rows)]))
 
     return run
 
@@ -377,7 +320,7 @@ def _answer_triples(table: pa.Table) -> pa.Table:
         replies.append(pack(count2[mine[np.cumsum(size3) - size3]], count3[mine]))
         end += n
     del trie, asked
-    return _tidy(pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "message": pa.array(replies, pa.binary())}))
+    return tidy(pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "message": pa.array(replies, pa.binary())}))
 
 
 def _levels(table: pa.Table) -> pa.Table:
@@ -412,7 +355,7 @@ def _score(shards: int, train_docs: int, train_tokens: int, types: int, ids_type
         n, lens = len(t.lens), t.lens + 1
         del t
         ids = left.column("ids").combine_chunks().flatten()
-        return _tidy(pa.table({
+        return tidy(pa.table({
             "doc_id": ids.cast(ids_type), "held_out": pa.array(held), "n_tokens": pa.array(lens),
             "n_known": pa.array(np.bincount(doc[count > 0], minlength=n)),
             "train_tokens": pa.array(np.full(n, train_tokens, dtype=np.int64)),

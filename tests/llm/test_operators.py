@@ -34,7 +34,8 @@ def docs(spark, rows):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_matches_duckdb(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     got = Q.queries()[name](spark, SF)
     cols = got.columns
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({Q.oracle_sql()[name]})").fetchall()
