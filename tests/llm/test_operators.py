@@ -227,7 +227,7 @@ def test_toxicity_held_out(spark):
     m = toxicity.assess(docs, labels).join(labels, "doc_id").toPandas()
     held = m[m.held_out]
     assert (held[held.toxic == 0].predicted == 0).mean() > 0.98
-    assert (held[held.toxic == 1].predicted == 1).mean() > 0.75  # labels are noisy
+    assert (held[held.toxic == 1].predicted == 1).mean() > 0.8  # labels are noisy
     assert m.score.between(0, 1).all()
 
 
@@ -235,12 +235,13 @@ def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     vocab = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
     texts = [" ".join(rng.choice(vocab, rng.integers(1, 30))) for _ in range(700)]
-    index = toxicity.Index(list(range(700)), texts, [int("waa" in t) for t in texts])
+    counts = [toxicity.words_of(t) for t in texts]
+    index = toxicity.Index(list(range(700)), counts, [int("waa" in t) for t in texts])
     dense = np.zeros((700, len(index.vocab)))
     for i, (t, w) in enumerate(index.vectors):
         dense[i, t] = w
-    for text in texts[:60]:
-        t, w = index.vector(text)
+    for words in counts[:60]:
+        t, w = index.vector(words)
         q = np.zeros(len(index.vocab))
         q[t] = w
         rows, cosines = index.nearest(t, w, 20)
