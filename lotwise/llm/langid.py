@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import crc_mod, map_text
+from lotwise.llm.common import crc_mod, map_text, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -160,17 +160,22 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> Hierarchy | None:
         made = (features(t) for t in texts)
         return pd.Series([None if v is None else v.astype(np.float16).tobytes() for v in made], dtype=object)
 
-    # the first rows of each language by hash: a partial top-k per task and salt, then of all
-    ids = train.where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id"))
-    salted = Window.partitionBy("lang", F.col("salt")).orderBy("h", "doc_id")
-    whole = Window.partitionBy("lang").orderBy("h", "doc_id")
+    # the first rows of each language by hashes of id and text (equal rows are one): a partial top-k per task and
+    # salt, then of all. Rows are bounded, not ids: an id that the table repeats brings no more than its share
+    known = train.where("lang is not null and text is not null").withColumn("th", F.xxhash64("text"))
+    salted = Window.partitionBy("lang", F.col("salt")).orderBy("h", "th", "doc_id")
+    whole = Window.partitionBy("lang").orderBy("h", "th", "doc_id")
     few = (
-        ids.select("doc_id", "lang", "h", F.pmod(F.shiftright("h", 8), F.lit(64)).alias("salt"))
+        known.select("doc_id", "lang", "th").distinct().withColumn("h", F.xxhash64("doc_id", "th"))
+        .withColumn("salt", F.pmod(F.shiftright("h", 8), F.lit(64)))
         .withColumn("r", F.row_number().over(salted)).where(F.col("r") <= per_lang)
         .withColumn("r", F.row_number().over(whole)).where(F.col("r") <= per_lang)
-        .select(F.col("doc_id").alias("few_id"))
+        .select("doc_id", "lang", "th")
     )
-    rows = ids.join(few.distinct(), F.col("doc_id") == F.col("few_id"), "left_semi").select("lang", hashed("text").alias("x")).collect()
+    few = staged(few, "language_sample")  # its size is known then, so the texts need no shuffle to meet it
+    texts = known.select("doc_id", "lang", "th", "text").join(few, ["doc_id", "lang", "th"], "left_semi")
+    texts = texts.groupBy("doc_id", "lang", "th").agg(F.first("text").alias("text"))
+    rows = texts.select("lang", hashed("text").alias("x")).collect()
     rows = sorted((r["lang"], bytes(r["x"])) for r in rows if r["x"] is not None)
     if not rows:
         return None

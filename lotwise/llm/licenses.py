@@ -62,7 +62,7 @@ _BSD_2 = """Redistribution and use in source and binary forms, with or without m
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _BSD_3 = _BSD_2.replace("THIS SOFTWARE IS PROVIDED BY", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS PROVIDED BY", 1)
 
-#: Entire texts besides those of KNOWN, which the oracle SQL lists; files hold the longer ones as distributed.
+#: Entire texts besides those of KNOWN; files hold the longer ones as distributed.
 TEXTS: tuple[tuple[str, str], ...] = (
     ("BSD-2-Clause", _BSD_2),
     ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_2),
@@ -92,14 +92,13 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"\bcreative commons attribution noncommercial\b", "cc by nc"),
 )
 _SIGNS = "©‘’“”–— "  # copyright sign, quotes, dashes, no-break space
-#: The rule of the oracle SQL: any line that starts so.
-_SQL_COPYRIGHT = r"^(copyright|c copyright|\(?c\)? ?[12][0-9]{3}|all rights reserved)"
 #: A copyright line names a sign, a year or a holder; a wrapped body may start a line with "copyright notice".
 _BODY = (
     "notices?|holders?|owners?|ownership|licen[cs]e[sd]?|licen[cs]ing|laws?|statements?|treat(y|ies)|and|or|on|in|of|as|to|is|are|for|if|"
     "that|which|permissions?|interests?|disclaimers?|restrictions?|rights?|protection|patents?|trademarks?|the software|the program|"
     "the library|this|doctrines?|like|resulting|material|status|terms?|information|applicable|under|with|by copyright")
-_COPYRIGHT = rf"^((c )?copyright (?!({_BODY})\b)|c [12][0-9]{{3}}|all rights reserved)"
+_COPYRIGHT = r"^((c )?copyright |c [12][0-9]{3}|all rights reserved)"
+_NO_COPYRIGHT = rf"^(c )?copyright ({_BODY})\b"
 
 
 def canonical(c: Column) -> Column:
@@ -119,7 +118,7 @@ def _lines(c: Column) -> Column:
 
 
 def _is_text(line: Column) -> Column:
-    return (line != "") & ~line.rlike(_COPYRIGHT)
+    return (line != "") & (~line.rlike(_COPYRIGHT) | line.rlike(_NO_COPYRIGHT))
 
 
 def _digest(c: Column) -> Column:
@@ -182,9 +181,9 @@ def _sql_canonical(c: str) -> str:
 
 
 def sql() -> str:
-    quoted = ",\n".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in KNOWN)
+    quoted = ",\n".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in all_known())
     canon = _sql_canonical("l")
-    entire = f"array_to_string(list_filter(lines, lambda l: l <> '' AND NOT regexp_matches(l, '{_SQL_COPYRIGHT}')), ' ')"
+    entire = f"array_to_string(list_filter(lines, lambda l: l <> '' AND (NOT regexp_matches(l, '{_COPYRIGHT}') OR regexp_matches(l, '{_NO_COPYRIGHT}'))), ' ')"
     return f"""
 WITH known_raw(license_id, text) AS (VALUES {quoted}),
 known AS (

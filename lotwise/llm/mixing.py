@@ -1,15 +1,18 @@
 """Operator 7: mix sources to target weights by systematic sampling (native DataFrame code).
 
 Every document has an expected number of copies, its source's target over its source's size. In a
-fixed order within the source (size class, then a hash of the id) the expected copies are prefix
+fixed order within the source (size class, then a digest of the whole row) the expected copies are prefix
 summed, one offset per source is added, and a document is emitted once per integer boundary that its
 interval crosses. Ordering by size class spreads the draws over short and long documents alike, so
 the words taken come near the target.
 
 The prefix sum has two levels: totals per (source, chunk), a window over the chunk totals, and a
-window inside each chunk. A chunk is a power-of-two size class and two hex digits of the id's
-digest, so a source that holds a third of all rows is spread over thousands of tasks. Sums are
-exact integers (10^-9 copies), so reruns and retries agree.
+window inside each chunk. A chunk is a power-of-two size class and the first hex digits of the
+digest, as many as the number of rows asks for, so a source that holds a third of all rows is spread over
+many tasks. Sums are exact integers (10^-9 copies) and rows that differ in any column have an order of their
+own, so reruns and retries agree, also on rows without id; rows equal in every column are interchangeable.
+Words are counted in one pass over narrow rows, which are written once (and once more for the
+rows themselves when they are mixed).
 
 Null texts and texts without words have size 0; a null source is a source of its own, the last one.
 Repeated rows are drawn separately. A source without words has target 0 and is not emitted. An
@@ -18,10 +21,12 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import WORD
+from lotwise.llm.common import WORD, staged
 
 #: Source weights by code-point rank, repeating.
 WEIGHTS = (3, 1, 2)
@@ -30,6 +35,8 @@ SHARE_PERCENT = 150
 MAX_COPIES = 2
 UNIT = 1_000_000_000
 SEED = "mix"
+#: Rows of a chunk, about.
+CHUNK_ROWS = 100_000
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT) -> DataFrame:
@@ -63,6 +70,16 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
     )
 
 
+def row_digest(docs: DataFrame):
+    """md5 of all columns in the table's order, nulls apart from empty text."""
+    return F.md5(F.encode(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in docs.columns]), "UTF-8"))
+
+
+def chunk_digits(rows: int) -> int:
+    """Hex digits of a chunk: about ``CHUNK_ROWS`` rows of a size class of one source that has them all."""
+    return max(2, math.ceil(math.log(max(rows, 1) / CHUNK_ROWS, 16)))
+
+
 def draw(
     docs: DataFrame, columns: list[str] | None = None, seed: str = SEED, weights=WEIGHTS, share_percent: int = SHARE_PERCENT
 ) -> DataFrame:
@@ -72,9 +89,13 @@ def draw(
         F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"),
         F.col("source").alias("source"),
         size.alias("size"),
-        F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")).alias("h"),
+        row_digest(docs).alias("h"),
     )
-    sized = docs.select("source", size.alias("size"))
+    if columns:
+        base = sized = staged(base, "mix_rows")
+    else:
+        sized = staged(base.select("source", "size", "h"), "mix_sizes")
+    digits = chunk_digits(sized.count())
     targets = source_targets(sized, weights, share_percent)
     # one row per source, a fixed small table for the join below
     rate = targets.select(
@@ -86,9 +107,9 @@ def draw(
         (F.conv(F.substring(F.md5(F.encode(F.concat(F.lit(seed + "|"), F.coalesce(F.col("source"), F.lit(""))), "UTF-8")), 1, 8), 16, 10).cast("long") % UNIT)
         .cast("decimal(20,0)").alias("u"),
     )
-    chunk = F.concat(F.lpad(F.length(F.bin("size")).cast("string"), 2, "0"), F.substring("h", 1, 2))
+    chunk = F.concat(F.lpad(F.length(F.bin("size")).cast("string"), 2, "0"), F.substring("h", 1, digits))
     base = base.withColumn("chunk", chunk)
-    counts = base.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    counts = sized.withColumn("chunk", chunk).groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         F.col("source").alias("c_source"),
@@ -124,7 +145,8 @@ def _sql(docs: str) -> str:
     return f"""
 mix_base AS (
   SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h, lang, n_chars
+         md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), '\\N'), coalesce(text, '\\N'), coalesce(lang, '\\N'),
+             coalesce(source, '\\N'), coalesce(CAST(n_chars AS VARCHAR), '\\N'))) AS h, lang, n_chars
   FROM {docs}),
 mix_totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM mix_base GROUP BY source),
 mix_ranked AS (
@@ -147,7 +169,7 @@ mix_rate AS (
   FROM mix_targets),
 mix_drawn AS (
   SELECT b.*, r.source_size, r.target, r.e, r.u,
-    CAST(row_number() OVER (PARTITION BY b.source ORDER BY length(bin(b.size)), substr(b.h, 1, 2), b.h, b.size) AS HUGEINT) AS k
+    CAST(row_number() OVER (PARTITION BY b.source ORDER BY length(bin(b.size)), b.h, b.size) AS HUGEINT) AS k
   FROM mix_base b JOIN mix_rate r ON b.source IS NOT DISTINCT FROM r.source),
 mix_out AS (
   SELECT *, CAST(((k * e + u) // 1000000000) - (((k - 1) * e + u) // 1000000000) AS BIGINT) AS copies FROM mix_drawn)"""
