@@ -73,6 +73,14 @@ class RankMap:
                 if a is not None and b is not None:
                     key = a << 16 | b
                     buckets[key * _FACTOR >> 20 & _BUCKETS - 1].append(key << 17 | rank)
+        letters = [ranks[bytes([b])] for b in range(256)]
+        if max(letters) > 255:
+            raise ValueError("the first 256 ranks must be the single bytes")
+        of_bytes: list = [None] * 65536
+        for a in range(256):
+            for b in range(256):
+                of_bytes[letters[a] << 8 | letters[b]] = ranks.get(bytes([a, b]))
+        self.of_bytes = F.from_json(F.lit(json.dumps(of_bytes, separators=(",", ":"))), "array<int>")
         self.pairs = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
@@ -85,11 +93,16 @@ class RankMap:
         hit = F.get(F.filter(F.get(self.pairs, at), lambda e: F.shiftright(e, 17) == key), F.lit(0))
         return hit.bitwiseAND(F.lit((1 << 17) - 1)).cast("int")
 
+    def byte_rank(self, key: Column) -> Column:
+        """``rank`` of a pair of bytes, by a direct table; null beside an end of the word."""
+        at = F.shiftright(key, 8).bitwiseOR(key.bitwiseAND(F.lit(255))).cast("int")
+        return F.when(key.bitwiseAND(F.lit(0xFF00)) == 0, F.get(self.of_bytes, at))
+
     def fold(self, word: Column) -> Column:
         """Ids of one word (the array of its bytes' ranks between two ends), by folding ranked merges."""
         n = F.size(word) - 2
         pairs = F.zip_with(F.slice(word, F.lit(1), n + 1), F.slice(word, F.lit(2), n + 1), _key)
-        begin = F.struct(word.alias("p"), F.transform(pairs, self.rank).alias("r"))
+        begin = F.struct(word.alias("p"), F.transform(pairs, self.byte_rank).alias("r"))
 
         def step(state, _):
             p, r = state["p"], state["r"]
@@ -148,30 +161,33 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Cutter:
-    """Numbers the pre-tokens of a chunk's texts."""
+    """Cuts a chunk's texts: first into numbered units, then each different unit into numbered pre-tokens."""
 
     def __init__(self, pattern: str):
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.numbers: dict[str, int] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.units: dict[str, int] = {}
 
     def cut(self, text: str) -> np.ndarray:
-        """The numbers of a text's words, in order."""
-        numbers, known = self.numbers, self.known
-        row: list[int] = []
-        for unit in units(text):
-            own = known.get(unit)
-            if own is None:
-                own = [numbers.setdefault(word, len(numbers)) for word in self.find(unit)]
-                if len(unit) < 64:
-                    known[unit] = tuple(own)
-            row += own
-        return np.array(row, dtype=np.int32)
-
-    def words(self) -> pa.Array:
-        return pa.array([w.encode("utf-8") for w in self.numbers], type=pa.large_binary())
+        """The numbers of a text's units, in order."""
+        known = self.units
+        return np.array([known.setdefault(unit, len(known)) for unit in units(text)], dtype=np.int32)
+
+    def finish(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Pre-tokens of each text, the numbers of them all in order, and the different pre-tokens."""
+        numbers: dict[str, int] = {}
+        flat, size = [], np.empty(len(self.units), dtype=np.int64)
+        for k, unit in enumerate(self.units):
+            words = self.find(unit)
+            size[k] = len(words)
+            flat += [numbers.setdefault(word, len(numbers)) for word in words]
+        start = np.cumsum(size) - size
+        unit = np.concatenate(rows)
+        n = size[unit]
+        tokens = np.array(flat, dtype=np.int64)[np.repeat(start[unit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(r) for r in rows])]
+        return np.diff(ends, prepend=0), tokens, pa.array([w.encode("utf-8") for w in numbers], type=pa.large_binary())
 
 
 _MESSAGE = "shard long, chunk binary, message binary"
@@ -182,9 +198,8 @@ def _chunks(pattern: str, kind: str):
     schema = to_arrow_schema(T.StructType.fromDDL(f"chunk binary, doc_ids array<{kind}>, tokens binary, words binary"))
 
     def finish(ids, rows, cutter):
-        lens = np.array([len(r) for r in rows], dtype=np.int64)
-        tokens = pack(lens, np.concatenate(rows).astype(np.int64))
-        words = pack(*word_parts(cutter.words()))
+        lens, numbers, words = cutter.finish(rows)
+        tokens, words = pack(lens, numbers), pack(*word_parts(words))
         ids = pa.concat_arrays(ids).to_pylist()
         name = hashlib.blake2b(repr(ids).encode() + tokens + words, digest_size=16).digest()
         return tidy(pa.RecordBatch.from_pydict(
