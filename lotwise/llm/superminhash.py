@@ -147,7 +147,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "id", "cand", "sig", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.text_key").alias("rep_key"))
     texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     items = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("text_key") == F.col("rep_key"))).select(
-        "id", "cand", "sig", F.col("text").alias("payload"))
+        "id", "cand", "sig", F.col("text").alias("payload")).dropDuplicates(["id"])  # rows may be repeated
     classes = connected_components(verified_links(items, shingles, NUM, DEN, LEAST))
     classes = classes.withColumnRenamed("node", "id").join(reps.select("id", "first_doc", "rep"), "id")
     lowest = classes.groupBy("component").agg(F.min("first_doc").alias("lowest"), F.min("rep").alias("best"))
