@@ -12,7 +12,7 @@ A chunk is shuffled once, for asking and for writing, and is known by a digest o
 task be repeated over rows that come in another order, a chunk without answers is an error, not a wrong result;
 rows read from files come in one order.
 
-The literal map has one entry per mergeable pair of vocabulary pieces, in buckets by a multiplicative hash, so
+The literal map has one entry per vocabulary piece, its last merge, in buckets by a multiplicative hash, so
 that a look-up compares a few entries. Pre-tokens of more than ``LONG`` bytes are merged by a heap in the shard instead
 (same result; a fold would take quadratic time).
 
@@ -49,7 +49,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CHUNK_BYTES = 12 << 20
 LONG = 1024
 
-_BUCKETS = 1 << 17
+_BUCKETS = 1 << 15
 _FACTOR = 1640531527
 _END = 65535  # stands before and after a word; no pair with it is in the map
 
@@ -60,26 +60,41 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def last_pair(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two pieces that ranked merges of the piece's own bytes join last; None if they do not reach it."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 2:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return None
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 else None
+
+
 class RankMap:
-    """The rank map as literals: pairs of ranks to the rank of their concatenation, bytes, pieces."""
+    """The rank map as literals: pairs of ranks to the rank of their concatenation, bytes, pieces.
+
+    A piece is made from one pair only, whatever stands around it: while nothing outside takes one of its bytes, the
+    merges inside come in the order they have when the piece stands alone.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= _END:
             raise ValueError("ranks must be below 65535")
         buckets: list[list[int]] = [[] for _ in range(_BUCKETS)]
         for piece, rank in ranks.items():
-            for i in range(1, len(piece)):
-                a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
-                if a is not None and b is not None:
-                    key = a << 16 | b
-                    buckets[key * _FACTOR >> 20 & _BUCKETS - 1].append(key << 17 | rank)
+            pair = last_pair(piece, ranks)
+            if pair:
+                key = ranks[pair[0]] << 16 | ranks[pair[1]]
+                buckets[key * _FACTOR >> 20 & _BUCKETS - 1].append(key << 17 | rank)
         letters = [ranks[bytes([b])] for b in range(256)]
         if max(letters) > 255:
             raise ValueError("the first 256 ranks must be the single bytes")
-        of_bytes: list = [None] * 65536
+        of_bytes = [0] * 65536  # 0 is a byte's rank and no merge's
         for a in range(256):
             for b in range(256):
-                of_bytes[letters[a] << 8 | letters[b]] = ranks.get(bytes([a, b]))
+                of_bytes[letters[a] << 8 | letters[b]] = ranks.get(bytes([a, b]), 0)
         self.of_bytes = F.from_json(F.lit(json.dumps(of_bytes, separators=(",", ":"))), "array<int>")
         self.pairs = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
         pieces = [""] * (max(ranks.values()) + 1)
@@ -96,7 +111,7 @@ class RankMap:
     def byte_rank(self, key: Column) -> Column:
         """``rank`` of a pair of bytes, by a direct table; null beside an end of the word."""
         at = F.shiftright(key, 8).bitwiseOR(key.bitwiseAND(F.lit(255))).cast("int")
-        return F.when(key.bitwiseAND(F.lit(0xFF00)) == 0, F.get(self.of_bytes, at))
+        return F.when(key.bitwiseAND(F.lit(0xFF00)) == 0, F.nullif(F.get(self.of_bytes, at), F.lit(0)))
 
     def fold(self, word: Column) -> Column:
         """Ids of one word (the array of its bytes' ranks between two ends), by folding ranked merges."""
