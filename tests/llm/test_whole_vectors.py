@@ -35,3 +35,29 @@ def test_all_links_of_a_hot_group(spark, monkeypatch, block):
     got = {r.vec_id: r for r in pq.link_vectors(df).collect()}
     assert {i: r.n_links for i, r in got.items()} == {i: n[i] for i in range(len(x))}
     assert {i: r.component_id for i, r in got.items()} == want
+
+
+def test_recall_of_spread_vectors(spark, monkeypatch):
+    """Vectors spread evenly over many lists, with links right at the threshold: found links are true, 95 % and more
+    of the links are found, of a wide group as well."""
+    monkeypatch.setattr(pq, "LIST_ROWS", 16)  # 500 lists
+    monkeypatch.setattr(pq, "BLOCK", 700)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 4000, 2):  # pairs of cosine 0.9 to 0.92
+        side = rng.normal(size=64)
+        side -= (side @ x[i]) * x[i]
+        c = rng.uniform(0.9002, 0.92)
+        x[i + 1] = c * x[i] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    x[7000:] = x[7000] + rng.normal(scale=0.041, size=(1000, 64))  # a group about as wide as links are
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    g = u @ u.T
+    np.fill_diagonal(g, -1)
+    n = (g >= 0.9).sum(1)
+    got = {r.vec_id: r.n_links for r in pq.link_vectors(df).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= n).all()
+    assert found[:7000].sum() >= 0.95 * n[:7000].sum()
+    assert found[7000:].sum() >= 0.95 * n[7000:].sum() > 1000
