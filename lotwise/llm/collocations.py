@@ -34,6 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.llm import bloom
 from lotwise.llm.common import staged
 from lotwise.llm.word_cuts import byte_set, cut, mixed, word_hashes
 
@@ -62,25 +63,9 @@ def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * np.uint64(3) + mixed(b))
 
 
-def bit_places(h: np.ndarray) -> np.ndarray:
-    """The two bits of each hash in a filter."""
-    return np.stack([h, h >> np.uint64(32)]) & np.uint64(FILTER_BITS - 1)
-
-
-def passes(bits: np.ndarray | None, h: np.ndarray) -> np.ndarray:
-    """Which hashes a filter lets through (all if there is no filter, none if it is empty)."""
-    if bits is None:
-        return np.ones(len(h), dtype=bool)
-    p = bit_places(h)
-    return ((bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
-
-
-def packed(bits: np.ndarray) -> bytes:
-    return pa.compress(bits.tobytes(), "zstd", asbytes=True)
-
-
-def unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob, FILTER_BITS // 8, "zstd", asbytes=True), dtype=np.uint8)
+def _let_through(bits: np.ndarray | None, h: np.ndarray) -> np.ndarray:
+    """All hashes if there is no filter."""
+    return np.ones(len(h), dtype=bool) if bits is None else bloom.passes(bits, h)
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,13 +90,13 @@ def count_slice(texts: list[bytes], lang: str, now, before, longest: int):
 
     def allowed(filters):
         """Pairs whose words pass, and triples (by where they begin) whose pairs pass, as masks over ``at``."""
-        word = passes(filters[0], seeded)
+        word = _let_through(filters[0], seeded)
         pair = word[c.ids[at]] & word[c.ids[at + 1]]
         if longest < 3:
             return pair, None
         inner = np.zeros(n + 1, dtype=bool)
         live = at[pair]
-        inner[live] = passes(filters[1], pair_hashes(seeded[c.ids[live]], seeded[c.ids[live + 1]]))
+        inner[live] = _let_through(filters[1], pair_hashes(seeded[c.ids[live]], seeded[c.ids[live + 1]]))
         return pair, inner[at] & inner[at + 1]
 
     pair, triple = allowed(now)
@@ -139,7 +124,7 @@ def _count(docs: DataFrame, sent, longest: int = 3) -> DataFrame:
     """
 
     def run(batches):
-        now, before = [pair and tuple(map(unpacked, pair)) for pair in sent.value]
+        now, before = [pair and tuple(map(bloom.unpacked, pair)) for pair in sent.value]
         now = now or (None, None)
 
         def flush(held):
@@ -178,19 +163,11 @@ def filter_bits(phrases: DataFrame, k: int) -> np.ndarray:
             words = pc.split_pattern(batch.column(1).cast(pa.string()), " ")
             flat = word_hashes(words.flatten().cast(pa.binary())).reshape(-1, k) + seed[:, None]
             h = flat[:, 0] if k == 1 else pair_hashes(flat[:, 0], flat[:, 1])
-            p = np.unique(bit_places(h))
-            slot = p >> np.uint64(6)
-            first = np.flatnonzero(np.diff(slot, prepend=np.uint64(FILTER_BITS)))
-            if len(first):
-                value = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot[first].astype(np.int64)), pa.array(value.view(np.int64))], names=["slot", "bits"])
+            made = bloom.slot_rows(h, FILTER_BITS)
+            if made is not None:
+                yield made
 
-    rows = phrases.where(F.col("k") == k).select("lang", "phrase").mapInArrow(run, "slot long, bits long")
-    found = rows.groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
-    return bits.view(np.uint8)
+    return bloom.gathered(phrases.where(F.col("k") == k).select("lang", "phrase").mapInArrow(run, bloom.SLOTS), FILTER_BITS)
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, sample: int = SAMPLE, proposed: int = PROPOSED) -> DataFrame:
@@ -203,7 +180,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, sample: int = SAMP
     before, now = None, tuple(filter_bits(seen, k) for k in _LEVELS)
     found = []
     while True:
-        sent = send((tuple(map(packed, now)), before and tuple(map(packed, before))))
+        sent = send((tuple(map(bloom.packed, now)), before and tuple(map(bloom.packed, before))))
         counts = _count(rows, sent).where((F.col("k") == 0) | (F.col("c") >= support))
         found.append(staged(counts, "frequent"))
         sent.destroy()  # the pass is on disk

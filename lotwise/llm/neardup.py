@@ -80,15 +80,19 @@ def candidate_groups(reps: DataFrame, rows: int, bands: int, least: float) -> Da
 
 def link_rows(pdf: pd.DataFrame, sets_of, num: int, den: int, least: float) -> list[tuple[int, int]]:
     """Links (100-percent verified on full sets) that join different classes among the rows of a group."""
+    pdf = pdf.drop_duplicates(["cand", "id"]).sort_values("cand", kind="stable")
+    if len(pdf) < 2:
+        return []
+    group, every_id, every_label = (pdf[c].to_numpy() for c in ("cand", "id", "label"))
+    every_sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), -1)
+    every_text = pdf["payload"].tolist()
+    bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     links = []
-    for _, g in pdf.groupby("cand", sort=False):
-        g = g.drop_duplicates("id")
-        if len(g) < 2:
+    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if end - start < 2:
             continue
-        ids = g["id"].to_numpy()
-        sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint16).reshape(len(g), -1)
-        label = np.unique(g["label"].to_numpy(), return_inverse=True)[1]
-        texts = g["payload"].tolist()
+        ids, sig, texts = every_id[start:end], every_sig[start:end], every_text[start:end]
+        label = every_label[start:end].copy()
         known: dict[int, np.ndarray] = {}
 
         def full(i):
@@ -102,7 +106,7 @@ def link_rows(pdf: pd.DataFrame, sets_of, num: int, den: int, least: float) -> l
                 continue
             est = (sig[other] == sig[i]).mean(1)
             other, est = other[est >= least], est[est >= least]
-            for j in other[np.argsort(-est, kind="stable")]:
+            for j in other[np.argsort(-est, kind="stable")].tolist():
                 if label[j] == label[i]:
                     continue
                 a, b = full(i), full(j)
