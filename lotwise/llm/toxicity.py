@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark import cloudpickle
@@ -40,6 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PER_LABEL = 1000
 NEIGHBOURS = 40
 BLOCK = 16
+#: Blocks scored before the first look at the k-th best; all that can still reach it follow at once.
+FIRST = 16
 #: Chi-square of full weight, and the least share of it.
 CHI2 = 40.0
 LEAST = 0.1
@@ -94,14 +97,14 @@ class Index:
 
     def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Indexed term numbers and unit TF-IDF weights."""
-        vocab = self.vocab
-        known = [(vocab[x], c) for x, c in words.items() if x in vocab]
-        if not known:
+        t = np.fromiter(map(self.vocab.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        tf = 1 + np.log(np.fromiter(words.values(), dtype=float, count=len(words)))
+        known = t >= 0
+        if not known.any():
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        t, c = np.array(known, dtype=np.int64).T
-        w = (1 + np.log(c)) * self.weight[t]
-        other = np.array([c for x, c in words.items() if x not in vocab], dtype=float)
-        return t, w / np.sqrt((w * w).sum() + ((1 + np.log(other)) ** 2).sum() * self.other**2)
+        t, other = t[known], tf[~known] * self.other
+        w = tf[known] * self.weight[t]
+        return t, w / np.sqrt((w * w).sum() + (other * other).sum())
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The exact k examples of highest positive cosine (without row ``leave``), best first."""
@@ -113,19 +116,20 @@ class Index:
         block = self.cell_block[cells]
         bounds = np.bincount(block, self.cell_max[cells] * weight, minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        step, at, kth = 8, 0, 0.0
+        step, at, kth = FIRST, 0, 0.0
         while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= kth - 1e-12:
             chosen = np.zeros(self.blocks, dtype=bool)
             some = order[at : at + step]
             chosen[some[bounds[some] >= kth - 1e-12]] = True
-            use = chosen[block]
-            start = self.cell_start[cells[use]]
-            length = self.cell_start[cells[use] + 1] - start
+            use = np.flatnonzero(chosen[block])
+            here = cells[use]
+            start = self.cell_start[here]
+            length = self.cell_start[here + 1] - start
             posting = _ranges(start, length)
             cosines += np.bincount(self.rows[posting], self.weights[posting] * np.repeat(weight[use], length), minlength=len(cosines))
             self.scored += int(chosen.sum())
             at += step
-            step *= 2
+            step = len(order)
             if leave >= 0:
                 cosines[leave] = 0.0
             kth = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
