@@ -116,7 +116,7 @@ class Index:
         block = self.cell_block[cells]
         bounds = np.bincount(block, self.cell_max[cells] * weight, minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        step, at, kth = FIRST, 0, 0.0
+        step, at, kth = max(2, min(FIRST, self.blocks // 8)), 0, 0.0
         while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= kth - 1e-12:
             chosen = np.zeros(self.blocks, dtype=bool)
             some = order[at : at + step]
