@@ -41,7 +41,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PER_LABEL = 1000
 NEIGHBOURS = 40
 BLOCK = 16
-#: Blocks scored before the first look at the k-th best; all that can still reach it follow at once.
+#: Blocks scored before the first look at the k-th best; once there is one, all that can still reach it follow.
 FIRST = 16
 #: Chi-square of full weight, and the least share of it.
 CHI2 = 40.0
@@ -116,7 +116,7 @@ class Index:
         block = self.cell_block[cells]
         bounds = np.bincount(block, self.cell_max[cells] * weight, minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        step, at, kth = max(2, min(FIRST, self.blocks // 8)), 0, 0.0
+        step, at, kth = min(FIRST, max(8, self.blocks // 8)), 0, 0.0
         while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= kth - 1e-12:
             chosen = np.zeros(self.blocks, dtype=bool)
             some = order[at : at + step]
@@ -129,10 +129,10 @@ class Index:
             cosines += np.bincount(self.rows[posting], self.weights[posting] * np.repeat(weight[use], length), minlength=len(cosines))
             self.scored += int(chosen.sum())
             at += step
-            step = len(order)
             if leave >= 0:
                 cosines[leave] = 0.0
             kth = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
+            step = len(order) if kth > 0 else 2 * step
         self.seen += self.blocks
         found = np.flatnonzero((cosines > 0) & (cosines >= kth))
         found = found[np.lexsort((self.ids[found], -np.round(cosines[found], 12)))][:k]
