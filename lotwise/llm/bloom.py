@@ -53,15 +53,3 @@ def packed(bits: np.ndarray) -> tuple[int, bytes]:
 
 def unpacked(pack: tuple[int, bytes]) -> np.ndarray:
     return np.frombuffer(pa.decompress(pack[1], pack[0], "zstd", asbytes=True), dtype=np.uint8)
-
-
-def of_longs(df: DataFrame, column: str, size: int) -> np.ndarray:
-    """The filter of a column of 64-bit hashes."""
-
-    def run(batches):
-        for batch in batches:
-            made = slot_rows(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), size)
-            if made is not None:
-                yield made
-
-    return gathered(df.select(column).mapInArrow(run, SLOTS), size)
