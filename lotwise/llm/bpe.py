@@ -51,6 +51,7 @@ LONG = 1024
 
 _BUCKETS = 1 << 15
 _FACTOR = 1640531527
+_NONE = 1 << 20  # no pair's rank
 _END = 65535  # stands before and after a word; no pair with it is in the map
 
 
@@ -99,7 +100,7 @@ class RankMap:
         self.pairs = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
-            pieces[rank] = piece.hex()
+            pieces[rank] = piece.decode("latin-1")  # one character a byte
         self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
     def rank(self, key: Column) -> Column:
@@ -114,40 +115,53 @@ class RankMap:
         return F.when(key.bitwiseAND(F.lit(0xFF00)) == 0, F.nullif(F.get(self.of_bytes, at), F.lit(0)))
 
     def fold(self, word: Column) -> Column:
-        """Ids of one word (the array of its bytes' ranks between two ends), by folding ranked merges."""
-        n = F.size(word) - 2
-        pairs = F.zip_with(F.slice(word, F.lit(1), n + 1), F.slice(word, F.lit(2), n + 1), _key)
-        begin = F.struct(word.alias("p"), F.transform(pairs, self.byte_rank).alias("r"))
+        """Ids of one word (the array of its bytes' ranks between two ends), by folding ranked merges.
+
+        An entry of the state is a piece's rank below the rank of the pair that it makes with the next piece. A rank is
+        made by one pair only, so the least entry is the least pair, and its first place the leftmost one.
+        """
+        n = F.size(word) - 1
+        pairs = F.zip_with(F.slice(word, F.lit(1), n), F.slice(word, F.lit(2), n), _key)
+        begin = F.concat(
+            F.zip_with(F.slice(word, F.lit(1), n), F.transform(pairs, self.byte_rank), _entry),
+            F.array(F.lit(_NONE << 17 | _END).cast("long")))
+
+        def merge(state, least, i):
+            made = F.shiftright(least, 17)
+            before, after = _piece(F.get(state, i - 2)), _piece(F.get(state, i + 1))
+            pair = F.array(
+                F.struct(before.alias("p"), _key(before, made).alias("k")), F.struct(made.alias("p"), _key(made, after).alias("k")))
+            new = F.transform(pair, lambda x: _entry(x["p"], self.rank(x["k"])))
+            return F.concat(F.slice(state, F.lit(1), i - 2), new, F.slice(state, i + 2, F.size(state)))
 
         def step(state, _):
-            p, r = state["p"], state["r"]
-
-            def merge(least, i):
-                size = F.size(p)
-                new = F.transform(F.array(_key(F.get(p, i - 2), least), _key(least, F.get(p, i + 1))), self.rank)
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(least), F.slice(p, i + 2, size)).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), i - 2), new, F.slice(r, i + 2, size)).alias("r"))
-
             def found(least):
-                position = F.array_position(r, least).cast("int")
-                return F.when(least.isNull(), state).otherwise(_let(position, lambda i: merge(least, i)))
+                position = F.array_position(state, least).cast("int")
+                return F.when(least >= _NONE << 17, state).otherwise(_let(position, lambda i: merge(state, least, i)))
 
-            return _let(F.array_min(r), found)
+            return _let(F.array_min(state), found)
 
         return F.aggregate(
-            F.slice(word, F.lit(1), n - 1), begin, step,  # a word of n bytes has n - 1 merges at most
-            lambda state: F.slice(state["p"], F.lit(2), F.size(state["p"]) - 2))
+            F.slice(word, F.lit(1), n - 2), begin, step,  # a word of n bytes has n - 1 merges at most
+            lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), lambda e: _piece(e).cast("int")))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(self.pieces, i), F.lit(""))), ""))
+        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "", ""), "ISO-8859-1")
 
 
 def _key(a: Column, b: Column) -> Column:
     return a.cast("long") * 65536 + b
 
 
+def _entry(piece: Column, pair: Column) -> Column:
+    return F.coalesce(pair, F.lit(_NONE)).cast("long") * 131072 + piece
+
+
+def _piece(entry: Column) -> Column:
+    return entry.bitwiseAND(F.lit((1 << 17) - 1))
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
