@@ -8,7 +8,7 @@ from lotwise import plans as E
 
 SF = "/root/testdata/sf0.001"
 BAD = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
-PYTHON_ALLOWED = {"model_normal_equations", "model_level_sums", "product_models", "product_model_r2", "forecast_demand", "forecast_manifest"}
+PYTHON_ALLOWED = {"model_normal_equations", "retrained_normal_equations", "model_level_sums", "product_models", "product_model_r2", "forecast_demand", "forecast_manifest"}
 
 
 def _plan(df):
