@@ -162,7 +162,11 @@ def _split(spark, sf):
 
 def _sides(spark, sf):
     """Training and test rows of the trainable products, from one written training set."""
-    rows = _split(spark, sf).where(F.col("n") >= fe.MIN_ROWS)
+    return _sides_of(_split(spark, sf))
+
+
+def _sides_of(split):
+    rows = split.where(F.col("n") >= fe.MIN_ROWS)
     train = rows.where(~F.col("is_test")).withColumn("n_train", F.col("n") - F.col("n_test"))
     return train, rows.where("is_test")
 
@@ -190,12 +194,13 @@ def _saved(spark, sf, kind):
     """
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _TRAINED:
-        train, test = _sides(spark, sf)
+        split = _split(spark, sf)
+        train, test = _sides_of(split)
         names = _names(spark, sf)
         coefs = _fit(train) if kind == "ols" else rg.fit_level_means(train, exclude=fe.KEY_CONSTANT)
         coefs = materialize(rg.name_coefficients(coefs, names), "coefficients")
         path = f"{checkpoint_dir(spark)}/models-{kind}-{uuid.uuid4().hex}"
-        save_models(path, coefs, fe.feature_vocabulary(_training(spark, sf)), rg.r2_by_key(_scored(test, coefs)))
+        save_models(path, coefs, fe.feature_vocabulary(split), rg.r2_by_key(_scored(test, coefs)))
         _TRAINED[key] = path
     return load_models(spark, _TRAINED[key])
 
