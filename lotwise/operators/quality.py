@@ -55,46 +55,44 @@ def _present(cols: list[str]):
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
 
 
+def _key_rows(tables: dict[str, DataFrame], keys, shown: bool) -> DataFrame:
+    """(check, h) of every key value of every table, in one scan a table; ``shown`` adds the value as text."""
+    parts, check = [], 0
+    for t, of_table in keys.items():
+        values = []
+        for cols in of_table:
+            text = [F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("key_value")] if shown else []
+            values.append(F.when(_present(cols), F.struct(F.lit(check).alias("check"), F.xxhash64(*cols).alias("h"), *text)))
+            check += 1
+        parts.append(tables[t].select(F.explode(F.array_compact(F.array(*values))).alias("k")).select("k.*"))
+    return _union(parts)
+
+
 def repeated_hashes(tables: dict[str, DataFrame], keys=None) -> DataFrame:
     """(check, h): 64-bit hashes that occur more than once among the values of a key.
 
     All keys of all tables in one aggregation over a number and a hash; a key column itself, whatever its
     width, is not shuffled.
     """
-    keys = PRIMARY_KEYS if keys is None else keys
-    parts, check = [], 0
-    for t, of_table in keys.items():
-        hashes = []
-        for cols in of_table:
-            hashes.append(F.when(_present(cols), F.struct(F.lit(check).alias("check"), F.xxhash64(*cols).alias("h"))))
-            check += 1
-        parts.append(tables[t].select(F.explode(F.array_compact(F.array(*hashes))).alias("k")).select("k.check", "k.h"))
-    return _union(parts).groupBy("check", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("check", "h")
+    rows = _key_rows(tables, PRIMARY_KEYS if keys is None else keys, shown=False)
+    return rows.groupBy("check", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("check", "h")
 
 
 def duplicate_keys(tables: dict[str, DataFrame], keys=None) -> DataFrame:
     """Q1: key values that occur more than once, per (table, key).
 
-    Only rows whose hash repeats are grouped by their full keys, so unique keys are not shuffled again; two
-    different keys of one hash are told apart there.
+    Only rows whose hash repeats are grouped by hash and value, so unique keys are not shuffled again; two
+    different values of one hash are told apart there, and so are different columns that read the same.
     """
     keys = PRIMARY_KEYS if keys is None else keys
-    suspects = repeated_hashes(tables, keys)
-    out, check = [], 0
-    for t, of_table in keys.items():
-        for cols in of_table:
-            shown = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-            mine = suspects.where(F.col("check") == check).select(F.col("h").alias("_h"))
-            out.append(
-                tables[t].select(*cols).where(_present(cols)).withColumn("_h", F.xxhash64(*cols))
-                .join(mine, "_h", "left_semi")
-                .groupBy(*cols)
-                .agg(F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") > 1)
-                .select(F.lit(t).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"), shown.alias("key_value"), "n")
-            )
-            check += 1
-    return _union(out)
+    names = [(t, ",".join(cols)) for t, of_table in keys.items() for cols in of_table]
+    spark = next(iter(tables.values())).sparkSession
+    checks = literal_table(spark, [(i, *n) for i, n in enumerate(names)], "check int, table_name string, key_columns string")
+    found = (
+        _key_rows(tables, keys, shown=True).join(repeated_hashes(tables, keys), ["check", "h"], "left_semi")
+        .groupBy("check", "h", "key_value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    )
+    return found.join(checks, "check").select("table_name", "key_columns", "key_value", "n")
 
 
 def duplicate_flight_lot(lot_services: DataFrame) -> DataFrame:
