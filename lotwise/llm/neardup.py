@@ -78,7 +78,7 @@ def candidate_groups(reps: DataFrame, rows: int, bands: int, least: float) -> Da
     return groups.select(F.col("node").alias("id"), F.col("component").alias("cand"))
 
 
-def link_rows(pdf: pd.DataFrame, sets_of, num: int, den: int, least: float) -> list[tuple[int, int]]:
+def link_rows(pdf: pd.DataFrame, sets_of, num: int, den: int, least: float, at_once=None) -> list[tuple[int, int]]:
     """Links (100-percent verified on full sets) that join different classes among the rows of a group."""
     pdf = pdf.drop_duplicates(["cand", "id"]).sort_values("cand", kind="stable")
     if len(pdf) < 2:
@@ -86,6 +86,7 @@ def link_rows(pdf: pd.DataFrame, sets_of, num: int, den: int, least: float) -> l
     group, every_id, every_label = (pdf[c].to_numpy() for c in ("cand", "id", "label"))
     every_sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), -1)
     every_text = pdf["payload"].tolist()
+    every_set = at_once(every_text) if at_once else None
     bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     links = []
     for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -96,6 +97,8 @@ def link_rows(pdf: pd.DataFrame, sets_of, num: int, den: int, least: float) -> l
         known: dict[int, np.ndarray] = {}
 
         def full(i):
+            if every_set is not None:
+                return every_set[start + i]
             if i not in known:
                 known[i] = sets_of(texts[i])
             return known[i]
@@ -119,15 +122,16 @@ def link_rows(pdf: pd.DataFrame, sets_of, num: int, den: int, least: float) -> l
     return links
 
 
-def verified_links(items: DataFrame, sets_of, num: int, den: int, least: float) -> DataFrame:
+def verified_links(items: DataFrame, sets_of, num: int, den: int, least: float, at_once=None) -> DataFrame:
     """Links (u, v) between items of one candidate group whose sets have Jaccard >= num / den.
 
-    ``items (id, cand, sig, payload)``; ``sets_of(payload)`` gives the sorted unique hashes. Only links
+    ``items (id, cand, sig, payload)``; ``sets_of(payload)`` gives the sorted unique hashes, ``at_once`` (for short
+    payloads) those of a list of them. Only links
     that join classes are returned, enough for the components to be exact.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(link_rows(pdf, sets_of, num, den, least), columns=["u", "v"], dtype="int64")
+        return pd.DataFrame(link_rows(pdf, sets_of, num, den, least, at_once), columns=["u", "v"], dtype="int64")
 
     def linked(keyed: DataFrame) -> DataFrame:
         cols = ["g1", "g2", "g3", "cand", "id", "label", "sig", "payload"]
