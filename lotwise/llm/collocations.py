@@ -47,7 +47,7 @@ TOP = 2000
 SAMPLE = 8
 PROPOSED = max(2, SUPPORT // SAMPLE // 2)
 FILTER_BITS = 1 << 25
-SLICE_BYTES = 5 << 20
+SLICE_BYTES = 3 << 20
 
 GAP, FENCE = byte_set(b" \t"), byte_set(b".,;:!?\n\x0b\x0c\r")
 _LEVELS = (1, 2)
