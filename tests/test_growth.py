@@ -27,3 +27,18 @@ def test_features_are_dealt_as_narrow_lines(spark):
         assert by.split("#")[0] not in ("lot_id", "product_id", "flight_id"), by
     top = plan.split("Exchange hashpartitioning(flight_id")[0]
     assert "origin_locality" in top and top.count("Exchange hashpartitioning(") == 0
+
+
+def test_split_by_rank_equals_split_by_selection(spark):
+    rng = random.Random(4)
+    rows = [(1, i, rng.randint(0, 3)) for i in range(700)] + [(2, 5, 1)] * 11 + [(3, 1, 0), (4, None, 2), (4, 7, 2), (None, 1, 1)]
+    base = fe.store_rows(spark.createDataFrame(rows, "product_id long, service_id long, consumed_qty int").repartition(3))
+    found = [sorted(map(str, fe.split_stored(base, hot_rows=k).collect())) for k in (0, 10, 100, 10_000)]
+    assert len(found[0]) == len(rows) - 1 and found[0] == found[1] == found[2] == found[3]
+
+
+def test_split_deals_rows_once(spark):
+    base = fe.store_rows(spark.createDataFrame([(k, i, 1) for k in range(5) for i in range(20)], "product_id long, service_id long, consumed_qty int"))
+    train, _ = M._sides_of(fe.split_stored(base))
+    sums = train.groupBy("product_id", "consumed_qty").agg(F.count(F.lit(1)))
+    assert len(re.findall("Exchange hashpartitioning", _plan(sums))) == 1
