@@ -42,3 +42,9 @@ def test_split_deals_rows_once(spark):
     train, _ = M._sides_of(fe.split_stored(base))
     sums = train.groupBy("product_id", "consumed_qty").agg(F.count(F.lit(1)))
     assert len(re.findall("Exchange hashpartitioning", _plan(sums))) == 1
+
+
+def test_predict_deals_no_structs(spark):
+    _, df = _table(spark, 9, (10, 12))
+    plan = _plan(rg.predict(df, rg.fit_level_means(df), ["service_id"]))
+    assert "ShuffledHashJoin" in plan and "_items" not in plan
