@@ -48,3 +48,9 @@ def test_predict_deals_no_structs(spark):
     _, df = _table(spark, 9, (10, 12))
     plan = _plan(rg.predict(df, rg.fit_level_means(df), ["service_id"]))
     assert "ShuffledHashJoin" in plan and "_items" not in plan
+
+
+def test_flight_demand_is_not_dealt_by_flight(spark):
+    _, df = _table(spark, 9, (10, 12))
+    plan = _plan(fc.flight_demand(df.withColumn("flight_id", F.lit(1)), rg.fit_level_means(df)))
+    assert not re.search(r"hashpartitioning\(flight_id", plan)
