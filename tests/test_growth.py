@@ -54,3 +54,15 @@ def test_flight_demand_is_not_dealt_by_flight(spark):
     _, df = _table(spark, 9, (10, 12))
     plan = _plan(fc.flight_demand(df.withColumn("flight_id", F.lit(1)), rg.fit_level_means(df)))
     assert not re.search(r"hashpartitioning\(flight_id", plan)
+
+
+def test_moments_of_few_rows_are_stored_as_rows(spark):
+    rng = np.random.default_rng(2)
+    for n, p in ((3, 8), (8, 8), (20, 8)):
+        z = rng.normal(size=(n, p))
+        packed = rg.pack_cross(z)
+        assert len(packed) == 8 * p * min(n, p)
+        assert np.allclose(rg.unpack_cross(packed, p), z.T @ z)
+    _, df = _table(spark, 10, (4, 6))
+    for row in rg.moment_blocks(df).collect():
+        assert len(row.cross) == 8 * row.n * len(row.mean) < 8 * len(row.mean) ** 2
