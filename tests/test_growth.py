@@ -44,6 +44,12 @@ def test_split_deals_rows_once(spark):
     assert len(re.findall("Exchange hashpartitioning", _plan(sums))) == 1
 
 
+def test_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(fe, "PART_ROWS", 3)
+    base = fe.store_rows(spark.range(100).select(F.col("id").alias("product_id"), F.col("id").alias("service_id"), F.lit(1).alias("consumed_qty")))
+    assert "hashpartitioning(product_id" in (plan := _plan(fe.split_stored(base))) and re.search(r"hashpartitioning\(product_id#\d+L, 34\)", plan), plan
+
+
 def test_predict_deals_no_structs(spark):
     _, df = _table(spark, 9, (10, 12))
     plan = _plan(rg.predict(df, rg.fit_level_means(df), ["service_id"]))
