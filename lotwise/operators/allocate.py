@@ -56,7 +56,7 @@ def manifest_lines(demand: DataFrame, base: str = "base_qty", ordered: bool = Tr
 
 def relevant_inventory(inventory: DataFrame, lines: DataFrame, key: str = "product_id") -> DataFrame:
     """Loadable lots of products that are on the manifest (left semi join)."""
-    return loadable_inventory(inventory).join(lines.select(key), key, "left_semi")
+    return loadable_inventory(inventory).join(lines.select(key).hint("merge"), key, "left_semi")
 
 
 def fefo_allocate(
@@ -81,7 +81,7 @@ def fefo_allocate(
         F.least(F.col("current_qty"), F.col(need) - F.col("stock_before")),
     )
     return (
-        walked.join(lines.select(key, need), key, "inner")
+        walked.join(lines.select(key, need).hint("merge"), key, "inner")
         .withColumn("taken_qty", taken)
         .where(F.col("taken_qty") > 0)
         .select(key, "lot_id", "lot_number", "expiry_date", "status", "taken_qty")
@@ -116,7 +116,7 @@ def shortfall(
 def lines_with_assignments(lines: DataFrame, assignments: DataFrame, key: str = "product_id") -> DataFrame:
     """J9 (flat): every manifest line with its lots; a line without lots keeps one
     row with NULL lot columns."""
-    return lines.join(assignments, key, "left")
+    return lines.join(assignments.hint("merge"), key, "left")
 
 
 def nest_assignments(flat: DataFrame, key: str = "product_id") -> DataFrame:

@@ -62,6 +62,12 @@ def test_flight_demand_is_not_dealt_by_flight(spark):
     assert not re.search(r"hashpartitioning\(flight_id", plan)
 
 
+def test_manifest_of_forecasts_forecasts_once(spark):
+    for name in ("forecast_manifest", "forecast_flight_manifest"):
+        plan = _plan(getattr(M, name)(spark, SF))
+        assert "model_coefficients" not in plan and "o_totalprice" not in plan, name
+
+
 def test_moments_of_few_rows_are_stored_as_rows(spark):
     rng = np.random.default_rng(2)
     for n, p in ((3, 8), (8, 8), (20, 8)):
