@@ -132,9 +132,11 @@ def menu_plan(flights: DataFrame, parts: dict[str, list[str]]) -> DataFrame:
     )
 
 
-def flight_products(service_lines: DataFrame, menu: DataFrame) -> DataFrame:
+def flight_products(service_lines: DataFrame, menu: DataFrame, parts: int | None = None) -> DataFrame:
     """A10 + B11: products loaded per flight (de-duplicated), with their lots and
     whether the product's category is on the flight's menu."""
+    if parts:  # lines are dealt once, by flight, and all counts are taken in place
+        service_lines = service_lines.repartition(parts, "flight_id")
     per = service_lines.groupBy("flight_id", "product_id", "category").agg(
         F.count(F.lit(1)).alias("lines"), F.count_distinct("lot_id").alias("lots")
     )

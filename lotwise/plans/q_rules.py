@@ -188,6 +188,9 @@ def menu_plan(spark, sf):
     return en.menu_plan(_t(spark, sf).flights, DRIVER_MENU)
 
 
+FLIGHT_LINES = 200_000  # service lines of a task
+
+
 @query(
     "flight_products",
     """SELECT p.flight_id, p.product_id, p.category, p.lines, p.lots, m.menu_part IS NOT NULL AS on_menu
@@ -199,7 +202,9 @@ def menu_plan(spark, sf):
 )
 def flight_products(spark, sf):
     t = _t(spark, sf)
-    return en.flight_products(_lines(spark, sf), en.menu_plan(t.flights, DRIVER_MENU))
+    # the parts follow the rows (read from the files' footers), so a task's lines stay as many on larger tables
+    parts = max(spark.sparkContext.defaultParallelism, -(-t.lot_services.count() // FLIGHT_LINES))
+    return en.flight_products(_lines(spark, sf), en.menu_plan(t.flights, DRIVER_MENU), parts)
 
 
 # ---------------------------------------------------------------- data quality

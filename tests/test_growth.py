@@ -78,3 +78,13 @@ def test_moments_of_few_rows_are_stored_as_rows(spark):
     _, df = _table(spark, 10, (4, 6))
     for row in rg.moment_blocks(df).collect():
         assert len(row.cross) == 8 * row.n * len(row.mean) < 8 * len(row.mean) ** 2
+
+
+def test_flight_products_parts_follow_the_lines(spark, monkeypatch):
+    from lotwise.plans import q_rules as R
+
+    monkeypatch.setattr(R, "FLIGHT_LINES", 100)
+    lines = R._t(spark, SF).lot_services.count()
+    plan = _plan(R.flight_products(spark, SF))
+    assert re.search(rf"hashpartitioning\(flight_id#\d+L?, {-(-lines // 100)}\), REPARTITION_BY_NUM", plan), plan
+    assert not re.search(r"hashpartitioning\(flight_id#\d+L?, product_id", plan)
