@@ -88,3 +88,10 @@ def test_flight_products_parts_follow_the_lines(spark, monkeypatch):
     plan = _plan(R.flight_products(spark, SF))
     assert re.search(rf"hashpartitioning\(flight_id#\d+L?, {-(-lines // 100)}\), REPARTITION_BY_NUM", plan), plan
     assert not re.search(r"hashpartitioning\(flight_id#\d+L?, product_id", plan)
+
+
+def test_names_are_not_merged_by_feature(spark):
+    """A feature is in every product's Gram and model: dealt by feature, the whole result meets in a few tasks."""
+    for name in ("ols_gram", "product_models", "model_normal_equations", "model_level_sums"):
+        plan = _plan(getattr(M, name)(spark, SF))
+        assert not re.search(r"hashpartitioning\((ia|ib|fid)#", plan), name
