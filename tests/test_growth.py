@@ -1,5 +1,6 @@
 """What keeps the forecasts' traffic and memory in step with the input."""
 
+import glob
 import random
 import re
 
@@ -95,3 +96,15 @@ def test_names_are_not_merged_by_feature(spark):
     for name in ("ols_gram", "product_models", "model_normal_equations", "model_level_sums"):
         plan = _plan(getattr(M, name)(spark, SF))
         assert not re.search(r"hashpartitioning\((ia|ib|fid)#", plan), name
+
+
+def test_training_ranks_the_split_and_writes_the_coefficients_once(spark, monkeypatch):
+    sides = []
+    monkeypatch.setattr(M, "_TRAINED", {})
+    monkeypatch.setattr(M, "_sides_of", lambda split, real=M._sides_of: sides.append(_plan(split)) or real(split))
+    before = {*glob.glob(f"{M.checkpoint_dir(spark).removeprefix('file:')}/coefficients-*")}
+    models = M._saved(spark, SF, "ols")
+    assert len(sides) == 1 and "Window" not in sides[0] and "Exchange" not in sides[0]
+    assert {*glob.glob(f"{M.checkpoint_dir(spark).removeprefix('file:')}/coefficients-*")} == before
+    keys = {r.key for r in models["model_coefficients"].select("key").distinct().collect()}
+    assert keys and keys == {r.key for r in models["model_metrics"].collect()}
