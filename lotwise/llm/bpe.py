@@ -4,7 +4,7 @@ Encoding. Documents are cut into pre-tokens in chunks of about ``CHUNK_BYTES`` o
 different words and sends them, packed, to word shards (``messages``). A shard lists its different words once for
 all chunks, and a higher-order fold merges each of them: the state is the array of piece ranks, beginning
 with those of the word's bytes, and the ranks of all neighbouring pairs; each step replaces the leftmost pair of
-least rank, found in a literal rank map, and looks up the two pairs that are new. The shard answers
+least rank, found in a rank map, and looks up the two pairs that are new. The shard answers
 every chunk with the ids of its words, and the chunk writes its documents' ids. So a word is merged once in the corpus,
 however many documents have it, and no task holds more than a chunk or a shard.
 
@@ -12,11 +12,12 @@ A chunk is shuffled once, for asking and for writing, and is known by a digest o
 task be repeated over rows that come in another order, a chunk without answers is an error, not a wrong result;
 rows read from files come in one order.
 
-The literal map has one entry per vocabulary piece, its last merge, in buckets by a multiplicative hash, so
-that a look-up compares a few entries. Pre-tokens of more than ``LONG`` bytes are merged by a heap in the shard instead
+The map has one entry per vocabulary piece, its last merge, in buckets by a multiplicative hash, so
+that a look-up compares a few entries. It reaches the expressions by scalar subqueries (arrays of the vocabulary's
+size): as literals it would stand, in full, in every description of the plan that Spark's driver keeps. Pre-tokens of more than ``LONG`` bytes are merged by a heap in the shard instead
 (same result; a fold would take quadratic time).
 
-Decoding looks the ids' byte strings up in a literal array and concatenates them.
+Decoding looks the ids' byte strings up in such an array and concatenates them.
 
 Null texts count as empty: no ids, decoded to empty bytes. Ids outside the vocabulary decode to nothing. Repeated
 rows get equal results; an empty table gives an empty result; other columns are ignored.
@@ -27,14 +28,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -74,13 +74,13 @@ def last_pair(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | No
 
 
 class RankMap:
-    """The rank map as literals: pairs of ranks to the rank of their concatenation, bytes, pieces.
+    """The rank map, each array a table of one row: pairs of ranks to the rank of their concatenation, bytes, pieces.
 
     A piece is made from one pair only, whatever stands around it: while nothing outside takes one of its bytes, the
     merges inside come in the order they have when the piece stands alone.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         if max(ranks.values()) >= _END:
             raise ValueError("ranks must be below 65535")
         buckets: list[list[int]] = [[] for _ in range(_BUCKETS)]
@@ -96,58 +96,74 @@ class RankMap:
         for a in range(256):
             for b in range(256):
                 of_bytes[letters[a] << 8 | letters[b]] = ranks.get(bytes([a, b]), 0)
-        self.of_bytes = F.from_json(F.lit(json.dumps(of_bytes, separators=(",", ":"))), "array<int>")
-        self.pairs = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
+        self.of_bytes = spark.createDataFrame([(of_bytes,)], "of_bytes array<int>")
+        self.pairs = spark.createDataFrame([(buckets,)], "pairs array<array<bigint>>")
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.decode("latin-1")  # one character a byte
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-
-    def rank(self, key: Column) -> Column:
-        """Rank of the pair ``left * 65536 + right``; null if its concatenation is no piece."""
-        at = F.shiftright(key * F.lit(_FACTOR).cast("long"), 20).bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")
-        hit = F.get(F.filter(F.get(self.pairs, at), lambda e: F.shiftright(e, 17) == key), F.lit(0))
-        return hit.bitwiseAND(F.lit((1 << 17) - 1)).cast("int")
-
-    def byte_rank(self, key: Column) -> Column:
-        """``rank`` of a pair of bytes, by a direct table; null beside an end of the word."""
-        at = F.shiftright(key, 8).bitwiseOR(key.bitwiseAND(F.lit(255))).cast("int")
-        return F.when(key.bitwiseAND(F.lit(0xFF00)) == 0, F.nullif(F.get(self.of_bytes, at), F.lit(0)))
-
-    def fold(self, word: Column) -> Column:
-        """Ids of one word (the array of its bytes' ranks between two ends), by folding ranked merges.
-
-        An entry of the state is a piece's rank below the rank of the pair that it makes with the next piece. A rank is
-        made by one pair only, so the least entry is the least pair, and its first place the leftmost one.
-        """
-        n = F.size(word) - 1
-        pairs = F.zip_with(F.slice(word, F.lit(1), n), F.slice(word, F.lit(2), n), _key)
-        begin = F.concat(
-            F.zip_with(F.slice(word, F.lit(1), n), F.transform(pairs, self.byte_rank), _entry),
-            F.array(F.lit(_NONE << 17 | _END).cast("long")))
-
-        def merge(state, least, i):
-            made = F.shiftright(least, 17)
-            before, after = _piece(F.get(state, i - 2)), _piece(F.get(state, i + 1))
-            pair = F.array(
-                F.struct(before.alias("p"), _key(before, made).alias("k")), F.struct(made.alias("p"), _key(made, after).alias("k")))
-            new = F.transform(pair, lambda x: _entry(x["p"], self.rank(x["k"])))
-            return F.concat(F.slice(state, F.lit(1), i - 2), new, F.slice(state, i + 2, F.size(state)))
-
-        def step(state, _):
-            def found(least):
-                position = F.array_position(state, least).cast("int")
-                return F.when(least >= _NONE << 17, state).otherwise(_let(position, lambda i: merge(state, least, i)))
-
-            return _let(F.array_min(state), found)
-
-        return F.aggregate(
-            F.slice(word, F.lit(1), n - 2), begin, step,  # a word of n bytes has n - 1 merges at most
-            lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), lambda e: _piece(e).cast("int")))
-
-    def decode(self, ids: Column) -> Column:
-        """Bytes of an array of ids."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "", ""), "ISO-8859-1")
+        self.pieces = spark.createDataFrame([(pieces,)], "pieces array<string>")
+
+    def merged(self, words: DataFrame) -> DataFrame:
+        """``words`` with a column ``ids``: ``fold`` of ``word``, null where that is null."""
+        with_map = words.select("*", self.of_bytes.scalar().alias("of_bytes"), self.pairs.scalar().alias("pairs"))
+        # each array is named once, so that its subquery is put in its place and no row carries it
+        ids = _let(F.col("pairs"), lambda pairs: _let(F.col("of_bytes"), lambda of_bytes: fold(F.col("word"), pairs, of_bytes)))
+        return with_map.select(*words.columns, ids.alias("ids"))
+
+    def decoded(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with a column ``decoded``: the bytes of ``ids``."""
+        with_map = rows.select("*", self.pieces.scalar().alias("pieces"))
+        return with_map.select(*rows.columns, _let(F.col("pieces"), lambda pieces: decode(F.col("ids"), pieces)).alias("decoded"))
+
+
+def pair_rank(pairs: Column, key: Column) -> Column:
+    """Rank of the pair ``left * 65536 + right``; null if its concatenation is no piece."""
+    at = F.shiftright(key * F.lit(_FACTOR).cast("long"), 20).bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")
+    hit = F.get(F.filter(F.get(pairs, at), lambda e: F.shiftright(e, 17) == key), F.lit(0))
+    return hit.bitwiseAND(F.lit((1 << 17) - 1)).cast("int")
+
+
+def byte_rank(of_bytes: Column, key: Column) -> Column:
+    """``pair_rank`` of a pair of bytes, by a direct table; null beside an end of the word."""
+    at = F.shiftright(key, 8).bitwiseOR(key.bitwiseAND(F.lit(255))).cast("int")
+    return F.when(key.bitwiseAND(F.lit(0xFF00)) == 0, F.nullif(F.get(of_bytes, at), F.lit(0)))
+
+
+def fold(word: Column, pairs: Column, of_bytes: Column) -> Column:
+    """Ids of one word (the array of its bytes' ranks between two ends), by folding ranked merges.
+
+    An entry of the state is a piece's rank below the rank of the pair that it makes with the next piece. A rank is
+    made by one pair only, so the least entry is the least pair, and its first place the leftmost one.
+    """
+    n = F.size(word) - 1
+    keys = F.zip_with(F.slice(word, F.lit(1), n), F.slice(word, F.lit(2), n), _key)
+    begin = F.concat(
+        F.zip_with(F.slice(word, F.lit(1), n), F.transform(keys, lambda k: byte_rank(of_bytes, k)), _entry),
+        F.array(F.lit(_NONE << 17 | _END).cast("long")))
+
+    def merge(state, least, i):
+        made = F.shiftright(least, 17)
+        before, after = _piece(F.get(state, i - 2)), _piece(F.get(state, i + 1))
+        pair = F.array(
+            F.struct(before.alias("p"), _key(before, made).alias("k")), F.struct(made.alias("p"), _key(made, after).alias("k")))
+        new = F.transform(pair, lambda x: _entry(x["p"], pair_rank(pairs, x["k"])))
+        return F.concat(F.slice(state, F.lit(1), i - 2), new, F.slice(state, i + 2, F.size(state)))
+
+    def step(state, _):
+        def found(least):
+            position = F.array_position(state, least).cast("int")
+            return F.when(least >= _NONE << 17, state).otherwise(_let(position, lambda i: merge(state, least, i)))
+
+        return _let(F.array_min(state), found)
+
+    return F.aggregate(
+        F.slice(word, F.lit(1), n - 2), begin, step,  # a word of n bytes has n - 1 merges at most
+        lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), lambda e: _piece(e).cast("int")))
+
+
+def decode(ids: Column, pieces: Column) -> Column:
+    """Bytes of an array of ids."""
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "", ""), "ISO-8859-1")
 
 
 def _key(a: Column, b: Column) -> Column:
@@ -285,7 +301,7 @@ def encode(docs: DataFrame, path: str, pattern: str, rank_map: RankMap | None =
     """doc_id, ids: the token ids of every whole text."""
     spark = docs.sparkSession
     ranks = read_ranks(path)
-    rank_map = rank_map or RankMap(ranks)
+    rank_map = rank_map or RankMap(spark, ranks)
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary: a fixed size
     parts, id_field = shuffle_partitions(spark), docs.schema["doc_id"]
     shards = 2 * parts
@@ -338,16 +354,15 @@ def encode(docs: DataFrame, path: str, pattern: str, rank_map: RankMap | None =
     chunks = docs.select("doc_id", "text").mapInArrow(_chunks(pattern, kind), made).repartition(parts, "chunk")
     asked = chunks.select("chunk", "words", "tokens", "doc_ids").mapInArrow(_ask(shards), _MESSAGE).repartition(parts, "shard")
     listed = asked.groupBy("shard").applyInArrow(list_words, "shard long, place long, word array<int>, long array<int>")
-    merged = listed.select("shard", "place", F.coalesce(F.col("long"), rank_map.fold(F.col("word"))).alias("ids"))
+    merged = rank_map.merged(listed).select("shard", "place", F.coalesce("long", "ids").alias("ids"))
     replies = asked.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(answer, _MESSAGE)
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(write, ids_type)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per document."""
-    pieces = RankMap(read_ranks(path))
-    ids = encode(docs, path, pattern, pieces)
-    return ids.select(
+    rank_map = RankMap(docs.sparkSession, read_ranks(path))
+    return rank_map.decoded(encode(docs, path, pattern, rank_map)).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "UTF-8"), 256).alias("ids_sha256"),
-        F.sha2(pieces.decode(F.col("ids")), 256).alias("decoded_sha256"))
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
