@@ -29,6 +29,7 @@ import base64
 import hashlib
 import heapq
 import sys
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lotwise.llm.bpe_words import units
+from lotwise.llm.bpe_words import WHOLE
 from lotwise.llm.common import shuffle_partitions
 from lotwise.llm.messages import pack, segments, tidy, unpack, word_order, word_parts, words_of
 
@@ -49,6 +50,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CHUNK_BYTES = 12 << 20
 LONG = 1024
 
+_SLICE_UNITS = 1 << 16  # units cut as one text
 _BUCKETS = 1 << 15
 _FACTOR = 1640531527
 _NONE = 1 << 20  # no pair's rank
@@ -212,27 +214,87 @@ class Cutter:
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.units: dict[str, int] = {}
-
-    def cut(self, text: str) -> np.ndarray:
-        """The numbers of a text's units, in order."""
-        known = self.units
-        return np.array([known.setdefault(unit, len(known)) for unit in units(text)], dtype=np.int32)
-
-    def finish(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Pre-tokens of each text, the numbers of them all in order, and the different pre-tokens."""
-        numbers: dict[str, int] = {}
-        flat, size = [], np.empty(len(self.units), dtype=np.int64)
-        for k, unit in enumerate(self.units):
-            words = self.find(unit)
-            size[k] = len(words)
-            flat += [numbers.setdefault(word, len(numbers)) for word in words]
-        start = np.cumsum(size) - size
-        unit = np.concatenate(rows)
-        n = size[unit]
-        tokens = np.array(flat, dtype=np.int64)[np.repeat(start[unit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(r) for r in rows])]
-        return np.diff(ends, prepend=0), tokens, pa.array([w.encode("utf-8") for w in numbers], type=pa.large_binary())
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """An order of the texts; the pre-tokens of each in that order, the numbers of them all, and the different ones.
+
+        Texts that are cut as a whole come last.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False)
+        order = np.argsort(whole, kind="stable")
+        lens, numbers, found = self._parts(texts.filter(pa.array(~whole)))
+        others = texts.filter(pa.array(whole)).dictionary_encode()
+        size, tokens = self._each(others.dictionary.to_pylist())
+        size = np.array(size, dtype=np.int64)
+        n, start = size[_numbers(others)], (len(found) + np.cumsum(size) - size)[_numbers(others)]
+        found = pa.concat_arrays([found, tokens]).dictionary_encode()
+        at = np.concatenate([numbers, _ranges(start, n)])
+        return order, np.concatenate([lens, n]), _numbers(found)[at], found.dictionary.cast(pa.large_binary())
+
+    def _parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Pre-tokens of each text of plain units, their places in a list of pre-tokens, and that list.
+
+        The different units are cut as one text: pre-tokens do not cross them there either. Those that begin a text, or
+        end in white space, are cut one by one.
+        """
+        split = pc.split_pattern(texts, " ")
+        starts = split.offsets.to_numpy()
+        parts = split.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
+        part, starts = _numbers(parts), starts.astype(np.int64) - starts[0]
+        first = starts[:-1]
+        spaced = np.delete(part, first)  # each but a text's first part has a space before it
+        known = parts.dictionary
+        ends = pc.or_(pc.equal(known, ""), pc.ends_with(known, "\n")).to_numpy(zero_copy_only=False)
+        after = np.zeros(len(known), dtype=bool)
+        after[spaced] = True
+        begin = np.zeros(len(known), dtype=bool)
+        begin[part[first]] = True
+        joined, single = after & ~ends, after & ends
+        size = np.zeros((2, len(known)), dtype=np.int64)  # pre-tokens of a part after a space, and at the beginning
+        units = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), known, pa.scalar(" ", pa.large_string()))
+        lengths, text = word_parts(units.filter(pa.array(joined)))
+        unit_ends = np.cumsum(lengths)
+        cuts = [0, *unit_ends[_SLICE_UNITS - 1 :: _SLICE_UNITS].tolist(), len(text)]
+        _, tokens = self._each(text[a:b].tobytes().decode("utf-8") for a, b in zip(cuts, cuts[1:]))
+        token_ends = np.cumsum(pc.binary_length(tokens).to_numpy(zero_copy_only=False))
+        if len(text) and token_ends[-1:].tolist() == [len(text)]:
+            size[0, joined] = np.diff(np.searchsorted(token_ends, unit_ends, side="right"), prepend=0)
+        else:  # nothing to cut, or the pattern leaves characters out
+            size[0, joined], tokens = self._each(units.filter(pa.array(joined)).to_pylist())
+        size[0, single], more = self._each(units.filter(pa.array(single)).to_pylist())
+        size[1, begin], most = self._each(known.filter(pa.array(begin)).to_pylist())
+        place = np.zeros_like(size)  # where the pre-tokens of a part begin in the list
+        at = 0
+        for row, some in ((0, joined), (0, single), (1, begin)):
+            n = size[row, some]
+            place[row, some] = at + np.cumsum(n) - n
+            at += int(n.sum())
+        n, start = size[0, part], place[0, part]
+        n[first], start[first] = size[1, part[first]], place[1, part[first]]
+        lens = np.diff(np.concatenate([[0], np.cumsum(n)])[starts])
+        return lens, _ranges(start, n), pa.concat_arrays([tokens, more, most])
+
+    def _each(self, units: Iterable[str]) -> tuple[list[int], pa.Array]:
+        """The number of pre-tokens of each unit, and a list of them all."""
+        size, tokens, done = [], [], [pa.array([], pa.large_string())]
+        for unit in units:
+            found = self.find(unit)
+            size.append(len(found))
+            tokens += found
+            if len(tokens) >= _SLICE_UNITS:
+                done.append(pa.array(tokens, pa.large_string()))
+                tokens = []
+        return size, pa.concat_arrays([*done, pa.array(tokens, pa.large_string())])
+
+
+def _numbers(encoded: pa.DictionaryArray) -> np.ndarray:
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each start, ``n`` of them."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 _MESSAGE = "shard long, chunk binary, message binary"
@@ -242,28 +304,32 @@ def _chunks(pattern: str, kind: str):
     """Rows (chunk, doc_ids, tokens, words) of about ``CHUNK_BYTES`` of text each."""
     schema = to_arrow_schema(T.StructType.fromDDL(f"chunk binary, doc_ids array<{kind}>, tokens binary, words binary"))
 
-    def finish(ids, rows, cutter):
-        lens, numbers, words = cutter.finish(rows)
+    def finish(cutter, ids, texts):
+        order, lens, numbers, words = cutter.cut(pa.concat_arrays([t.cast(pa.large_string()) for t in texts]))
         tokens, words = pack(lens, numbers), pack(*word_parts(words))
-        ids = pa.concat_arrays(ids).to_pylist()
+        ids = pa.concat_arrays(ids).take(pa.array(order)).to_pylist()
         name = hashlib.blake2b(repr(ids).encode() + tokens + words, digest_size=16).digest()
         return tidy(pa.RecordBatch.from_pydict(
             {"chunk": [name], "doc_ids": [ids], "tokens": [tokens], "words": [words]}, schema=schema))
 
     def run(batches):
-        ids, rows, size, cutter = [], [], 0, Cutter(pattern)
+        ids, texts, size, cutter = [], [], 0, Cutter(pattern)
         for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             done = 0
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                rows.append(cutter.cut(text or ""))
-                size += len(text or "")
-                if size >= CHUNK_BYTES:
-                    ids.append(batch.column(0).slice(done, i + 1 - done))
-                    yield finish(ids, rows, cutter)
-                    ids, rows, size, cutter, done = [], [], 0, Cutter(pattern), i + 1
-            ids.append(batch.column(0).slice(done))
-        if rows:
-            yield finish(ids, rows, cutter)
+            while done < len(ends):
+                before = int(ends[done - 1]) if done else 0
+                to = int(np.searchsorted(ends, before + CHUNK_BYTES - size)) + 1  # the text that fills the chunk is in it
+                full, to = to <= len(ends), min(to, len(ends))
+                ids.append(batch.column(0).slice(done, to - done))
+                texts.append(batch.column(1).slice(done, to - done))
+                size += int(ends[to - 1]) - before
+                if full:
+                    yield finish(cutter, ids, texts)
+                    ids, texts, size = [], [], 0
+                done = to
+        if ids:
+            yield finish(cutter, ids, texts)
 
     return run
 
