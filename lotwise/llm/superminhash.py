@@ -25,6 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.llm.bloom import among
 from lotwise.llm.common import map_text, staged
 from lotwise.llm.components import connected_components
 from lotwise.llm.neardup import candidate_groups, mix64, verified_links
@@ -143,9 +144,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig")),
         "set_classes")
     groups = staged(candidate_groups(reps, ROWS, BANDS, LEAST), "candidate_groups")
-    wanted = groups.join(reps, "id").select(
-        "id", "cand", "sig", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.text_key").alias("rep_key"))
+    wanted = staged(groups.join(reps.where(among(groups.select("id"))("id")), "id").select(
+        "id", "cand", "sig", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.text_key").alias("rep_key")), "compared_sets")
     texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    texts = texts.where(among(wanted.select("rep_key"))("text_key"))
     items = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("text_key") == F.col("rep_key"))).select(
         "id", "cand", "sig", F.col("text").alias("payload")).dropDuplicates(["id"])  # rows may be repeated
     classes = connected_components(verified_links(items, shingles, NUM, DEN, LEAST))
